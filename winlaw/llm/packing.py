@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,65 +98,61 @@ def assign(lengths: np.ndarray, spec: PackSpec) -> list[tuple[int, int, int, int
 
 
 #: ASCII punctuation but for "<" and "'", which can begin a special token or join letters.
-TAIL = b'!"#$%&()*+,-./:;=?@[]^_`{|}~' + bytes([92])
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
-def encoder(spec: PackSpec):
-    """text bytes -> little-endian uint32 ids.
+class PartIds(dict):
+    """Part of a text between white space -> its ids, little-endian unsigned 32-bit; parts are learned when first met.
 
-    The vocabulary splits at white space and drops it, splits letters from
-    punctuation and lower-cases, so a text's ids are those of its parts between
-    white space one after another, and a part's are those of its letters and of the
-    punctuation after them. Each part is encoded once, many in a call with a special
-    token between them, and kept; the cache is emptied when it has `cache_words`.
+    The vocabulary splits letters from punctuation and lower-cases, so the ids of a part
+    that is letters and punctuation after them are those of either. Plain letters go
+    straight to the merges, in the byte alphabet; all other parts through the whole tokenizer.
     """
-    cache = worker_cache("packing")
-    if cache.get("path") != spec.tokenizer:
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(spec.tokenizer)
-        special = next((k, v.content) for k, v in sorted(tok.get_added_tokens_decoder().items()))
-        cache.update(path=spec.tokenizer, tok=tok, ids={}, special=special)
-    tok, ids, (mark, between) = cache["tok"], cache["ids"], cache["special"]
-
-    def learn(new: set[bytes]) -> None:
-        stems, tails = {}, {}
-        for w in new:
-            if b"<" in w:
-                ids[w] = np.asarray(tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            key = w.lower() if w.isascii() else w
-            stem = key.rstrip(TAIL)
-            if stem != key and stem[-1:].isalpha():
-                tails[w] = key[len(stem) :]
-                stems[w] = stem
-            elif key != w:
-                stems[w] = key
-            else:
-                stems[w] = w
-        todo = [x for x in {*stems.values(), *tails.values()} if x not in ids]
-        for lo in range(0, len(todo), 512):
-            some = todo[lo : lo + 512]
-            got = np.asarray(tok.encode(between.join(x.decode("utf-8", "replace") for x in some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(got == mark)
-            raw, a = got.tobytes(), 0
-            for x, b in zip(some, [*cuts.tolist(), len(got)], strict=True):
-                ids[x] = raw[4 * a : 4 * b]
-                a = b + 1
-        for w, tail in tails.items():
-            ids[w] = ids[stems[w]] + ids[tail]
-        for w, stem in stems.items():
-            if w is not stem and w not in tails:
-                ids[w] = ids[stem]
+        super().__init__()
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.model._resize_cache(0)  # this dict is the cache
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        stem = text.rstrip(TAIL)
+        if stem.isalpha() and max(stem) < "\u0130" and self.model.end_of_word_suffix:  # below: composed, and lower case one to one
+            low = stem.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.alphabet)
+            ids = array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+            if len(stem) < len(text):
+                tail = text[len(stem) :].encode()
+                ids += self.get(tail) or self.setdefault(tail, self.whole(tail.decode()))
+        else:
+            ids = self.whole(text)
+        self[part] = ids
+        return ids
+
+
+def encoder(spec: PackSpec):
+    """text bytes -> ids with the end id. The parts learned stay with the worker and are forgotten when there are `cache_words`."""
+    cache = worker_cache("packing")
+    if cache.get("path") != spec.tokenizer:
+        cache.update(path=spec.tokenizer, parts=PartIds(spec.tokenizer))
+    parts = cache["parts"]
+    end = b"" if spec.end_id is None else spec.end_id.to_bytes(4, "little")
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        if len(ids) > spec.cache_words:
-            ids.clear()
-        learn({w for p in parts for w in p if w not in ids})
-        end = b"" if spec.end_id is None else spec.end_id.to_bytes(4, "little")
-        get = ids.__getitem__
-        return [b"".join(map(get, p)) + end for p in parts]
+        if len(parts) > spec.cache_words:
+            parts.clear()
+        get = parts.__getitem__
+        return [b"".join(map(get, t.split())) + end for t in texts]
 
     return encode
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding
+from . import chat, decontam, license_scan, line_dedup, packing, sharding
 from .common import Scratch, table
 from .sql import ORACLES
 
@@ -18,19 +18,39 @@ def op1_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackSpec(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts hold the template's own marks."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn int, role string, text string")
+    return chat.format_digests(rows.unionByName(own))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontam.DecontamSpec(), Scratch(spark))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, spec, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.LineSpec(), Scratch(spark)
     out = line_dedup.drop_lines(docs, line_dedup.build(docs, spec, scratch), spec)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.LicenseSpec(), Scratch(spark))
+
+
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24, Scratch(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_packing": op1_cost_packing,
+    "op2_chat_template": op2_chat_template,
+    "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_feistel_shards": op9_feistel_shards,
 }
 
