@@ -69,18 +69,16 @@ def _key_places(words: list[str], phrases: list[str]) -> set[int]:
 
 def _base_places(words: Column, hits: Column, spec: LicenseSpec) -> Column:
     """struct(pos, label) of every place where a base phrase's words stand consecutively."""
-    each = []
-    for phrase, label in spec.base.items():
-        want = phrase.split()
-
-        def here(h: Column, want=want) -> Column:
+    def of(want: list[str], label: str) -> Column:
+        def here(h: Column) -> Column:
             ok = h["w"] == want[0]
             for j, w in enumerate(want[1:], 1):
                 ok = ok & (F.get(words, h["pos"] + j) == w)
             return F.coalesce(ok, F.lit(False))
 
-        each.append(F.transform(F.filter(hits, here), lambda h, label=label: F.struct(h["pos"].alias("pos"), F.lit(label).alias("label"))))
-    return F.concat(*each)
+        return F.transform(F.filter(hits, here), lambda h: F.struct(h["pos"].alias("pos"), F.lit(label).alias("label")))
+
+    return F.concat(*(of(phrase.split(), label) for phrase, label in spec.base.items()))
 
 
 def scan(docs: DataFrame, spec: LicenseSpec, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
