@@ -139,8 +139,9 @@ def _found(seen: DataFrame, idf: dict[str, float], rare: list[str], spec: Licens
     votes = votes.filter((F.col("votes") >= spec.min_votes) & (F.col("at") >= 0))
     placed = votes.join(F.broadcast(templates), "t").select("rid", "t", "label", "len", "at", F.inline("words"))
     there = seen.join(votes.select("rid").distinct(), "rid", "left_semi").select("rid", F.inline("hits"))
-    there = there.select("rid", F.col("pos").alias("at_pos"), F.col("w").alias("at_w"))
-    hold = placed.join(there, (placed.rid == there.rid) & (placed.at + placed.i == there.at_pos) & (placed.w == there.at_w), "left").select(placed.rid, "t", "label", "len", "at", "key", F.col("at_w").isNotNull().alias("here"))
+    there = there.withColumn("here", F.lit(True))
+    wanted = placed.withColumn("pos", F.col("at") + F.col("i"))
+    hold = wanted.join(there, ["rid", "pos", "w"], "left").withColumn("here", F.coalesce("here", F.lit(False)))
     judged = hold.groupBy("rid", "t", "label", "len", "at").agg(F.sum(F.col("here").cast("int")).alias("n"), F.bool_and(~F.col("key") | F.col("here")).alias("keys"))
     judged = judged.filter(F.col("keys") & (F.col("n") >= spec.coverage * F.col("len")))
     return judged.groupBy("rid").agg(F.collect_set("label").alias("found_labels"), F.max(F.col("n") / F.col("len")).alias("found_score"))
