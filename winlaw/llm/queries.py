@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, packing, sharding
+from . import chat, decontam, license_scan, line_dedup, packing, sharding, substring_dedup
 from .common import Scratch, table
 from .sql import ORACLES
 
@@ -26,6 +26,11 @@ def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(rows.unionByName(own))
 
 
+def op5_sketched_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), substring_dedup.SubstringSpec(), Scratch(spark))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontam.DecontamSpec(), Scratch(spark))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -48,6 +53,7 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_packing": op1_cost_packing,
     "op2_chat_template": op2_chat_template,
+    "op5_sketched_substrings": op5_sketched_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,

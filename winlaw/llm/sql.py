@@ -60,3 +60,22 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+ORACLES["op5_sketched_substrings"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 35], ' ') AS s FROM d, unnest(range(0, greatest(len(w) - 34, 0))) AS t(i)
+), rep AS (
+  SELECT doc_id, i FROM win JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM rep
+), kept AS (
+  SELECT doc_id, len(w) AS n, list_extract(w, i + 1) AS word, i FROM d, unnest(range(0, len(w))) AS t(i)
+), left_over AS (
+  SELECT kept.doc_id, count(gone.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY kept.i) FILTER (WHERE gone.i IS NULL), '') AS text
+  FROM kept LEFT JOIN gone ON kept.doc_id = gone.doc_id AND kept.i = gone.i GROUP BY kept.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over.text, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
