@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, packing, sharding, substring_dedup
+from . import chat, decontam, license_scan, line_dedup, ngram_join, packing, sharding, substring_dedup
 from .common import Scratch, table
 from .sql import ORACLES
 
@@ -26,6 +26,10 @@ def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(rows.unionByName(own))
 
 
+def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_ids(table(spark, sf_dir, "documents"), ngram_join.JoinSpec(), Scratch(spark))
+
+
 def op5_sketched_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), substring_dedup.SubstringSpec(), Scratch(spark))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -53,6 +57,7 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_packing": op1_cost_packing,
     "op2_chat_template": op2_chat_template,
+    "op3_grouped_prefix_join": op3_grouped_prefix_join,
     "op5_sketched_substrings": op5_sketched_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
