@@ -280,18 +280,26 @@ def _lookup(table: np.ndarray | None, cid: np.ndarray) -> np.ndarray:
 
 
 def _cross_pairs(posted: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Pairs (a, b) of classes of different clusters whose groups share a prefix gram and fit in size."""
+    """Pairs (a, b) of classes of different clusters whose groups fit in size and share enough prefix grams.
+
+    Of two prefixes, let x's end first in the order. x's prefix grams that y has at all are in
+    y's prefix, so the sets share at most the grams that the prefixes share and x's others.
+    """
     live = posted.filter("token IS NOT NULL").select("token", "cid", "n", "comp")
     both = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     live = live.join(both, "token")
     sizes = live.groupBy("token", "comp").agg(F.ceil(F.count("*") / spec.salt_rows).alias("_s"))
     live = live.join(sizes, ["token", "comp"]).withColumn("salt", F.pmod(F.xxhash64("cid"), "_s"))
-    lists = live.groupBy("token", "comp", "salt").agg(F.collect_list(F.struct("cid", "n")).alias("g"))
+    lists = live.groupBy("token", "comp", "salt").agg(F.collect_set(F.struct("cid", "n")).alias("g"))
     left = lists.select("token", F.col("comp").alias("ca"), F.col("g").alias("ga"))
     right = lists.select("token", F.col("comp").alias("cb"), F.col("g").alias("gb"))
     pairs = left.join(right, "token").filter("ca < cb")
     pairs = pairs.select(F.explode("ga").alias("x"), "gb").select("x", F.explode("gb").alias("y")).filter(_fits(F.col("x.n"), F.col("y.n"), spec))
-    pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"))
+    total, other = F.col("x.n") + F.col("y.n"), F.greatest("x.n", "y.n")
+    most = F.col("shared") + F.ceil(other * spec.num / spec.den) - 1
+    pairs = pairs.filter(most * (spec.num + spec.den) >= total * spec.num)  # similar: shared >= num / (num + den) of both sizes
+    pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     group = posted.filter("of IS NOT NULL").select(F.col("of").alias("lead"), "cid").distinct()
     for side in ("a", "b"):  # a group stands for its members
         own = group.select(F.col("lead").alias(side), F.col("cid").alias("_m"))
