@@ -39,10 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: Arrow batches of Spark's default of 10,000 rows would take tens of megabytes several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if "b" in spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower() or int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > 1 << 23:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 23))
+
+
 class Scratch:
     """Tables written to the shared folder; each cuts the lineage behind it and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/winlaw-{uuid.uuid4().hex}"
         self.n = 0
 
