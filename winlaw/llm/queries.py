@@ -7,20 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, ngram_join, packing, sharding, substring_dedup
-from .common import Scratch, table
+from . import chat, decontam, license_scan, line_dedup, ngram_join, ordinal, packing, sharding, substring_dedup
+from .common import Scratch, small_batches, table
 from .sql import ORACLES
 
 
 def op1_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackSpec(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold the template's own marks."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    small_batches(spark)
     marks = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn int, role string, text string")
     return chat.format_digests(rows.unionByName(own))
@@ -30,6 +32,14 @@ def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(table(spark, sf_dir, "documents"), ngram_join.JoinSpec(), Scratch(spark))
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their grade; keep is false for those that a corpus should do without."""
+    docs, spec = table(spark, sf_dir, "documents").select("doc_id", "text"), ordinal.OrdinalSpec()
+    small_batches(spark)
+    model = ordinal.fit(docs, ordinal.grades_of(table(spark, sf_dir, "labels")), spec)
+    return ordinal.score(docs, model, spec).drop("text")
+
+
 def op5_sketched_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), substring_dedup.SubstringSpec(), Scratch(spark))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -58,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_packing": op1_cost_packing,
     "op2_chat_template": op2_chat_template,
     "op3_grouped_prefix_join": op3_grouped_prefix_join,
+    "op4_ordinal_quality": op4_ordinal_quality,
     "op5_sketched_substrings": op5_sketched_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
