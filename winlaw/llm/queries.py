@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, ngram_join, ordinal, packing, sharding, substring_dedup
+from . import chat, decontam, license_scan, line_dedup, media, ngram_join, ordinal, packing, sharding, substring_dedup
 from .common import Scratch, small_batches, table
 from .sql import ORACLES
 
@@ -64,6 +64,11 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24, Scratch(spark))
 
 
+def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return media.store(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_packing": op1_cost_packing,
     "op2_chat_template": op2_chat_template,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_feistel_shards": op9_feistel_shards,
+    "op10_lossless_webp": op10_lossless_webp,
 }
 
 
