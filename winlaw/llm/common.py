@@ -62,6 +62,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def join_rows(docs: DataFrame, keyed: DataFrame, how: str, id_col: str, text_col: str, more: dict[str, str] | None = None) -> DataFrame:
+    """docs joined with keyed on (doc_id, text_key), a row's id and the hash of its text; `more` names columns of keyed and what they become."""
+    free = [f"_{i}_{uuid.uuid4().hex}" for i in range(2)]
+    more = more or {}
+    right = keyed.select(F.col("doc_id").alias(free[0]), F.col("text_key").alias(free[1]), *(F.col(k).alias(v) for k, v in more.items())).dropDuplicates(free)
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(right, docs[id_col].cast("long").eqNullSafe(right[free[0]]) & (key == right[free[1]]), how).drop(*free)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker; tasks and queries of one worker share it."""
     home = sys.modules.setdefault("_winlaw_worker_cache", types.ModuleType("_winlaw_worker_cache"))

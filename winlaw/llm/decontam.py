@@ -9,6 +9,7 @@ verified by a second, independent 64-bit hash of the window's words and its leng
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHA_RE, Scratch, lower_ascii
+from .common import ALPHA_RE, Scratch, join_rows, lower_ascii
 
 
 @dataclass(frozen=True)
@@ -148,16 +149,16 @@ def _merge(spans: Column) -> Column:
 
 def remove_documents(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones; a row is known by its id and the hash of its text."""
-    bad = scanned.filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left_anti")
+    return join_rows(docs, scanned.filter("contaminated"), "left_anti", id_col, text_col)
 
 
 def remove_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a column clean_words: the words outside all spans, lower-cased."""
-    spans = scanned.filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_k"])
-    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    joined = docs.drop("clean_words").join(spans, docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left")
-    words = words_of(joined[text_col])
-    outside = lambda w: F.filter(w, lambda x, i: ~F.exists(F.coalesce(F.col("_s"), F.array().cast("array<struct<start:int,end:int>>")), lambda s: (i >= s["start"]) & (i < s["end"])))
-    return joined.withColumn("clean_words", let(words, outside)).drop("_d", "_k", "_s")
+    own = f"_s_{uuid.uuid4().hex}"
+    joined = join_rows(docs.drop("clean_words"), scanned.filter("n_hit > 0"), "left", id_col, text_col, {"spans": own})
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def outside(words: Column) -> Column:
+        return F.filter(words, lambda x, i: ~F.exists(F.coalesce(F.col(own), none), lambda s: (i >= s["start"]) & (i < s["end"])))
+
+    return joined.withColumn("clean_words", let(words_of(joined[text_col]), outside)).drop(own)

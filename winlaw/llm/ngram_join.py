@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, utf8
+from .common import Scratch, join_rows, slices, utf8
 from .components import components
 from .sketch import SketchSpec, key_bitmap, passes
 from .wordhash import grams, hash_words, mix
@@ -37,15 +37,15 @@ TOP = np.uint64(2**64 - 1)
 
 @dataclass(frozen=True)
 class JoinSpec:
-    """n: words of a gram. num / den: least similarity. bands: of two least hashes each. frequent: share of the documents of a
-    partition from which on a gram is ordered last. broadcast_rows: of clusters that may travel to the tasks (16 bytes each).
+    """n: words of a gram. num / den: least similarity. bands: of two least hashes each. frequent: how many grams at most
+    are ordered last, those in most documents. broadcast_rows: of clusters that may travel to the tasks (16 bytes each).
     salt_rows: rows of a hot key that stay together."""
 
     n: int = 5
     num: int = 75
     den: int = 100
     bands: int = 4
-    frequent: float = 1 / 1000
+    frequent: int = 2_000_000
     broadcast_rows: int = 2_000_000
     salt_rows: int = 256
     partition_rows: int = 1_000_000
@@ -102,22 +102,23 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
-    """A row for each document (doc_id, text_key, n, d1, d2, bands), and rows with doc_id null and n = -1 whose d1 is a frequent gram's hash."""
+    """A row for each document (doc_id, text_key, n, d1, d2, bands), and rows with doc_id null and n = -1: a gram's hash (d1)
+    and in how many documents of a stretch of the partition it is (d2), if more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        n_docs = n_held = 0
+        n_held = 0
         names = ["doc_id", "text_key", "n", "d1", "d2", "bands"]
 
         def frequent() -> Iterator[pa.RecordBatch]:
-            nonlocal n_docs, n_held
+            nonlocal n_held
             if held:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
-                h = h[c >= max(4, spec.frequent * n_docs)]
+                h, c = h[c > 1], c[c > 1]
                 k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), _longs(h), _longs(h), pa.nulls(k, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), _longs(h), pa.array(c.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64()))], names=names)
             held.clear()
-            n_docs = n_held = 0
+            n_held = 0
 
         for batch in batches:
             data, off = utf8(batch.column(1))
@@ -126,7 +127,7 @@ def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * spec.bands), _longs(b.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), _longs(_digest(s, at, 1)), _longs(_digest(s, at, 2)), lists], names=names)
                 held.append(s)
-                n_docs, n_held = n_docs + hi - lo, n_held + len(s)
+                n_held += len(s)
                 if n_held > 1 << 23:
                     yield from frequent()
         yield from frequent()
@@ -271,6 +272,18 @@ def _postings(docs: DataFrame, heavy: np.ndarray, clusters: np.ndarray | None, p
     return posted.repartition(partitions, place).mapInArrow(meet, "token long, cid long, n int, comp long, of long, late boolean")
 
 
+def _frequent(profile: DataFrame, spec: JoinSpec, scratch: Scratch) -> np.ndarray:
+    """The Bloom filter of the grams that are ordered last: of those that met themselves within a partition, the spec.frequent with most documents."""
+    counts = scratch.keep(profile.filter("n = -1").groupBy("d1").agg(F.sum("d2").alias("c")))
+    least, n = 2, 0
+    for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():
+        n += r["k"]
+        if n > spec.frequent:
+            least = r["c"] + 1
+            break
+    return key_bitmap(counts.filter(F.col("c") >= least), "d1", spec.bloom)
+
+
 def _lookup(table: np.ndarray | None, cid: np.ndarray) -> np.ndarray:
     """Clusters of classes from a table (2, m) of classes, sorted, and their clusters; a class not in it is its own, as all are without table."""
     if table is None or not table.shape[1]:
@@ -323,7 +336,7 @@ def link(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "doc_i
     if small:
         t = clusters.toPandas().sort_values("node")
         table = np.stack([t.node.to_numpy(np.int64), t.comp.to_numpy(np.int64)])
-    heavy = key_bitmap(profile.filter("n = -1"), "d1", spec.bloom)
+    heavy = _frequent(profile, spec, scratch)
     grams_posted = own.agg(F.sum("n")).first()[0] or 0
     partitions = max(8, -(-grams_posted * (spec.den - spec.num) // spec.den // spec.partition_rows))
     posted = _postings(plain, heavy, table, partitions, spec)
@@ -362,6 +375,4 @@ def keep_one(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "d
     """
     ids = component_ids(docs, spec, scratch, id_col, text_col)
     later = F.coalesce(F.col("component_id") != F.col("doc_id"), F.col("component_id").isNotNull())
-    gone = ids.filter((F.col("n_shingles") > 0) & later).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left_anti")
+    return join_rows(docs, ids.filter((F.col("n_shingles") > 0) & later), "left_anti", id_col, text_col)
