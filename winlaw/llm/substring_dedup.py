@@ -8,8 +8,7 @@ sketch of anchor counts overestimates window counts:
    which anchors may occur twice.
 2. Windows with such an anchor are written, one row for each anchor's place with the
    hashes of its windows, and grouped exactly by anchor. Anchors of more than `hot` places
-   are grouped window by window instead, pre-aggregated before the shuffle, and joined
-   back, so no task gets all places of a common passage.
+   are dealt into parts, so no task gets all places of a common passage.
 3. An anchor's windows start at consecutive words, fewer than `window` of them; so the
    first and last repeated one bound what they cover. Spans go back to their documents.
 
@@ -33,7 +32,7 @@ from .wordhash import hash_words, long_grams, mix
 
 @dataclass(frozen=True)
 class SubstringSpec:
-    """window: words of a passage. gram: words of an anchor. hot: places from which on an anchor is grouped window by window.
+    """window: words of a passage. gram: words of an anchor. hot: places from which on an anchor is dealt into parts.
     partition_windows: about so many windows are grouped in one task."""
 
     window: int = 35
@@ -157,22 +156,64 @@ def _light(places: DataFrame, partitions: int) -> DataFrame:
     return places.repartition(partitions, "h").mapInArrow(run, SPANS)
 
 
-def _hot(places: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot(places: DataFrame, spec: SubstringSpec, scratch: Scratch) -> DataFrame:
+    """As _light() for anchors with more places than one task should hold.
+
+    An anchor's places are dealt into parts of about `hot`. Each part lists its distinct
+    windows with their counts; summed over parts, these say which windows repeat, and
+    the part gets back those it has. So what is joined are windows of parts, not of places.
+    """
+    sizes = places.groupBy("h").agg(F.ceil(F.count("*") / spec.hot).cast("int").alias("parts"))
+    dealt = places.join(sizes, "h").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "start"), "parts").cast("int")).drop("parts")
+
+    def windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        raw, off = utf8(t.column("windows"))
+        n = np.diff(off) // 8
+        return raw[off[0] : off[-1]].view("<i8"), np.repeat(np.arange(t.num_rows), n)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        w, place = windows(t)
+        h, part = (np.asarray(t.column(c))[place] for c in ("h", "part"))
+        order = np.lexsort((w, part, h))
+        h, part, w = h[order], part[order], w[order]
+        begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (w[1:] != w[:-1])]))
+        n = np.minimum(np.diff(np.append(begin, len(w))), 2)
+        yield pa.RecordBatch.from_arrays([pa.array(h[begin]), pa.array(part[begin].astype(np.int32)), pa.array(w[begin]), pa.array(n)], names=["h", "part", "w", "n"])
+
+    own = scratch.keep(dealt.repartition("h", "part").mapInArrow(distinct, "h long, part int, w long, n long"))
+    repeated = own.groupBy("h", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "w")
+    back = own.join(repeated, ["h", "w"])
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("doc_id", "long"), ("text_key", "long"), ("start", "int"), ("windows", "binary"))]
+    both = back.select("h", "part", "w", *none).unionByName(dealt.withColumn("w", F.lit(None).cast("long")).select("h", "part", "w", "doc_id", "text_key", "start", "windows"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known, sorted_known = None, [], None
         for batch in batches:
-            raw, off = utf8(batch.column(4))
-            n = np.diff(off) // 8
-            place = np.repeat(np.arange(batch.num_rows), n)
-            start = np.asarray(batch.column(3))[place]
-            at = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + start
-            take = pa.array(place)
-            w = raw[off[0] : off[-1]].view("<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(w), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(at.astype(np.int32))], names=["h", "w", "doc_id", "text_key", "place", "at"])
+            out = []
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for h, part, w, doc, text, start, raw in zip(*cols, strict=True):
+                if key != (h, part):
+                    key, known, sorted_known = (h, part), [], None
+                if raw is None:
+                    known.append(w)
+                    continue
+                if sorted_known is None:
+                    sorted_known = np.sort(np.array(known, np.int64))
+                if len(sorted_known):
+                    x = np.frombuffer(raw, "<i8")
+                    hit = np.flatnonzero(sorted_known[np.minimum(np.searchsorted(sorted_known, x), len(sorted_known) - 1)] == x)
+                    if len(hit):
+                        out.append((doc, text, start + int(hit[0]), start + int(hit[-1])))
+            if out:
+                doc, text, first, last = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc_id", "text_key", "first", "last"])
 
-    one = places.mapInArrow(run, "h long, w long, doc_id long, text_key long, place int, at int")
-    repeated = one.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
-    hits = one.join(repeated, ["h", "w"])
-    return hits.groupBy("doc_id", "text_key", "place").agg(F.min("at").alias("first"), F.max("at").alias("last")).select("doc_id", "text_key", "first", "last")
+    order = both.repartition("h", "part").sortWithinPartitions("h", "part", F.col("windows").isNotNull())
+    return order.mapInArrow(bound, SPANS)
 
 
 def spans(docs: DataFrame, spec: SubstringSpec, scratch: Scratch) -> DataFrame:
@@ -184,7 +225,7 @@ def spans(docs: DataFrame, spec: SubstringSpec, scratch: Scratch) -> DataFrame:
     if not hot.take(1):
         return _light(places, partitions)
     light = _light(places.join(hot, "h", "left_anti"), partitions)
-    return light.unionByName(_hot(places.join(hot, "h", "left_semi")))
+    return light.unionByName(_hot(places.join(hot, "h", "left_semi"), spec, scratch))
 
 
 def remove_repeats(docs: DataFrame, spec: SubstringSpec, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
