@@ -1,17 +1,18 @@
 """Exact Jaccard self-join of documents on sets of word n-grams, by grouped prefixes.
 
 1. One pass hashes each document's n-grams and gives its set size, a 128-bit digest of the
-   set, band keys of its least hashes, and the hashes frequent in its partition. Documents
-   with equal sets form a class, which is one unit from here on.
-2. Classes are linked, tentatively, with the least class of each band they share: as many
-   pairs as classes times bands. Those that verify are true links, and join most near
-   copies into clusters, so that no later step pairs the members of a cluster.
+   set, band keys of its least hashes, and the hashes that met themselves in its partition.
+   Documents with equal sets form a class, which is one unit from here on.
+2. Classes that share a band are compared with a few leaders of the band: as many
+   comparisons as classes times bands times leaders. The links found join most near copies into
+   clusters, so that no later step pairs the members of a cluster.
 3. In an order by (frequent, hash), two sets that are similar enough share one of their
    first n - ceil(t n) + 1 n-grams, t = similarity. Documents of a cluster with the same such
-   prefix and size are one group, and a group's prefix is posted once in each partition.
-   Postings meet by n-gram; only n-grams posted from different clusters stay.
-4. Pairs of groups of different clusters on such an n-gram, of fitting sizes, are expanded
-   to their members and verified exactly. All links give the components.
+   prefix and size are one group, whose prefix is posted once in each partition. Postings
+   meet by n-gram. Of the clusters that do, pairs stay in which both have enough n-grams from
+   the shared one on, and sizes that fit.
+4. The members of such pairs of clusters are compared exactly, by their whole sets, until
+   the clusters are linked. All links give the components.
 
 n-grams are held as 64-bit hashes. The set of frequent hashes is a Bloom filter of fixed
 size; whatever it holds, the order is the same everywhere, so no pair is lost.
@@ -39,7 +40,8 @@ TOP = np.uint64(2**64 - 1)
 class JoinSpec:
     """n: words of a gram. num / den: least similarity. bands: of two least hashes each. frequent: how many grams at most
     are ordered last, those in most documents. broadcast_rows: of clusters that may travel to the tasks (16 bytes each).
-    salt_rows: rows of a hot key that stay together."""
+    salt_rows: rows of a hot group that stay together. leaders: of a band, about so many; buckets: bands of a class that are
+    used, those most shared; tile: sets of one side that members are compared with at once."""
 
     n: int = 5
     num: int = 75
@@ -48,6 +50,9 @@ class JoinSpec:
     frequent: int = 2_000_000
     broadcast_rows: int = 2_000_000
     salt_rows: int = 256
+    leaders: int = 8
+    buckets: int = 2
+    tile: int = 64
     partition_rows: int = 1_000_000
     bloom: SketchSpec = field(default_factory=lambda: SketchSpec(rows=2, bits=24))
 
@@ -135,23 +140,21 @@ def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, bands array<long>")
 
 
-def _salted(pairs: DataFrame, key: str, other: str, spec: JoinSpec) -> DataFrame:
-    """pairs with a column salt, so that no (key, salt) has many more than salt_rows of them."""
-    sizes = pairs.groupBy(key).agg(F.ceil(F.count("*") / spec.salt_rows).alias("_s"))
-    return pairs.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64(other), "_s").cast("int")).drop("_s")
+def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of classes that are similar enough, by their whole sets.
 
+    roles: (cid, g, salt, member, side). In each (g, salt) the members (1) are compared with
+    the leaders (0). Leaders of one side stand for a cluster, and members of a group with
+    sides for another: a side that is linked is done. Without sides (null) a member is done
+    with its first link, and leaders are compared with each other too.
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are similar enough, by their whole sets.
-
-    The sets of the classes in pairs are made again from the texts, of each class from its
-    representative (a Bloom filter of fixed size leaves out nearly all others), and each b
-    meets a in a stream: a task holds one set of an a.
+    The sets are made again from the texts, of each class from its representative (a Bloom
+    filter of fixed size leaves out nearly all others). A task holds the sets of the
+    leaders of one (g, salt), which are few, and streams through the members.
     """
-    pairs = scratch.keep(_salted(pairs, "a", "b", spec))
-    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    roles = scratch.keep(roles)
     d = F.coalesce("rep", F.lit(-1).cast("long"))
-    need = ids.join(classes.select("cid", "rep"), "cid").select(F.col("cid").bitwiseXOR(F.shiftleft(d, 17)).bitwiseXOR(d).alias("key"))
+    need = roles.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").bitwiseXOR(F.shiftleft(d, 17)).bitwiseXOR(d).alias("key"))
     bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(need, "key", spec.bloom))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,65 +169,86 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: JoinSpec
                     yield pa.RecordBatch.from_arrays([_longs(cid[ok]), pa.array([s[at[i] : at[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["cid", "grams"])
 
     found = docs.mapInArrow(sets, "cid long, grams binary")
-    roles = pairs.select(F.col("b").alias("cid"), "a", "salt", F.lit(1).alias("member")).unionByName(pairs.select(F.col("a").alias("cid"), "a", "salt", F.lit(0).alias("member")).distinct())
-    met = found.join(roles, "cid").select("a", "salt", "member", F.col("cid").alias("b"), "grams")
+    met = found.join(roles, "cid").select("g", "salt", "member", "cid", "side", "grams")
     num, den = spec.num, spec.den
 
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+            return False
+        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        both = int((x[at] == y).sum())
+        return den * both >= num * (len(x) + len(y) - both)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left = None, np.zeros(0, np.uint64)
+        key, leaders, done = None, {}, set()
         for batch in batches:
-            out_a, out_b = [], []
-            for a, salt, member, b, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            links = []
+            for g, salt, member, cid, side, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 own = np.frombuffer(raw, np.uint64)
-                if not member:
-                    key, left = (a, salt), own
+                if key != (g, salt):
+                    key, leaders, done = (g, salt), {}, set()
+                if cid in leaders:
                     continue
-                if key != (a, salt):
-                    raise ValueError("a set is missing")
-                at = np.minimum(np.searchsorted(left, own), len(left) - 1)
-                both = int((left[at] == own).sum())
-                if den * both >= num * (len(left) + len(own) - both):
-                    out_a.append(a)
-                    out_b.append(b)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    dealt = met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+                if member and side is not None:
+                    for other, (o_side, grams_) in leaders.items():
+                        if o_side not in done and similar(grams_, own):
+                            links.append((other, cid))
+                            done.add(o_side)
+                elif member:
+                    hit = next((other for other, (_, x) in leaders.items() if similar(x, own)), None)
+                    if hit is not None:
+                        links.append((hit, cid))
+                else:
+                    if side is None:
+                        links += [(other, cid) for other, (_, x) in leaders.items() if similar(x, own)]
+                    leaders[cid] = (side, own)
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = met.repartition("g", "salt").sortWithinPartitions("g", "salt", "member")
     return scratch.keep(dealt.mapInArrow(compare, "a long, b long"))
 
 
-def _fits(x, y, spec: JoinSpec):
-    return (F.least(x, y) * spec.den >= F.greatest(x, y) * spec.num)
+def _leader_roles(classes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Roles by which each class meets about spec.leaders others of each of its fullest bands."""
+    rows = classes.select("cid", F.posexplode("bands").alias("j", "key")).select("cid", F.xxhash64("j", "key").alias("g"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
+    best = rows.join(sizes, "g").groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "g")), False), 1, spec.buckets).alias("b"))
+    rows = best.select("cid", F.inline("b"))
+    salts = F.ceil(F.col("c") / spec.salt_rows).cast("int")
+    leads = F.pmod(F.xxhash64("cid", "g"), F.ceil(F.col("c") / spec.leaders)) == 0
+    none = F.lit(None).cast("long").alias("side")
+    members = rows.select("cid", "g", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), none)
+    leaders = rows.filter(leads).select("cid", "g", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), none)
+    return members.unionByName(leaders)
 
 
-def _star_pairs(classes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Each class with the least class of each of its bands."""
-    rows = classes.select("cid", "n", F.posexplode("bands").alias("j", "key"))
-    least = rows.groupBy("j", "key").agg(F.min(F.struct("cid", "n")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("j", "key", F.col("m.cid").alias("a"), F.col("m.n").alias("an"))
-    return rows.join(least, ["j", "key"]).filter((F.col("cid") != F.col("a")) & _fits(F.col("n"), F.col("an"), spec)).select("a", F.col("cid").alias("b")).distinct()
+def _postings(docs: DataFrame, heavy: np.ndarray, table: np.ndarray | None, clusters: DataFrame, partitions: int, spec: JoinSpec) -> DataFrame:
+    """(token, comp, late, n, rest): the prefix grams that were posted from more than one cluster, and all frequent ones (late).
 
+    n: least size of the cluster's groups that have it, rest: most grams of one of them from it on.
 
-def _postings(docs: DataFrame, heavy: np.ndarray, clusters: np.ndarray | None, partitions: int, spec: JoinSpec) -> DataFrame:
-    """(token, cid, n, comp, of, late) of prefix grams that were posted from more than one cluster, and of all frequent ones (late);
-    with token null: members of groups, and in `of` the class under which their group is posted."""
+    table: clusters as an array, if they are few enough to travel; else they are joined."""
     sc = docs.sparkSession.sparkContext
-    bits, known = sc.broadcast(heavy), sc.broadcast(clusters)
+    bits, known = sc.broadcast(heavy), sc.broadcast(table)
+    names = ["token", "comp", "late", "n", "rest"]
+    schema = "token long, comp long, late boolean, n int, rest int"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: set[int] = set()
-        groups: dict[tuple[int, int, int], int] = {}
-        names = ["token", "cid", "n", "of", "late"]
+        groups: set[tuple[int, int, int]] = set()
         for batch in batches:
             data, off = utf8(batch.column(1))
             for _, _, s, at in gram_sets(data, off, spec):
-                size = np.diff(at)
+                size = np.diff(at).tolist()
                 cid = _digest(s, at, 1).view(np.int64)
-                comp = _lookup(known.value, cid).tolist()
+                comp = _lookup(known.value, cid)
                 late = passes(bits.value, s, spec.bloom)
                 before = np.concatenate([[0], np.cumsum(late)]).tolist()
                 cuts = at.tolist()
-                tokens, flags, owner, members = [], [], [], []
-                for i, (n, c) in enumerate(zip(size.tolist(), cid.tolist(), strict=True)):
+                tokens, flags, rest, owner = [], [], [], []
+                for i, (n, c, k) in enumerate(zip(size, cid.tolist(), comp.tolist(), strict=True)):
                     if not n or c in classes:
                         continue
                     classes.add(c)
@@ -233,43 +257,39 @@ def _postings(docs: DataFrame, heavy: np.ndarray, clusters: np.ndarray | None, p
                     if before[cuts[i + 1]] > before[cuts[i]]:
                         own, flag = np.concatenate([own[~flag], own[flag]]), np.sort(flag)
                     own = own[:p]
-                    lead = groups.setdefault((int(mix(own).sum()), n, comp[i]), c)
-                    if lead != c:
-                        members.append((c, n, lead))
+                    group = (int(mix(own).sum()), n, k)
+                    if group in groups:
                         continue
+                    groups.add(group)
                     tokens.append(own)
                     flags.append(flag[:p])
+                    rest.append(np.arange(n, n - p, -1, dtype=np.int32))
                     owner += [i] * p
                 if tokens:
                     o = np.array(owner)
-                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(cid[o]), pa.array(size[o].astype(np.int32)), pa.nulls(len(o), pa.int64()), pa.array(np.concatenate(flags))], names=names)
-                if members:
-                    c, n, lead = zip(*members, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(lead, pa.int64()), pa.array([False] * len(c))], names=names)
+                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(comp[o]), pa.array(np.concatenate(flags)), pa.array(np.array(size, np.int32)[o]), pa.array(np.concatenate(rest))], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks()
-        cid = np.asarray(t.column("cid")).astype(np.int64)
-        comp = _lookup(known.value, cid)
-        token = np.asarray(t.column("token").fill_null(0)).astype(np.int64)
-        keep = np.asarray(t.column("late")) | np.asarray(t.column("of").is_valid())
-        rest = np.flatnonzero(~keep)
-        order = rest[np.lexsort((comp[rest], token[rest]))]
-        tok, own = token[order], comp[order]
-        if len(order):
-            begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            end = np.append(begin[1:], len(tok)) - 1
-            keep[order[np.repeat(own[begin] != own[end], end - begin + 1)]] = True
-        rows = np.flatnonzero(keep)
-        t = t.take(pa.array(rows)).append_column("comp", pa.array(comp[rows]))
-        yield from t.select(["token", "cid", "n", "comp", "of", "late"]).combine_chunks().to_batches()
-
-    posted = docs.mapInArrow(post, "token long, cid long, n int, of long, late boolean")
-    place = F.when(F.col("token").isNull() | F.col("late"), F.xxhash64("token", "cid")).otherwise(F.col("token"))
-    return posted.repartition(partitions, place).mapInArrow(meet, "token long, cid long, n int, comp long, of long, late boolean")
+        token, comp, late, size, rest = (np.asarray(t.column(c)) for c in names)
+        order = np.lexsort((comp, token))
+        token, comp, late, size, rest = (x[order] for x in (token, comp, late, size, rest))
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])]))
+        token, comp, late, size, rest = token[first], comp[first], late[first], np.minimum.reduceat(size, first), np.maximum.reduceat(rest, first)
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.append(begin, len(token)))
+        keep = late | np.repeat(n > 1, n)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, comp, late, size, rest)], names=names)
+
+    posted = docs.mapInArrow(post, schema)
+    if table is None:
+        own = clusters.select(F.col("node").alias("comp"), F.col("comp").alias("_c"))
+        posted = posted.join(own, "comp", "left").select("token", F.coalesce("_c", "comp").alias("comp"), "late", "n", "rest")
+    place = F.when(F.col("late"), F.xxhash64("token", "comp")).otherwise(F.col("token"))
+    return posted.repartition(partitions, place).mapInArrow(meet, schema)
 
 
 def _frequent(profile: DataFrame, spec: JoinSpec, scratch: Scratch) -> np.ndarray:
@@ -292,33 +312,37 @@ def _lookup(table: np.ndarray | None, cid: np.ndarray) -> np.ndarray:
     return np.where(table[0][at] == cid, table[1][at], cid)
 
 
-def _cross_pairs(posted: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Pairs (a, b) of classes of different clusters whose groups fit in size and share enough prefix grams.
+def _cluster_roles(posted: DataFrame, members: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
+    """Roles by which the members of clusters meet that share a prefix gram. members: (cid, comp, n).
 
-    Of two prefixes, let x's end first in the order. x's prefix grams that y has at all are in
-    y's prefix, so the sets share at most the grams that the prefixes share and x's others.
+    From the first gram on that two similar sets share, either has as many grams left as they
+    share, t / (1 + t) of both sizes at least. For clusters, the most that are left in a group
+    and the least size are taken, so no pair of their members is lost.
     """
-    live = posted.filter("token IS NOT NULL").select("token", "cid", "n", "comp")
+    live = posted.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
     both = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    live = live.join(both, "token")
-    sizes = live.groupBy("token", "comp").agg(F.ceil(F.count("*") / spec.salt_rows).alias("_s"))
-    live = live.join(sizes, ["token", "comp"]).withColumn("salt", F.pmod(F.xxhash64("cid"), "_s"))
-    lists = live.groupBy("token", "comp", "salt").agg(F.collect_set(F.struct("cid", "n")).alias("g"))
-    left = lists.select("token", F.col("comp").alias("ca"), F.col("g").alias("ga"))
-    right = lists.select("token", F.col("comp").alias("cb"), F.col("g").alias("gb"))
-    pairs = left.join(right, "token").filter("ca < cb")
-    pairs = pairs.select(F.explode("ga").alias("x"), "gb").select("x", F.explode("gb").alias("y")).filter(_fits(F.col("x.n"), F.col("y.n"), spec))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"))
-    total, other = F.col("x.n") + F.col("y.n"), F.greatest("x.n", "y.n")
-    most = F.col("shared") + F.ceil(other * spec.num / spec.den) - 1
-    pairs = pairs.filter(most * (spec.num + spec.den) >= total * spec.num)  # similar: shared >= num / (num + den) of both sizes
-    pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    group = posted.filter("of IS NOT NULL").select(F.col("of").alias("lead"), "cid").distinct()
-    for side in ("a", "b"):  # a group stands for its members
-        own = group.select(F.col("lead").alias(side), F.col("cid").alias("_m"))
-        more = pairs.join(own, side).drop(side).withColumnRenamed("_m", side)
-        pairs = pairs.unionByName(more).distinct()
-    return pairs
+    live = scratch.keep(live.join(both, "token"))
+    left, right = (live.select("token", *(F.col(c).alias(c + x) for c in ("comp", "n", "rest"))) for x in "ab")
+    enough = F.least("resta", "restb") * (spec.num + spec.den) >= (F.col("na") + F.col("nb")) * spec.num
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("compa") < F.col("compb")) & enough)
+    pairs = pairs.select(F.col("compa").alias("ca"), F.col("compb").alias("cb")).distinct()
+    sizes = scratch.keep(members.groupBy("comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k")))
+    for side in "ab":
+        pairs = pairs.join(sizes.select(F.col("comp").alias(f"c{side}"), *(F.col(c).alias(f"{c}{side}") for c in ("lo", "hi", "k"))), f"c{side}")
+    fit = (F.col("hia") * spec.den >= F.col("lob") * spec.num) & (F.col("hib") * spec.den >= F.col("loa") * spec.num)
+    pairs = scratch.keep(pairs.filter(fit))
+    big = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")))
+    pairs = pairs.select(F.when(big, F.col("ca")).otherwise(F.col("cb")).alias("big"), F.when(big, F.col("cb")).otherwise(F.col("ca")).alias("small"), F.greatest("ka", "kb").alias("k"))
+    own = members.select("comp", "cid")
+    leaders = pairs.join(own.withColumnRenamed("comp", "small"), "small").select("big", "k", F.col("small").alias("side"), "cid")
+    tiles = leaders.groupBy("big").agg(F.ceil(F.count("*") / spec.tile).alias("tiles"))
+    leaders = leaders.join(tiles, "big").withColumn("tile", F.pmod(F.xxhash64("cid"), "tiles"))
+    salts = F.ceil(F.col("k") / spec.salt_rows).cast("int")
+    g = F.xxhash64("big", "tile").alias("g")
+    lead = leaders.select("cid", g, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), "side")
+    groups = leaders.select("big", "tile", "k").distinct()
+    rest = groups.join(own.withColumnRenamed("comp", "big"), "big").select("cid", g, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("big").alias("side"))
+    return lead.unionByName(rest)
 
 
 def link(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -329,22 +353,18 @@ def link(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "doc_i
     own = profile.filter("n > 0")
     classes = scratch.keep(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumnRenamed("d1", "cid"))
 
-    near = verify(plain, classes, _star_pairs(classes, spec), spec, scratch)
+    near = verify(plain, classes, _leader_roles(classes, spec), spec, scratch)
     clusters = scratch.keep(components(near, scratch))
-    small = clusters.count() <= spec.broadcast_rows
     table = None
-    if small:
+    if clusters.count() <= spec.broadcast_rows:
         t = clusters.toPandas().sort_values("node")
         table = np.stack([t.node.to_numpy(np.int64), t.comp.to_numpy(np.int64)])
     heavy = _frequent(profile, spec, scratch)
-    grams_posted = own.agg(F.sum("n")).first()[0] or 0
-    partitions = max(8, -(-grams_posted * (spec.den - spec.num) // spec.den // spec.partition_rows))
-    posted = _postings(plain, heavy, table, partitions, spec)
-    if not small:
-        known = clusters.select(F.col("node").alias("cid"), F.col("comp").alias("c"))
-        posted = posted.join(known, "cid", "left").withColumn("comp", F.coalesce("c", "cid")).drop("c")
-    posted = scratch.keep(posted)
-    far = verify(plain, classes, _cross_pairs(posted, spec), spec, scratch)
+    posted = own.agg(F.sum("n")).first()[0] or 0
+    partitions = max(8, -(-posted * (spec.den - spec.num) // spec.den // spec.partition_rows))
+    posted = scratch.keep(_postings(plain, heavy, table, clusters, partitions, spec))
+    members = classes.join(clusters.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "n")
+    far = verify(plain, classes, _cluster_roles(posted, members, spec, scratch), spec, scratch)
     return profile.filter("n >= 0"), classes, near.unionByName(far)
 
 
