@@ -131,10 +131,11 @@ def test_join_of_nothing(no_docs, spark):
     assert ngram_join.component_ids(no_docs, ngram_join.JoinSpec(), Scratch(spark)).count() == 0
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [1000, 0])
+def test_connected_components(spark, one_task):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + i, 101 + i) for i in range(40)]
-    got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
+    got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark), one_task=one_task).collect()}
     parent = {x: x for e in links for x in e}
 
     def find(x):

@@ -1,6 +1,8 @@
-"""Connected components of a table of links, by alternating large and small stars.
+"""Connected components of a table of links.
 
-Each round is two joins of the links with each node's least neighbour; the links are
+Every partition first contracts its own links to a forest. Up to `one_task` links that are
+left (16 bytes each) are contracted in one task; more go through alternating large and
+small stars. There, each round is two joins of the links with each node's least neighbour; the links are
 written to the shared folder between rounds, and only a count and a checksum come to
 the driver. A node with very many links is no group of its own in any task: least
 neighbours are pre-aggregated, and the join's hot side can be split.
@@ -8,6 +10,10 @@ neighbours are pre-aggregated, and the join's hot side can be split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +39,51 @@ def _small(links: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
-def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+class Forest:
+    """Union-find by least node."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up, root = self.up, x
+        while (y := up.get(root, root)) != root:
+            root = y
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def link(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.up.setdefault(min(a, b), min(a, b))
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        nodes = [x for x in self.up if self.find(x) != x]
+        return np.array(nodes, np.int64), np.array([self.up[x] for x in nodes], np.int64)
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = Forest()
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.link(u, v)
+        if len(forest.up) > 4_000_000:  # what is held in a task is bounded
+            u, v = forest.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            forest = Forest()
+    u, v = forest.edges()
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", one_task: int = 4_000_000) -> DataFrame:
     """(node, comp) of every node that has a link with another; comp is the least node reachable."""
-    now = scratch.keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
+    now = scratch.keep(pairs.mapInArrow(_contract, "u long, v long"))
+    if now.count() <= one_task:
+        now = scratch.keep(now.coalesce(1).mapInArrow(_contract, "u long, v long"))
+        return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
     mark = _mark(now)
     while mark[0]:
         now = scratch.keep(_small(_large(now)))

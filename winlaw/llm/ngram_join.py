@@ -102,18 +102,37 @@ def _bands(s: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
     return [mix(least[2 * j] ^ mix(least[2 * j + 1] + np.uint64(j))) for j in range(bands)]
 
 
+def _counts(s: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """Of each set how many of its hashes fall in each of its slots, a byte each; None if one doesn't fit. There are half as many slots as hashes, or up to twice that."""
+    low, out, cuts = ((s >> np.uint64(20)) & np.uint64(8191)).astype(np.int64), [], at.tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        slots = min(max(32, 1 << ((b - a) // 2).bit_length()), 8192)
+        n = np.bincount(low[a:b] & (slots - 1), minlength=slots)
+        out.append(n.astype(np.uint8).tobytes() if n.max() < 256 else None)
+    return out
+
+
+def _most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of the lesser counts, the finer of the two folded to the other's slots."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
-    """A row for each document (doc_id, text_key, n, d1, d2, bands), and rows with doc_id null and n = -1: a gram's hash (d1)
+    """A row for each document (doc_id, text_key, n, d1, d2, bands, slots), and rows with doc_id null and n = -1: a gram's hash (d1)
     and in how many documents of a stretch of the partition it is (d2), if more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n_held = 0
-        names = ["doc_id", "text_key", "n", "d1", "d2", "bands"]
+        names = ["doc_id", "text_key", "n", "d1", "d2", "bands", "slots"]
 
         def frequent() -> Iterator[pa.RecordBatch]:
             nonlocal n_held
@@ -121,7 +140,7 @@ def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
                 h, c = h[c > 1], c[c > 1]
                 k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), _longs(h), pa.array(c.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), _longs(h), pa.array(c.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary())], names=names)
             held.clear()
             n_held = 0
 
@@ -130,14 +149,14 @@ def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
             for lo, hi, s, at in gram_sets(data, off, spec):
                 b = np.stack(_bands(s, at, spec.bands), 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * spec.bands), _longs(b.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), _longs(_digest(s, at, 1)), _longs(_digest(s, at, 2)), lists], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), _longs(_digest(s, at, 1)), _longs(_digest(s, at, 2)), lists, pa.array(_counts(s, at), pa.binary())], names=names)
                 held.append(s)
                 n_held += len(s)
                 if n_held > 1 << 23:
                     yield from frequent()
         yield from frequent()
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, bands array<long>, slots binary")
 
 
 def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
@@ -148,11 +167,15 @@ def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec
     sides for another: a side that is linked is done. Without sides (null) a member is done
     with its first link, and leaders are compared with each other too.
 
+    Before any set is fetched, the leaders and members are held against each other by their
+    counts in slots: two sets share at most the sum of the lesser counts. Those whom that
+    rules out with everyone drop out.
+
     The sets are made again from the texts, of each class from its representative (a Bloom
     filter of fixed size leaves out nearly all others). A task holds the sets of the
     leaders of one (g, salt), which are few, and streams through the members.
     """
-    roles = scratch.keep(roles)
+    roles = scratch.keep(_possible(roles, classes, spec))
     d = F.coalesce("rep", F.lit(-1).cast("long"))
     need = roles.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").bitwiseXOR(F.shiftleft(d, 17)).bitwiseXOR(d).alias("key"))
     bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(need, "key", spec.bloom))
@@ -210,12 +233,49 @@ def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec
     return scratch.keep(dealt.mapInArrow(compare, "a long, b long"))
 
 
-def _leader_roles(classes: DataFrame, spec: JoinSpec) -> DataFrame:
+def _possible(roles: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The roles without leaders and members that are unlike everyone in their (g, salt), by sizes and counts in slots."""
+    num, den = spec.num, spec.den
+    columns = ["cid", "g", "salt", "member", "side"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leaders, used = None, [], set()
+
+        def like(n: int, x: np.ndarray | None, m: int, y: np.ndarray | None) -> bool:
+            if den * min(n, m) < num * max(n, m):
+                return False
+            return x is None or y is None or (den + num) * _most_shared(x, y) >= num * (n + m)
+
+        for batch in batches:
+            out = []
+            for cid, g, salt, member, side, n, raw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if key != (g, salt):
+                    key, leaders, used = (g, salt), [], set()
+                slots = None if raw is None else np.frombuffer(raw, np.uint8).astype(np.uint16)
+                if not member:
+                    leaders.append((cid, side, n, slots))
+                    continue
+                hit = [i for i, (c, _, m, y) in enumerate(leaders) if c != cid and like(n, slots, m, y)]
+                for i in hit:
+                    if i not in used:
+                        used.add(i)
+                        out.append((leaders[i][0], g, salt, 0, leaders[i][1]))
+                if hit:
+                    out.append((cid, g, salt, 1, side))
+            if out:
+                c, g, x, m, d = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(x, pa.int32()), pa.array(m, pa.int32()), pa.array(d, pa.int64())], names=columns)
+
+    met = roles.join(classes.select("cid", "n", "slots"), "cid").select(*columns, "n", "slots")
+    return met.repartition("g", "salt").sortWithinPartitions("g", "salt", "member").mapInArrow(run, "cid long, g long, salt int, member int, side long")
+
+
+def _leader_roles(classes: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
     """Roles by which each class meets about spec.leaders others of each of its fullest bands."""
     rows = classes.select("cid", F.posexplode("bands").alias("j", "key")).select("cid", F.xxhash64("j", "key").alias("g"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
     best = rows.join(sizes, "g").groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "g")), False), 1, spec.buckets).alias("b"))
-    rows = best.select("cid", F.inline("b"))
+    rows = scratch.keep(best.select("cid", F.inline("b")))
     salts = F.ceil(F.col("c") / spec.salt_rows).cast("int")
     leads = F.pmod(F.xxhash64("cid", "g"), F.ceil(F.col("c") / spec.leaders)) == 0
     none = F.lit(None).cast("long").alias("side")
@@ -351,9 +411,9 @@ def link(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "doc_i
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
     profile = scratch.keep(_profile(plain.withColumn("text_key", F.xxhash64("text")), spec))
     own = profile.filter("n > 0")
-    classes = scratch.keep(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumnRenamed("d1", "cid"))
+    classes = scratch.keep(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")).withColumnRenamed("d1", "cid"))
 
-    near = verify(plain, classes, _leader_roles(classes, spec), spec, scratch)
+    near = verify(plain, classes, _leader_roles(classes, spec, scratch), spec, scratch)
     clusters = scratch.keep(components(near, scratch))
     table = None
     if clusters.count() <= spec.broadcast_rows:
