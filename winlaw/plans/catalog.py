@@ -23,9 +23,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from . import queries as _  # noqa: F401  registers itself
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
