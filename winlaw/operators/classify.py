@@ -103,7 +103,7 @@ def one_nn(train: DataFrame, test: DataFrame, vector: str, label: str, key: str,
     their nearest; so neither side is held whole in one task.
     """
     kinds = dict(train.dtypes)
-    schema = f"{key} {dict(test.dtypes)[key]}, d double, k {kinds[key]}, l {kinds[label]}"
+    schema = f"{key} {dict(test.dtypes)[key]}, _d double, _k {kinds[key]}, _l {kinds[label]}"
     queries = [r for r in test.select(key, vector).collect()]  # a stated, bounded query set
     out = None
     for lo in range(0, max(len(queries), 1), block):
@@ -124,10 +124,10 @@ def one_nn(train: DataFrame, test: DataFrame, vector: str, label: str, key: str,
                     t = (float(d[i, j]), pdf[key].iloc[j], pdf[label].iloc[j])
                     best[i] = t if best[i] is None or t < best[i] else best[i]
             rows = [(i, *b) for i, b in zip(ids, best, strict=True) if b is not None]
-            yield pd.DataFrame(rows, columns=[key, "d", "k", "l"])
+            yield pd.DataFrame(rows, columns=[key, "_d", "_k", "_l"])
 
         part = train.select(key, vector, label).mapInPandas(run, schema)
-        part = part.groupBy(key).agg(F.min(F.struct("d", "k", "l")).alias("m")).select(key, F.col("m.l").alias("prediction"), F.sqrt("m.d").alias("distance"))
+        part = part.groupBy(key).agg(F.min(F.struct("_d", "_k", "_l")).alias("_m")).select(key, F.col("_m._l").alias("prediction"), F.sqrt("_m._d").alias("distance"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,15 +187,24 @@ def mechanism_start(stats: DataFrame, k: int, trim: float = 0.01, seeds: int = 5
     return laws_of_labels(stats, labels, k)
 
 
-def gmm(features: DataFrame, k: int, seed: int = 0, column: str = "s") -> DataFrame:
-    rows = features.select("window_id", array_to_vector(column).alias("features"))
-    return GaussianMixture(k=k, seed=seed).fit(rows).transform(rows).select("window_id", F.col("prediction").alias("label"))
+def gmm(features: DataFrame, k: int, seeds: int = 8, column: str = "s") -> DataFrame:
+    """Gaussian mixture, the likeliest of several starts."""
+    rows = features.select("window_id", array_to_vector(column).alias("features")).cache()
+    best = max((GaussianMixture(k=k, seed=s, maxIter=200).fit(rows) for s in range(seeds)), key=lambda m: m.summary.logLikelihood)
+    return best.transform(rows).select("window_id", F.col("prediction").alias("label"))
 
 
-def bisecting(features: DataFrame, k: int, seed: int = 0, column: str = "s") -> DataFrame:
-    """A hierarchical partition; stands for the agglomerative and tree-based ones, which need all distances or one task."""
-    rows = features.select("window_id", array_to_vector(column).alias("features"))
-    return BisectingKMeans(k=k, seed=seed).fit(rows).transform(rows).select("window_id", F.col("prediction").alias("label"))
+def bisecting(features: DataFrame, k: int, seeds: int = 3, column: str = "s") -> DataFrame:
+    """Divisive partition: the largest cluster is split in two by K-means until there are k. Stands for the agglomerative and
+    tree-based ones, which need all distances or one task."""
+    now = features.select("window_id", array_to_vector(column).alias("features")).withColumn("label", F.lit(0)).cache()
+    for new in range(1, k):
+        big = now.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
+        own = now.filter(F.col("label") == big)
+        best = min((KMeans(k=2, seed=s).fit(own) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+        split = best.transform(now).withColumn("label", F.when((F.col("label") == big) & (F.col("prediction") == 1), new).otherwise(F.col("label")))
+        now = split.select("window_id", "features", "label").cache()
+    return now.select("window_id", "label")
 
 
 def fuzzy_cmeans(features: DataFrame, k: int, m: float = 2.0, max_iter: int = 100, tol: float = 1e-5, seed: int = 0, column: str = "s") -> tuple[np.ndarray, DataFrame]:
@@ -205,7 +214,11 @@ def fuzzy_cmeans(features: DataFrame, k: int, m: float = 2.0, max_iter: int = 10
         return d / d.sum(1, keepdims=True)
 
     rows = features.select("window_id", F.col(column).alias("s")).cache()
-    c = np.array([r["s"] for r in rows.orderBy(F.xxhash64("window_id", F.lit(seed))).limit(k).collect()])
+    some = np.array([r["s"] for r in rows.orderBy(F.xxhash64("window_id", F.lit(seed))).limit(50 * k).collect()])
+    picked = [0]
+    while len(picked) < k:  # each next start is the farthest from those before
+        picked.append(int(((some[:, None] - some[picked]) ** 2).sum(-1).min(1).argmax()))
+    c = some[picked]
     for _ in range(max_iter):
         def run(batches: Iterator[pd.DataFrame], now=c) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -234,7 +247,10 @@ def student_t_em(samples: DataFrame, columns: list, y: str, start: LawFit, max_i
     rows = samples.select("window_id", F.col(y).cast("double").alias("_y"), F.array(*[c.cast("double") for _, c in columns]).alias("_b"))
     fit, nus, last, history = start, np.full(k, nu), None, []
     for it in range(max_iter):
-        def run(pdf: pd.DataFrame, now=fit, deg=nus) -> pd.DataFrame:
+        held = (fit, nus.copy())
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:  # collected within this round
+            now, deg = held
             b, v = np.stack(pdf["_b"].to_numpy()), pdf["_y"].to_numpy()
             r2 = ((v[:, None] - b @ now.coef.T) / now.sigma) ** 2
             c = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) - 0.5 * math.log(d * math.pi) for d in deg]) - np.log(now.sigma)
