@@ -151,7 +151,7 @@ def _schema(docs: DataFrame) -> T.StructType:
 def _by_broadcast(docs: DataFrame, state: LineState, drop: DataFrame, spec: LineSpec, text_col: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     exact = drop.select("h1", "h2").toPandas()  # at most spec.broadcast_keys rows of 16 bytes
-    filters = {r["shard"]: bytes(r["filter"]) for r in state.filters.select("shard", "filter").toLocalIterator()}
+    filters = {r["shard"]: bytes(r["filter"]) for r in state.filters.select("shard", "filter").collect()}
     shared = sc.broadcast((np.stack([exact.h1.to_numpy("<i8"), exact.h2.to_numpy("<i8")], 1).tobytes(), filters))
     shards, at = spec.shards, docs.columns.index(text_col)
 

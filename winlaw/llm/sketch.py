@@ -81,7 +81,7 @@ def merge(partials: DataFrame, spec: SketchSpec, least: int) -> np.ndarray:
 
     out = np.zeros((spec.rows << spec.bits) // 8, np.uint8)
     size = width // 8
-    for r in partials.repartition("block").mapInArrow(run, "block int, bits binary").toLocalIterator():
+    for r in partials.repartition("block").mapInArrow(run, "block int, bits binary").collect():  # at most the bitmap
         out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(spec.rows, -1)
 
