@@ -53,7 +53,7 @@ class JoinSpec:
     leaders: int = 8
     buckets: int = 2
     tile: int = 64
-    partition_rows: int = 1_000_000
+    partition_rows: int = 400_000
     bloom: SketchSpec = field(default_factory=lambda: SketchSpec(rows=2, bits=24))
 
 
@@ -152,7 +152,7 @@ def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), _longs(_digest(s, at, 1)), _longs(_digest(s, at, 2)), lists, pa.array(_counts(s, at), pa.binary())], names=names)
                 held.append(s)
                 n_held += len(s)
-                if n_held > 1 << 23:
+                if n_held > 1 << 21:
                     yield from frequent()
         yield from frequent()
 

@@ -38,7 +38,7 @@ def cells(keys: np.ndarray, row: int, spec: SketchSpec) -> np.ndarray:
 class PartialSketch:
     """Gathers keys of one partition; memory is bounded by `held` keys."""
 
-    def __init__(self, spec: SketchSpec, held: int = 1 << 22):
+    def __init__(self, spec: SketchSpec, held: int = 1 << 20):
         self.spec, self.held, self.keys, self.n = spec, held, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:

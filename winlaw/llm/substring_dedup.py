@@ -38,7 +38,7 @@ class SubstringSpec:
     window: int = 35
     gram: int = 12
     hot: int = 500
-    partition_windows: int = 2_000_000
+    partition_windows: int = 500_000
     sketch: SketchSpec = field(default_factory=SketchSpec)
 
 

@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, dict]:
     cache = worker_cache("wordhash")
     if len(cache.get("pow", ())) < n:
-        size = max(n, (1 << 20) + (1 << 18))
+        size = max(n, (1 << 18) + (1 << 16))
         for name, base in (("pow", BASE), ("inv", pow(BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
