@@ -30,7 +30,7 @@ from .wordhash import hash_words, mix
 @dataclass(frozen=True)
 class OrdinalSpec:
     """grades: how many, from 0. rows_per_grade bounds the sample that is fitted; a feature
-    in fewer than min_rows of its rows, or of a smaller value than min_value, has weight 0; grades count by their rows to the power 1 - balance. keep_grade, keep_prob: a row is kept if
+    in fewer than min_rows of its rows, of a smaller value than min_value, or whose difference is below min_sure standard errors, has weight 0; grades count by their rows to the power 1 - balance. The sample is gone through `epochs` times, and until there were `updates`. keep_grade, keep_prob: a row is kept if
     P(grade >= keep_grade) >= keep_prob."""
 
     grades: int = 3
@@ -38,8 +38,10 @@ class OrdinalSpec:
     rows_per_grade: int = 12000
     min_rows: int = 5
     min_value: float = 0.7
+    min_sure: float = 3.0
     balance: float = 0.25
     epochs: int = 8
+    updates: int = 1000
     batch: int = 64
     rate: float = 0.1
     l2: float = 1e-5
@@ -94,14 +96,18 @@ def fit_arrays(grade: np.ndarray, first: np.ndarray, idx: np.ndarray, spec: Ordi
     owner = np.repeat(np.arange(len(grade)), np.diff(first))
     rows_with = np.stack([np.bincount(idx[grade[owner] == k], minlength=size) for k in range(g)])
     total = rows_with.sum(0)
-    value = np.zeros(size)
+    value, sure = np.zeros(size), np.zeros(size)
+    p = np.clip(total / len(grade), 1e-9, 1 - 1e-9)
     for k in range(g):
-        a, b = (rows_with[k] + 1) / (count[k] + 2), (total - rows_with[k] + 1) / (len(grade) - count[k] + 2)
-        value = np.maximum(value, np.abs(np.log(a / b)))
-    kept = (total >= spec.min_rows) & (value >= spec.min_value)
+        own, rest = rows_with[k], total - rows_with[k]
+        n, m = count[k], max(len(grade) - count[k], 1)
+        value = np.maximum(value, np.abs(np.log((own + 1) / (n + 2) * (m + 2) / (rest + 1))))
+        sure = np.maximum(sure, np.abs(own / n - rest / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m)))
+    kept = (total >= spec.min_rows) & (value >= spec.min_value) & (sure >= spec.min_sure)
     owner = owner[kept[idx]]
     idx, first = idx[kept[idx]], np.searchsorted(owner, np.arange(len(grade) + 1))
-    for _ in range(spec.epochs):
+    batches = -(-len(grade) // spec.batch)
+    for _ in range(max(spec.epochs, -(-spec.updates // batches))):
         order = rng.permutation(len(grade))
         for lo in range(0, len(order), spec.batch):
             rows = order[lo : lo + spec.batch]
