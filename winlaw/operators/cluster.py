@@ -179,6 +179,8 @@ def kmeans(features: DataFrame, k: int, seeds: int = 5, column: str = "s") -> Da
 
 def mechanism_start(stats: DataFrame, k: int, trim: float = 0.01, seeds: int = 5) -> LawFit:
     """Laws of the K-means of mechanism features, its centres found without the farthest windows."""
+    if k == 1:
+        return laws_of_labels(stats, stats.select("window_id").withColumn("label", F.lit(0)), 1)
     feats, m = mechanism_features(stats)
     feats = feats.cache()
     own = inliers(feats, m.shape[1], trim).select("window_id", array_to_vector("s").alias("features")).cache()

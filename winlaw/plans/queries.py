@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses, terms, theory
-from ..operators import classify, cluster, evaluate, laws, stats, windowing
+from ..operators import classify, cluster, evaluate, laws, selection, stats, windowing
 from ..session import table
 from ..sources import generators
 from ..streaming import online
@@ -201,6 +201,39 @@ def q_em_step(spark, sf_dir):
     return cluster.assign(s, fit).select("window_id", _r(F.col("posterior")[0], 4).alias("p0"))
 
 
+@query("leave_one_out")
+def q_loo(spark, sf_dir):
+    s = planted(spark, sf_dir, 1.0, True)
+    return selection.loo_error(s, _quadratic()).select("window_id", "n", _r("loo", 5).alias("loo"))
+
+
+@query("rank_choice")
+def q_rank(spark, sf_dir):
+    s = planted(spark, sf_dir, 1.0, True)
+    size, log = selection.select_rank(s, lambda k: terms.legendre("x", k, -2.0, 2.0), [2, 3, 5])
+    return spark.createDataFrame([(r["size"], float(r["error"]), float(r["se"]), r["size"] == size) for r in log], "size int, error double, se double, chosen boolean")
+
+
+@query("law_count")
+def q_count(spark, sf_dir):
+    k, log = selection.select_count(_stats(spark, sf_dir, 3.0, True).drop("label").cache(), [1, 2, 3])
+    return spark.createDataFrame([(r["k"], float(r["loglik"]), float(r["bic"]), r["k"] == k) for r in log], "k int, loglik double, bic double, chosen boolean")
+
+
+@query("crossfit_scores")
+def q_crossfit(spark, sf_dir):
+    s = _stats(spark, sf_dir, 3.0, True)
+    return selection.crossfit_rss(s, s.select("window_id", "label")).withColumn("rss", _r("rss", 4))
+
+
+@query("loop_gain")
+def q_gain(spark, sf_dir):
+    s = _stats(spark, sf_dir, 3.0, True).cache()
+    truth = s.select("window_id", "label")
+    before, after = selection.loop_gain(s, selection.corrupt_labels(truth, 0.3, 2), 2, truth)
+    return spark.createDataFrame([(float(before), float(after))], "before double, after double")
+
+
 # ---- classification
 
 
