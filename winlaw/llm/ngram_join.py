@@ -50,8 +50,8 @@ class JoinSpec:
     frequent: int = 2_000_000
     broadcast_rows: int = 2_000_000
     salt_rows: int = 256
-    leaders: int = 8
-    buckets: int = 2
+    leaders: int = 16
+    buckets: int = 4
     tile: int = 64
     partition_rows: int = 400_000
     bloom: SketchSpec = field(default_factory=lambda: SketchSpec(rows=2, bits=24))
@@ -381,27 +381,28 @@ def _cluster_roles(posted: DataFrame, members: DataFrame, spec: JoinSpec, scratc
     """
     live = posted.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
     both = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    live = scratch.keep(live.join(both, "token"))
-    left, right = (live.select("token", *(F.col(c).alias(c + x) for c in ("comp", "n", "rest"))) for x in "ab")
+    sizes = members.groupBy("comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k"))
+    live = scratch.keep(live.join(both, "token").join(sizes, "comp"))
+    left, right = (live.select("token", *(F.col(c).alias(c + x) for c in ("comp", "n", "rest", "lo", "hi", "k"))) for x in "ab")
     enough = F.least("resta", "restb") * (spec.num + spec.den) >= (F.col("na") + F.col("nb")) * spec.num
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("compa") < F.col("compb")) & enough)
-    pairs = pairs.select(F.col("compa").alias("ca"), F.col("compb").alias("cb")).distinct()
-    sizes = scratch.keep(members.groupBy("comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k")))
-    for side in "ab":
-        pairs = pairs.join(sizes.select(F.col("comp").alias(f"c{side}"), *(F.col(c).alias(f"{c}{side}") for c in ("lo", "hi", "k"))), f"c{side}")
     fit = (F.col("hia") * spec.den >= F.col("lob") * spec.num) & (F.col("hib") * spec.den >= F.col("loa") * spec.num)
-    pairs = scratch.keep(pairs.filter(fit))
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("compa") < F.col("compb")) & enough & fit)
+    pairs = scratch.keep(pairs.select(F.col("compa").alias("ca"), F.col("compb").alias("cb"), "ka", "kb").distinct())
     big = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")))
-    pairs = pairs.select(F.when(big, F.col("ca")).otherwise(F.col("cb")).alias("big"), F.when(big, F.col("cb")).otherwise(F.col("ca")).alias("small"), F.greatest("ka", "kb").alias("k"))
+    pairs = pairs.select(F.when(big, F.col("ca")).otherwise(F.col("cb")).alias("big"), F.when(big, F.col("cb")).otherwise(F.col("ca")).alias("small"), F.greatest("ka", "kb").alias("k"), F.least("ka", "kb").alias("ks"))
     own = members.select("comp", "cid")
-    leaders = pairs.join(own.withColumnRenamed("comp", "small"), "small").select("big", "k", F.col("small").alias("side"), "cid")
+    # a cluster of one class bears its name
+    leaders = pairs.filter("ks = 1").select("big", "k", F.col("small").alias("side"), F.col("small").alias("cid")).unionByName(
+        pairs.filter("ks > 1").join(own.withColumnRenamed("comp", "small"), "small").select("big", "k", F.col("small").alias("side"), "cid")
+    )
     tiles = leaders.groupBy("big").agg(F.ceil(F.count("*") / spec.tile).alias("tiles"))
     leaders = leaders.join(tiles, "big").withColumn("tile", F.pmod(F.xxhash64("cid"), "tiles"))
     salts = F.ceil(F.col("k") / spec.salt_rows).cast("int")
     g = F.xxhash64("big", "tile").alias("g")
     lead = leaders.select("cid", g, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), "side")
     groups = leaders.select("big", "tile", "k").distinct()
-    rest = groups.join(own.withColumnRenamed("comp", "big"), "big").select("cid", g, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("big").alias("side"))
+    alone = groups.filter("k = 1").withColumn("cid", F.col("big"))
+    rest = alone.unionByName(groups.filter("k > 1").join(own.withColumnRenamed("comp", "big"), "big").select(alone.columns)).select("cid", g, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("big").alias("side"))
     return lead.unionByName(rest)
 
 
