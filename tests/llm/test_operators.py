@@ -317,6 +317,16 @@ def test_licences(spark, docs, rows, no_docs):
     assert license_scan.scan(no_docs, spec, Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 1])
+def test_licences_that_many_rows_carry(spark, every):
+    """A third of the rows, or all of them, carry the same notice."""
+    spec = license_scan.LicenseSpec()
+    for label, notice in [(x, t) for x, t, _ in spec.templates if x in ("gpl-3", "bsd", "all-rights-reserved")]:
+        texts = [(i, f"row {i} {notice} end" if i % every == 0 else f"row {i} of prose") for i in range(12)]
+        got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"), spec, Scratch(spark)).collect()
+        assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {i: (label, 1.0) if i % every == 0 else ("", 0.0) for i, _ in texts}
+
+
 # ---- shards
 
 

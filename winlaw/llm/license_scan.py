@@ -43,11 +43,9 @@ TEMPLATES = [
 
 @dataclass(frozen=True)
 class LicenseSpec:
-    """top: words of a text that are looked up. rare: largest share of texts in which a word that is looked up may stand.
-    coverage: of a template's words that must stand at their places."""
+    """top: words of a text that are looked up. coverage: of a template's words that must stand at their places."""
 
     top: int = 8
-    rare: float = 0.25
     min_votes: int = 2
     coverage: float = 0.7
     base: dict = field(default_factory=lambda: dict(BASE))
@@ -104,9 +102,8 @@ def scan(docs: DataFrame, spec: LicenseSpec, scratch: Scratch, id_col: str = "do
     df = seen.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in df.collect()}  # at most one row for each word of the vocabulary
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocab}
-    rare = [w for w in vocab if df.get(w, 0) <= spec.rare * total]
 
-    found = _found(seen, idf, rare, spec)
+    found = _found(seen, idf, spec)
     out = seen.drop("hits").join(found, "rid", "left")
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
     none = F.array().cast("array<string>")
@@ -120,7 +117,7 @@ def scan(docs: DataFrame, spec: LicenseSpec, scratch: Scratch, id_col: str = "do
     )
 
 
-def _found(seen: DataFrame, idf: dict[str, float], rare: list[str], spec: LicenseSpec) -> DataFrame:
+def _found(seen: DataFrame, idf: dict[str, float], spec: LicenseSpec) -> DataFrame:
     """rid, found_labels, found_score of the texts in which a template stands."""
     spark = seen.sparkSession
     postings, rows = [], []
@@ -128,10 +125,10 @@ def _found(seen: DataFrame, idf: dict[str, float], rare: list[str], spec: Licens
         words = text.split()
         keys = _key_places(words, phrases)
         rows.append((t, label, len(words), [(i, w, i in keys) for i, w in enumerate(words)]))
-        postings += [(w, t, i) for i, w in enumerate(words) if w in set(rare)]
+        postings += [(w, t, i) for i, w in enumerate(words)]
     templates = spark.createDataFrame(rows, "t int, label string, len int, words array<struct<i:int,w:string,key:boolean>>")
     index = spark.createDataFrame(postings, "w string, t int, i int")
-    by_idf = sorted(rare, key=lambda w: (-idf[w], w))
+    by_idf = sorted(idf, key=lambda w: (-idf[w], w))
     own = F.slice(F.array_intersect(F.lit(by_idf) if by_idf else F.array().cast("array<string>"), F.transform("hits", lambda h: h["w"])), 1, spec.top)
     looked = seen.filter(F.size("hits") > 0).select("rid", own.alias("own"), "hits")
     looked = looked.select("rid", F.inline(F.filter("hits", lambda h: F.array_contains("own", h["w"]))))
