@@ -327,6 +327,48 @@ def test_licences_that_many_rows_carry(spark, every):
         assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {i: (label, 1.0) if i % every == 0 else ("", 0.0) for i, _ in texts}
 
 
+def test_licences_next_to_each_other(spark):
+    """Notices in pairs, one after many rarer licence words, and with words changed, against a plain comparison at every place."""
+    spec = license_scan.LicenseSpec()
+    notices = [t for _, t, _ in spec.templates]
+    scattered = " ".join(f"{w} x{i}" for i, w in enumerate(license_scan.vocabulary(spec)))
+    texts = [f"{a} and {b}" for a in notices for b in notices if a != b]
+    texts += [f"{' '.join(f'w{i}' for i in range(20000))} {scattered} {a}" for a in notices[::3]]
+    texts += [" ".join("x" if i == j else w for i, w in enumerate(a.split())) for a in notices for j in range(len(a.split()))]
+    texts += ["license " * 300, scattered, notices[0] * 2]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spec, Scratch(spark)).collect()
+
+    def found(words):
+        out = {}
+        for label, notice, phrases in spec.templates:
+            want = notice.split()
+            keys = {notice[: notice.index(p)].count(" ") + j for p in phrases for j in range(len(p.split()))}
+            for at in range(len(words) - max(keys)):
+                if words[at + max(keys)] == want[max(keys)] and all(words[at + i] == want[i] for i in keys):
+                    n = sum(words[at + i] == w for i, w in enumerate(want) if at + i < len(words))
+                    if n >= spec.coverage * len(want):
+                        out[label] = max(out.get(label, 0), n / len(want))
+        return out
+
+    base = {r["doc_id"]: set(filter(None, r["base_labels"].split(","))) for r in got}
+    want = {i: found(t.split()) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["labels"] for r in got} == {i: ",".join(sorted(base[i] | set(w))) for i, w in want.items()}
+    assert {r["doc_id"]: r["score"] for r in got} == {i: 1.0 if base[i] else max(w.values(), default=0.0) for i, w in want.items()}
+
+
+@pytest.mark.parametrize("phrases", [[], ["b"], ["d e"], ["c d e"]])
+def test_licence_anchors_lose_nothing(phrases):
+    """Whichever words may be missing, as many anchors stand as are asked for."""
+    import itertools
+
+    spec, words = license_scan.LicenseSpec(), list("abcdefg")
+    keys = license_scan._key_places(words, phrases)
+    own, need = license_scan.anchors(words, keys, {w: i % 3 for i, w in enumerate(words)}, spec)
+    assert need == spec.min_votes
+    for gone in itertools.combinations(sorted(set(range(7)) - keys), 2):  # 5 of 7 is the least share beyond 70 %
+        assert len(set(own) - set(gone)) >= need
+
+
 # ---- shards
 
 

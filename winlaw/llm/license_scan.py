@@ -2,11 +2,12 @@
 
 One pass over the texts takes the places of the licence words (those of the templates
 and phrases) and the places of the base phrases. Document frequencies over all texts
-give each licence word its IDF. A text's rare licence words, `top` of them with highest
-IDF, are looked up in the templates' postings; a posting at place t for a word at place p
-votes for the template standing at p - t. Where at least `min_votes` words agree, the
-template's words are compared place by place, and it is found if its mandatory phrases
-stand there and enough of its words do.
+give each licence word its IDF. Each template is indexed by its anchors: of its words that
+must stand, the `min_votes` with highest IDF. Every word of a text that is an anchor is
+looked up; a posting at place t for a word at place p votes for the template standing at
+p - t. Where all votes agree that the template can't be without, its words are compared
+place by place, and it is found if its mandatory phrases stand there and enough of its
+words do. So no template is lost, however common its words are and whatever else a text holds.
 """
 
 from __future__ import annotations
@@ -43,9 +44,8 @@ TEMPLATES = [
 
 @dataclass(frozen=True)
 class LicenseSpec:
-    """top: words of a text that are looked up. coverage: of a template's words that must stand at their places."""
+    """min_votes: anchors of a template. coverage: of a template's words that must stand at their places."""
 
-    top: int = 8
     min_votes: int = 2
     coverage: float = 0.7
     base: dict = field(default_factory=lambda: dict(BASE))
@@ -65,6 +65,20 @@ def _key_places(words: list[str], phrases: list[str]) -> set[int]:
     return out
 
 
+def anchors(words: list[str], keys: set[int], idf: dict[str, float], spec: LicenseSpec) -> tuple[list[int], int]:
+    """Places of a template's anchors, and how many of them stand wherever the template is found.
+
+    Rarest words of the mandatory phrases first; where these are too few, others, and as many
+    more of them as words may be missing.
+    """
+    missing = max((n for n in range(len(words) + 1) if len(words) - n >= spec.coverage * len(words)), default=0)
+    order = sorted(range(len(words)), key=lambda i: (i not in keys, -idf[words[i]], i))
+    sure = min(len(keys), spec.min_votes)
+    short = spec.min_votes - sure
+    more = order[len(keys) :][: missing + short] if short else []
+    return order[:sure] + more, max(1, sure + max(0, len(more) - missing))
+
+
 def _base_places(words: Column, hits: Column, spec: LicenseSpec) -> Column:
     """struct(pos, label) of every place where a base phrase's words stand consecutively."""
     def of(want: list[str], label: str) -> Column:
@@ -124,17 +138,16 @@ def _found(seen: DataFrame, idf: dict[str, float], spec: LicenseSpec) -> DataFra
     for t, (label, text, phrases) in enumerate(spec.templates):
         words = text.split()
         keys = _key_places(words, phrases)
-        rows.append((t, label, len(words), [(i, w, i in keys) for i, w in enumerate(words)]))
-        postings += [(w, t, i) for i, w in enumerate(words)]
-    templates = spark.createDataFrame(rows, "t int, label string, len int, words array<struct<i:int,w:string,key:boolean>>")
+        own, need = anchors(words, keys, idf, spec)
+        rows.append((t, label, len(words), need, [(i, w, i in keys) for i, w in enumerate(words)]))
+        postings += [(words[i], t, i) for i in own]
+    templates = spark.createDataFrame(rows, "t int, label string, len int, need int, words array<struct<i:int,w:string,key:boolean>>")
     index = spark.createDataFrame(postings, "w string, t int, i int")
-    by_idf = sorted(idf, key=lambda w: (-idf[w], w))
-    own = F.slice(F.array_intersect(F.lit(by_idf) if by_idf else F.array().cast("array<string>"), F.transform("hits", lambda h: h["w"])), 1, spec.top)
-    looked = seen.filter(F.size("hits") > 0).select("rid", own.alias("own"), "hits")
-    looked = looked.select("rid", F.inline(F.filter("hits", lambda h: F.array_contains("own", h["w"]))))
+    own = sorted({w for w, _, _ in postings})
+    looked = seen.select("rid", F.inline(F.filter("hits", lambda h: h["w"].isin(own))))
     votes = looked.join(F.broadcast(index), "w").groupBy("rid", "t", (F.col("pos") - F.col("i")).alias("at")).agg(F.countDistinct("i").alias("votes"))
-    votes = votes.filter((F.col("votes") >= spec.min_votes) & (F.col("at") >= 0))
-    placed = votes.join(F.broadcast(templates), "t").select("rid", "t", "label", "len", "at", F.inline("words"))
+    votes = votes.filter(F.col("at") >= 0).join(F.broadcast(templates), "t").filter(F.col("votes") >= F.col("need"))
+    placed = votes.select("rid", "t", "label", "len", "at", F.inline("words"))
     there = seen.join(votes.select("rid").distinct(), "rid", "left_semi").select("rid", F.inline("hits"))
     there = there.withColumn("here", F.lit(True))
     wanted = placed.withColumn("pos", F.col("at") + F.col("i"))
