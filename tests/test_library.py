@@ -133,6 +133,15 @@ def test_losses_and_scales(spark):
     assert losses.learn_loss(spark.range(4000).select(generators.noise("laplace", 1, 1, "id").alias("r")), "r")["loss"] == "absolute"
 
 
+def test_learned_loss_of_equal_residuals(spark):
+    """A third of the rows share a value whose hash is least of all, so ordered by that they would fill the sample of the t."""
+    c = spark.range(50_000).select((F.col("id") / 500_000.0 + 0.25).alias("c")).orderBy(F.xxhash64("c")).first()["c"]
+    r = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(c)).otherwise(3 * generators.uniform(1, 1, "id") - 1.5).alias("r"))
+    for key in (["id"], None):
+        got = losses.learn_loss(r, "r", key=key)
+        assert got["loss"] == "squared" and got["loglik"] == pytest.approx(-1.105, abs=0.001)
+
+
 def test_bases(spark):
     df = spark.createDataFrame([(float(x),) for x in np.linspace(-1, 1, 50)], "x double")
     got = df.select(*[c.alias(f"c{i}") for i, (_, c) in enumerate(terms.legendre("x", 4, -1.0, 1.0))], "x").toPandas()

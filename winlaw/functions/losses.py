@@ -74,8 +74,9 @@ def fit_student_t(residuals: np.ndarray, bounds: tuple[float, float] = (0.8, 200
     return nu, scale, loglik
 
 
-def learn_loss(df: DataFrame, residual: str, max_samples: int = 20_000) -> dict:
-    """The likeliest of Gaussian, Laplace and Student t. The first two are fitted on all rows, t on a bounded sample (by hash)."""
+def learn_loss(df: DataFrame, residual: str, max_samples: int = 20_000, key: list[str] | None = None) -> dict:
+    """The likeliest of Gaussian, Laplace and Student t on all rows. Its nu and scale are fitted on a bounded sample: by a hash
+    of a row's key, or without one at random, so that rows of equal residuals are drawn one by one."""
     r = F.col(residual)
     m = df.agg(F.avg(r * r).alias("v"), F.avg(F.abs(r)).alias("b")).first()
     sigma, b = max(math.sqrt(m["v"]), 1e-12), max(m["b"], 1e-12)
@@ -83,7 +84,10 @@ def learn_loss(df: DataFrame, residual: str, max_samples: int = 20_000) -> dict:
         {"loss": "squared", "scale": sigma, "loglik": -math.log(sigma) - 0.5 * math.log(2 * math.pi) - 0.5},
         {"loss": "absolute", "scale": b, "loglik": -math.log(2 * b) - 1},
     ]
-    some = [x[0] for x in df.select(r.cast("double")).orderBy(F.xxhash64(r)).limit(max_samples).collect()]
-    nu, scale, loglik = fit_student_t(np.array(some))
+    order = F.xxhash64(*key) if key else F.rand(0)
+    some = [x[0] for x in df.select(r.cast("double").alias("_r"), order.alias("_o")).orderBy("_o").limit(max_samples).collect()]
+    nu, scale, _ = fit_student_t(np.array(some))
+    tail = df.agg(F.avg(F.log1p(_sq(r / scale) / nu))).first()[0]
+    loglik = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(scale) - (nu + 1) / 2 * tail
     out.append({"loss": "student_t", "scale": scale, "loglik": loglik, "nu": nu})
     return max(out, key=lambda x: x["loglik"])

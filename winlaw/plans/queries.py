@@ -115,8 +115,8 @@ def q_learn(spark, sf_dir):
 
 @query("learned_loss")
 def q_learned(spark, sf_dir):
-    r = planted(spark, sf_dir).select((F.col("y") - F.col("x") * F.col("x") - F.when(F.col("label") == 0, F.col("x")).otherwise(-F.col("x"))).alias("r"))
-    got = losses.learn_loss(r, "r")
+    r = planted(spark, sf_dir).select("window_id", "t", (F.col("y") - F.col("x") * F.col("x") - F.when(F.col("label") == 0, F.col("x")).otherwise(-F.col("x"))).alias("r"))
+    got = losses.learn_loss(r, "r", key=["window_id", "t"])
     return spark.createDataFrame([(got["loss"], float(got["scale"]), float(got["loglik"]))], "loss string, scale double, loglik double")
 
 
