@@ -42,3 +42,20 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_zoo_fits_every_problem_on_all_its_inputs(spark, monkeypatch):
+    """The fits themselves are left out: which problems are run, and over which terms."""
+    from unittest.mock import MagicMock
+
+    from winlaw.plans import queries as q
+
+    bases = []
+    monkeypatch.setattr(q.generators, "windows", MagicMock())
+    monkeypatch.setattr(q.generators, "sigma_for_rho", MagicMock())
+    monkeypatch.setattr(q.stats, "window_stats", lambda w, basis, *a: bases.append([n for n, _ in basis]) or MagicMock())
+    monkeypatch.setattr(q, "cluster", MagicMock())
+    monkeypatch.setattr(q.evaluate, "aligned_accuracy", lambda *a: 1.0)
+    got = [r["problem"] for r in q.q_zoo(spark, "").collect()]
+    assert got == list(q.generators.PROBLEMS)
+    assert [("x2" in b) for b in bases] == [p.dims == 2 for p in q.generators.PROBLEMS.values()]

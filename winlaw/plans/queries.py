@@ -474,12 +474,11 @@ def q_closed(spark, sf_dir):
 
 @query("problem_zoo")
 def q_zoo(spark, sf_dir):
-    """Hard loop on generated windows of three problems: aligned accuracy of the laws found."""
+    """Hard loop on generated windows of every problem: aligned accuracy of the laws found."""
     out = []
-    for name in ("sign", "quadratic_pair", "three_shapes"):
-        p = generators.PROBLEMS[name]
+    for name, p in generators.PROBLEMS.items():
         w = generators.windows(spark, p, 150, 48, generators.sigma_for_rho(spark, p, 1.0))
-        s = stats.window_stats(w, terms.library(["x1"], log=False), "y", ["window_id", "label"]).cache()
+        s = stats.window_stats(w, terms.library([f"x{d + 1}" for d in range(p.dims)], log=False), "y", ["window_id", "label"]).cache()
         fit = cluster.hard_loop(s, cluster.mechanism_start(s, len(p.laws)))
         got = cluster.assign(s, fit).join(s.select("window_id", F.col("label").alias("truth")), "window_id")
         out.append((name, float(evaluate.aligned_accuracy(got, "truth", "label"))))
