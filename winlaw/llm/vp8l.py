@@ -1,20 +1,24 @@
 """Lossless WebP: a decoder of the whole format, and an encoder.
 
 The format's pixels are kept as arrays (height, width, 4) of R, G, B, A bytes. The decoder
-reads prefix codes (one group or several), back-references, the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Where an image has one group
-of codes of one equal length and no references, its pixels are read all at once.
-
-encode() stores that way: one alphabet for all samples, padded to a power of two, so that
-eight samples of k bits are k bytes. encode_full() takes any of the transforms, references
-and the cache; it works pixel by pixel and serves small images and tests.
+reads prefix codes (one group or several), back-references and the colour cache, and inverts
+the predictor, cross-colour, subtract-green and palette transforms.
+
+Where an image has one group of codes, what begins at a bit (a pixel, a reference or an entry
+of the cache) and where the next one begins depend on that bit alone. So they are looked up
+for all bits of a stretch at once, and only the chain of beginnings is walked. References
+and cache entries then are pointers to earlier pixels, which are followed for all pixels at
+once: a cache entry points to the last pixel before it with the same hash, and hashes follow
+references. Images of several groups, and very small ones, are read item by item.
+
+encode() takes any of the transforms, references, the cache and groups of codes, and works on
+whole arrays too.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,6 +29,12 @@ LENGTH_CODES, DISTANCE_CODES = 24, 40
 CACHE_MULTIPLIER = 0x1E35A7BD
 #: The near distances: offsets within 8 columns and 7 rows that come before a pixel, nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
+#: The farthest that a reference's 18 extra bits reach, beyond the near distances.
+FARTHEST = (1 << 20) - len(NEAR)
+#: Bits that are looked up at once.
+STRETCH = 1 << 17
+#: Images of fewer pixels are read item by item.
+SMALL = 12
 
 
 class FormatError(ValueError):
@@ -57,6 +67,22 @@ class BitWriter:
         self.value |= v << self.n
         self.n += n
 
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Values of up to 63 bits each, one after another."""
+        if not len(values):
+            return
+        at = np.cumsum(sizes) - sizes + (self.n & 7)
+        end = int(at[-1] + sizes[-1])
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out = np.zeros((end >> 6) + 2, np.uint64)
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        spill = np.where(shift > 0, values >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        out[word[first] + 1] |= np.bitwise_or.reduceat(spill, first)
+        raw = int.from_bytes(out.astype("<u8").tobytes()[: (end + 7) >> 3], "little")
+        self.value |= raw << (self.n & ~7)
+        self.n += end - (self.n & 7)
+
     def to_bytes(self) -> bytes:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
@@ -64,87 +90,116 @@ class BitWriter:
 # ---- prefix codes
 
 
-def _reversed(v: int, n: int) -> int:
-    return int(f"{v:0{n}b}"[::-1], 2) if n else 0
+@lru_cache(16)
+def _reversal(k: int) -> np.ndarray:
+    """The numbers below 2^k with their k bits reversed."""
+    out = np.zeros(1, np.int64)
+    for _ in range(k):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
 
 
-def canonical(lengths: list[int]) -> list[tuple[int, int]]:
-    """(code with its first bit lowest, length) of each symbol; (0, 0) for those without code."""
-    out, code, last = [(0, 0)] * len(lengths), 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        out[s], last = (_reversed(code, n), n), n
-        code += 1
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """The code, its first bit lowest, of each symbol; 0 for those without one."""
+    lengths = np.asarray(lengths, np.int64)
+    most = int(lengths.max(initial=0))
+    if not most:
+        return np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    span = 1 << (most - lengths[used])
+    out = np.zeros(len(lengths), np.int64)
+    # reversed over `most` bits a code's first bit is lowest; those beyond its length are 0 at its range's begin
+    out[used] = _reversal(most)[np.cumsum(span) - span]
     return out
 
 
 class PrefixCode:
-    """Of code lengths by symbol; a code of a single symbol takes no bits."""
+    """Of symbols and their code lengths; a code of a single symbol takes no bits. table: symbol << 4 | length, by the next `most` bits."""
 
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
+    def __init__(self, symbols: list[int], lengths: list[int]):
+        if not symbols:
             raise FormatError("a code without symbols")
-        self.only = used[0] if len(used) == 1 else None
-        self.symbols, self.bits = used, {lengths[s] for s in used}
-        self.lengths, self._table = lengths, None
-
-    @property
-    def uniform(self) -> int:
-        """The one length of all codes, or 0."""
-        n = next(iter(self.bits)) if len(self.bits) == 1 else 0
-        return n if self.only is None and 1 << n == len(self.symbols) else 0
-
-    def table(self) -> tuple[int, list[tuple[int, int]]]:
-        if self._table is None:
-            most = max(self.bits)
-            if sum(1 << (most - self.lengths[s]) for s in self.symbols) != 1 << most:
-                raise FormatError("a code isn't complete")
-            t: list = [None] * (1 << most)
-            for s, (code, n) in enumerate(canonical(self.lengths)):
-                if n:
-                    t[code :: 1 << n] = [(s, n)] * (1 << (most - n))
-            self._table = most, t
-        return self._table
+        if len(symbols) == 1:
+            self.only, self.most = symbols[0], 0
+            self.table = np.array([self.only << 4], np.int64)
+            return
+        self.only, self.most = None, max(lengths)
+        order = np.sort(np.array(lengths, np.int64) << 12 | np.array(symbols, np.int64))  # by length, then symbol
+        own = order >> 12
+        span = 1 << (self.most - own)
+        if int(span.sum()) != 1 << self.most:
+            raise FormatError("a code isn't complete")
+        self.table = ((order & 4095) << 4 | own).repeat(span)[_reversal(self.most)]
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        most, t = self.table()
-        s, n = t[bits.peek(most)]
-        bits.read(n)
-        return s
+        entry = int(self.table[bits.peek(self.most)])
+        bits.read(entry & 15)
+        return entry >> 4
 
 
 def _read_code(bits: Bits, size: int) -> PrefixCode:
-    lengths = [0] * size
-    if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        for s in [first, *([bits.read(8)] if two else [])]:
-            if s >= size:
-                raise FormatError("a symbol beyond the alphabet")
-            lengths[s] = 1
-        return PrefixCode(lengths)
-    own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = PrefixCode(own)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    a, begin = bits.at >> 3, bits.at & 7
+    x = int.from_bytes(bits.data[a : a + 14 * size // 8 + 16], "little") >> begin  # a length takes 14 bits at most
+    have, used = 8 * (len(bits.data) - a) - begin, 0
+    if x & 1:
+        wide = 8 if x & 4 else 1
+        symbols = [(x >> 3) & ((1 << wide) - 1)]
+        used = 3 + wide
+        if x & 2:
+            symbols.append((x >> used) & 255)
+            used += 8
+        if max(symbols) >= size:
+            raise FormatError("a symbol beyond the alphabet")
+        bits.read(used)
+        symbols = sorted(set(symbols))
+        return PrefixCode(symbols, [1] * len(symbols))
+    n = 4 + (x >> 1 & 15)
+    used = 5 + 3 * n
+    own = [(s, x >> (5 + 3 * i) & 7) for i, s in enumerate(CODE_LENGTH_ORDER[:n])]
+    own = [(s, v) for s, v in own if v]
+    x >>= used
+    code = PrefixCode([s for s, _ in own], [v for _, v in own])
+    left = size
+    if x & 1:
+        n = 2 + 2 * (x >> 1 & 7)
+        left = 2 + (x >> 4 & ((1 << n) - 1))
+        x >>= 4 + n
+        used += 4 + n
+    else:
+        x >>= 1
+        used += 1
+    table, mask = code.table.tolist(), len(code.table) - 1
+    at, last, symbols, lengths = 0, 8, [], []
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        entry = table[x & mask]
+        s, n = entry >> 4, entry & 15
+        x >>= n
+        used += n
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
+            if s:
+                last = s
+                symbols.append(at)
+                lengths.append(s)
+            at += 1
             continue
-        n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-        if at + n > size:
+        extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        run = least + (x & ((1 << extra) - 1))
+        x >>= extra
+        used += extra
+        if at + run > size:
             raise FormatError("lengths beyond the alphabet")
-        lengths[at : at + n] = [last if s == 16 else 0] * n
-        at += n
-    return PrefixCode(lengths)
+        if s == 16:
+            symbols += range(at, at + run)
+            lengths += [last] * run
+        at += run
+    if used > have:
+        raise FormatError("the data end too soon")
+    bits.at += used
+    return PrefixCode(symbols, lengths)
 
 
 def _extra(symbol: int, bits: Bits) -> int:
@@ -155,14 +210,35 @@ def _extra(symbol: int, bits: Bits) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
-def _extra_of(value: int) -> tuple[int, int, int]:
-    """Symbol, extra bits' value and number of a length or distance."""
+def _extra_bits(symbol: np.ndarray) -> np.ndarray:
+    return np.maximum((symbol - 2) >> 1, 0)
+
+
+def _extras(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _extra() of many symbols and the bits that follow each: values, and numbers of bits taken."""
+    n = _extra_bits(symbol)
+    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << n) + (window & ((1 << n) - 1))) + 1, n
+
+
+def _extras_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, extra bits' values and numbers of lengths or distances."""
     v = value - 1
-    if v < 4:
-        return v, 0, 0
-    n = v.bit_length() - 2
-    top = v >> n
-    return 2 * n + 2 + (top & 1), v & ((1 << n) - 1), n
+    n = np.maximum(np.frexp(v.astype(np.float64))[1].astype(np.int64) - 2, 0)
+    return np.where(v < 4, v, 2 * n + 2 + ((v >> n) & 1)), np.where(v < 4, 0, v & ((1 << n) - 1)), np.where(v < 4, 0, n)
+
+
+@lru_cache(64)
+def _near(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances in pixels of the near codes; and by distance the code, 0 for those without one."""
+    near = np.array([max(1, x + y * width) for x, y in NEAR])
+    back = np.zeros(8 * width + 9, np.int64)
+    back[near[::-1]] = np.arange(len(NEAR), 0, -1)
+    return near, back
+
+
+def _distances(codes: np.ndarray, width: int) -> np.ndarray:
+    near, _ = _near(width)
+    return np.where(codes > len(NEAR), codes - len(NEAR), near[np.minimum(codes, len(NEAR)) - 1])
 
 
 # ---- entropy-coded images
@@ -174,7 +250,7 @@ def _pack(rgba: np.ndarray) -> np.ndarray:
 
 
 def _unpack(argb: np.ndarray) -> np.ndarray:
-    return np.stack([(argb >> s) & 255 for s in (16, 8, 0, 24)], -1).astype(np.uint8)
+    return np.ascontiguousarray(argb.astype("<u4")).view(np.uint8).reshape(*argb.shape, 4)[..., [2, 1, 0, 3]]
 
 
 def _read_group(bits: Bits, cache_bits: int) -> list[PrefixCode]:
@@ -194,11 +270,18 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = (meta[..., 0].astype(np.int64) << 8) | meta[..., 1]
         groups = int(which.max()) + 1
     codes = [_read_group(bits, cache_bits) for _ in range(groups)]
-    k = codes[0][0].uniform
-    plain = groups == 1 and not cache_bits and k and codes[0][0].symbols[-1] < 256 and width * height % 2 == 0
-    if plain and all(c.uniform == k for c in codes[0][:4]):
-        return _read_plain(bits, width, height, k, codes[0])
-    out, total, at = [0] * (width * height), width * height, 0
+    if all(c.only is not None for c in codes[0][:4]) and groups == 1 and codes[0][0].only < 256:
+        green, red, blue, alpha = (c.only for c in codes[0][:4])
+        return np.broadcast_to(np.array([red, green, blue, alpha], np.uint8), (height, width, 4)).copy()
+    if groups == 1 and width * height >= SMALL:
+        px = _read_stretches(bits, width, width * height, codes[0], cache_bits)
+    else:
+        px = _read_items(bits, width, width * height, codes, cache_bits, which, step)
+    return _unpack(px.reshape(height, width))
+
+
+def _read_items(bits: Bits, width: int, total: int, codes: list[list[PrefixCode]], cache_bits: int, which: np.ndarray | None, step: int) -> np.ndarray:
+    out, at = [0] * total, 0
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     fresh = 0  # from here on pixels aren't yet in the cache
     while at < total:
@@ -211,12 +294,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif s < 256 + LENGTH_CODES:
             n = _extra(s - 256, bits)
-            d = _extra(distance.read(bits), bits)
-            if d <= len(NEAR):
-                dx, dy = NEAR[d - 1]
-                d = max(1, dx + dy * width)
-            else:
-                d -= len(NEAR)
+            d = int(_distances(np.array([_extra(distance.read(bits), bits)]), width)[0])
             if d > at or at + n > total:
                 raise FormatError("a reference beyond the image")
             for _ in range(n):
@@ -229,32 +307,141 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 fresh += 1
             out[at] = cache[s - 256 - LENGTH_CODES]
             at += 1
-    return _unpack(np.array(out, np.uint32)).reshape(height, width, 4)
-
-
-def _read_plain(bits: Bits, width: int, height: int, k: int, codes: list[PrefixCode]) -> np.ndarray:
-    """All pixels at once: four codes of k bits each, so two pixels are k bytes from the present bit on."""
-    pairs = width * height // 2
-    a, r = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - a, pairs * k + 1), a)
-    if 8 * len(raw) - r < 8 * pairs * k:
-        raise FormatError("the data end too soon")
-    if r:
-        raw = (raw[:-1] >> r) | (raw[1:] << (8 - r))
-    word = np.zeros((pairs, 8), np.uint8)
-    word[:, :k] = raw[: pairs * k].reshape(pairs, k)
-    word = word.view("<u8").ravel()
-    out = np.empty((pairs, 8), np.uint8)
-    place = _reversal(k)
-    for j in range(8):
-        symbols = np.array(codes[j % 4].symbols, np.uint8)[place]
-        out[:, (1, 0, 2, 3)[j % 4] + 4 * (j // 4)] = symbols[((word >> np.uint64(k * j)) & np.uint64((1 << k) - 1)).astype(np.intp)]
-    bits.at += 8 * pairs * k
-    return out.reshape(height, width, 4)
-
-
-def _reversal(k: int) -> np.ndarray:
-    return np.array([_reversed(i, k) for i in range(1 << k)])
+    return np.array(out, np.uint32)
+
+
+def _walk(after: np.ndarray, p: int, stop: int, most: int) -> np.ndarray:
+    """p, after[p], after[after[p]] ... while below stop, `most` of them at most; four at a time."""
+    twice = after.take(after, mode="clip")
+    step, chain = memoryview(twice.take(twice, mode="clip")), []
+    add, left = chain.append, most
+    while p < stop and left > 0:
+        add(p)
+        p = step[p]
+        left -= 4
+    first = np.array(chain, np.int64)
+    second = after.take(first)
+    third = after.take(second, mode="clip")
+    own = np.stack([first, second, third, after.take(third, mode="clip")], 1).ravel()
+    return own[: min(int(own.searchsorted(stop)) if len(own) and own[-1] >= stop else len(own), most)]
+
+
+def _read_stretches(bits: Bits, width: int, total: int, codes: list[PrefixCode], cache_bits: int) -> np.ndarray:
+    """The pixels of an image of one group, a stretch of bits after another."""
+    green, red, blue, alpha, distance = codes
+    parts, done = [], 0
+    raw = np.frombuffer(bits.data, np.uint8)
+    base = bits.at
+    mask = [len(c.table) - 1 for c in codes]
+    sizes = [c.table & 15 for c in codes]
+    symbol = green.table >> 4
+    is_ref = (symbol >= 256) & (symbol < 256 + LENGTH_CODES)
+    literal, refs = symbol < 256, bool(is_ref.any())
+    if refs:  # with the extra bits
+        sizes[0] += np.where(is_ref, _extra_bits(symbol - 256), 0)
+        sizes[4] += _extra_bits(distance.table >> 4)
+    while done < total:
+        if base >= 8 * len(raw):
+            raise FormatError("the data end too soon")
+        a, size = base >> 3, min(STRETCH, 64 * (total - done) + 64)
+        some = raw[a : a + (size >> 3) + 32]  # items take 100 bits at most
+        size = min(size, 8 * len(some))
+        part = np.zeros((size >> 3) + 52, np.uint64)
+        part[: len(some)] = some
+        five = part[:-4] | part[1:-3] << 8 | part[2:-2] << 16 | part[3:-1] << 24 | part[4:] << 32
+        window = (five[:, None] >> np.arange(8, dtype=np.uint64)).ravel().view(np.int64)
+        key = window[:size] & mask[0]
+        at = np.arange(size) + sizes[0].take(key)
+        after = at
+        for c in (1, 2, 3):
+            if mask[c]:
+                after = after + sizes[c].take(window.take(after) & mask[c])
+        if after is not at and not literal.all():
+            after = np.where(literal.take(key), after, at)
+        if refs:
+            more = is_ref.take(key).nonzero()[0]
+            here = at[more]
+            after[more] = here + sizes[4].take(window.take(here) & mask[4])
+        own = _walk(after, base & 7, size, total - done)
+        entry = green.table.take(key[own])
+        kind, value, here = entry >> 4, (entry >> 4) << 8, own + (entry & 15)
+        count, back, found = np.ones(len(own), np.int64), None, None
+        if refs:
+            found = ((kind >= 256) & (kind < 256 + LENGTH_CODES)).nonzero()[0]
+            at = here[found]
+            count[found], used = _extras(kind[found] - 256, window.take(at))
+            stop = int(count.cumsum().searchsorted(total - done)) + 1
+        else:
+            stop = total - done
+        end = int(after[own[-1]]) if stop >= len(own) else int(own[stop])
+        if refs:
+            if stop < len(own):  # beyond the image
+                own, kind, value, here, count = (x[:stop] for x in (own, kind, value, here, count))
+                found = found[found < stop]
+            at, used = at[: len(found)], used[: len(found)]
+            entry = distance.table.take(window.take(at + used) & mask[4])
+            codes_, _ = _extras(entry >> 4, window.take(at + used + (entry & 15)))
+            back = np.zeros(len(own), np.int64)
+            back[found] = _distances(codes_, width)
+        for c, shift in ((1, 16), (2, 0), (3, 24)):
+            if not mask[c]:
+                value |= codes[c].only << shift
+                continue
+            entry = codes[c].table.take(window.take(here) & mask[c])
+            here = here + (entry & 15)
+            value |= (entry >> 4) << shift
+        parts.append((kind, value.astype(np.uint32), count, np.zeros(len(own), np.int64) if back is None else back))
+        done += int(count.sum())
+        base = (a << 3) + end
+    if done > total or base > 8 * len(raw):
+        raise FormatError("a reference beyond the image" if done > total else "the data end too soon")
+    bits.at = base
+    kind, value, count, back = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+    return _resolve(kind, value, count, back, total, cache_bits)
+
+
+def _follow(source: np.ndarray) -> np.ndarray:
+    """Where chains of pointers to earlier places end; a place that points to itself is an end."""
+    while True:
+        far = source[source]
+        if (far == source).all():
+            return source
+        source = far
+
+
+def _in_order(slot: np.ndarray) -> np.ndarray:
+    """Places by slot (below 2^32), those of a slot as they come."""
+    return np.sort(slot.astype(np.int64) << 31 | np.arange(len(slot))) & 0x7FFFFFFF
+
+
+def _hashes(px: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (px * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)
+
+
+def _resolve(kind: np.ndarray, value: np.ndarray, n: np.ndarray, back: np.ndarray, total: int, cache_bits: int) -> np.ndarray:
+    """Pixels of items: kind is the green symbol, value a pixel's own, n how many pixels, back how far a reference reaches."""
+    if len(kind) == total and kind.max() < 256:
+        return value
+    at = np.cumsum(n) - n
+    if (back > at).any():
+        raise FormatError("a reference beyond the image")
+    source = np.arange(total) - back.repeat(n)
+    px = np.zeros(total, np.uint32)
+    px[at] = value
+    cached = np.flatnonzero(kind >= 256 + LENGTH_CODES)
+    if len(cached):
+        slot = np.zeros(total, np.uint32)
+        slot[at] = _hashes(value, cache_bits)
+        slot[at[cached]] = (kind[cached] - 256 - LENGTH_CODES).astype(np.uint32)
+        slot = slot[_follow(source)]
+        order = _in_order(slot)
+        before = np.full(total, -1)
+        same = slot[order[1:]] == slot[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        mine = at[cached]
+        px[mine] = 0  # an entry that was never filled
+        source[mine] = np.where(before[mine] >= 0, before[mine], mine)
+    return px[_follow(source)]
 
 
 # ---- transforms
@@ -269,12 +456,18 @@ def _clamp(x: np.ndarray) -> np.ndarray:
 
 
 def _select(left: np.ndarray, top: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    return left if int(np.abs(top - corner).sum()) < int(np.abs(left - corner).sum()) else top
+    nearer = np.abs(top - corner).sum(-1, keepdims=True) < np.abs(left - corner).sum(-1, keepdims=True)
+    return np.where(nearer, left, top)
 
 
-#: prediction from (left, top, top right, top left), as arrays of 4 integers
+def _half_more(a: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    d = a - corner
+    return _clamp(a + ((d + (d < 0)) >> 1))
+
+
+#: prediction from (left, top, top right, top left), arrays (..., 4) of signed integers
 PREDICTIONS = [
-    lambda l, t, tr, tl: np.array([0, 0, 0, 255]),
+    lambda l, t, tr, tl: np.broadcast_to(np.array([0, 0, 0, 255], t.dtype), t.shape),
     lambda l, t, tr, tl: l,
     lambda l, t, tr, tl: t,
     lambda l, t, tr, tl: tr,
@@ -287,51 +480,88 @@ PREDICTIONS = [
     lambda l, t, tr, tl: _average(_average(l, tl), _average(t, tr)),
     lambda l, t, tr, tl: _select(l, t, tl),
     lambda l, t, tr, tl: _clamp(l + t - tl),
-    lambda l, t, tr, tl: (lambda a: _clamp(a + np.trunc((a - tl) / 2).astype(np.int64)))(_average(l, t)),
+    lambda l, t, tr, tl: _half_more(_average(l, t), tl),
 ]
+#: Those that don't need the pixel to the left: a row is predicted at once.
+FROM_ABOVE = [0, 2, 3, 4, 8, 9]
+
+
+def _predict(mode: np.ndarray, l: np.ndarray, t: np.ndarray, tr: np.ndarray, tl: np.ndarray) -> np.ndarray:  # noqa: E741
+    """Predictions of pixels (n, 4) with a mode each."""
+    modes = np.flatnonzero(np.bincount(mode, minlength=14))
+    if len(modes) == 1:
+        return PREDICTIONS[modes[0]](l, t, tr, tl)
+    out = np.empty_like(t)
+    for m in modes.tolist():
+        own = mode == m
+        out[own] = PREDICTIONS[m](l[own], t[own], tr[own], tl[own])
+    return out
 
 
-def _predict(image: np.ndarray, modes: np.ndarray, step: int, y: int, x: int) -> np.ndarray:
-    """The prediction of a pixel from those before it."""
-    h, w = image.shape[:2]
-    if not y:
-        return np.array([0, 0, 0, 255]) if not x else image[0, x - 1]
-    if not x:
-        return image[y - 1, 0]
-    right = image[y - 1, x + 1] if x + 1 < w else image[y, 0]
-    return PREDICTIONS[min(int(modes[y >> step, x >> step]), 13)](image[y, x - 1], image[y - 1, x], right, image[y - 1, x - 1])
+def _mode_map(modes: np.ndarray, step: int, h: int, w: int) -> np.ndarray:
+    return np.minimum(modes[np.arange(h)[:, None] >> step, np.arange(w)[None, :] >> step], 13)
 
 
 def invert_predictor(residual: np.ndarray, modes: np.ndarray, step: int) -> np.ndarray:
-    out = residual.astype(np.int64)
+    out = residual.astype(np.int16)
     h, w = out.shape[:2]
-    for y in range(h):
-        row_modes = modes[y >> step]
-        if not y or (row_modes == 1).all():
-            first = out[y - 1, 0] if y else np.array([0, 0, 0, 255])  # all left: running sums
-            out[y, 0] += first
-            out[y] = np.cumsum(out[y], 0) & 255
-            continue
-        for x in range(w):
-            out[y, x] = (out[y, x] + _predict(out, modes, step, y, x)) & 255
+    out[0, 0, 3] += 255
+    out[0] = np.cumsum(out[0], 0, dtype=np.int64) & 255
+    out[:, 0] = np.cumsum(out[:, 0], 0, dtype=np.int64) & 255
+    if h == 1 or w == 1:
+        return out.astype(np.uint8)
+    mode = _mode_map(modes, step, h, w)
+    kinds = set(np.unique(mode[1:, 1:]).tolist())
+    if kinds <= {1}:
+        out[1:] = np.cumsum(out[1:], 1, dtype=np.int64) & 255
+    elif kinds <= {2}:
+        out[:, 1:] = np.cumsum(out[:, 1:], 0, dtype=np.int64) & 255
+    elif kinds <= set(FROM_ABOVE):
+        one = np.where((mode[:, 1:] == mode[:, 1:2]).all(1), mode[:, 1].astype(np.int64), -1).tolist()
+        for y in range(1, h):
+            above, own = out[y - 1], out[y, 1:]
+            right = np.concatenate([above[2:], out[y, :1]]) if one[y] in (-1, 3, 9) else above[1:]
+            own += _predict(mode[y, 1:], above[1:], above[1:], right, above[:-1]) if one[y] < 0 else PREDICTIONS[one[y]](above[1:], above[1:], right, above[:-1])
+            own &= 255
+    else:  # by waves: a pixel's neighbours lie in waves before its own
+        for s in range(3, w + 2 * h - 2):
+            ys = np.arange(max(1, -(-(s - w + 1) // 2)), min(h - 1, (s - 1) // 2) + 1)
+            if not len(ys):
+                continue
+            xs = s - 2 * ys
+            right = np.where((xs + 1 < w)[:, None], out[ys - 1, np.minimum(xs + 1, w - 1)], out[ys, 0])
+            out[ys, xs] = (out[ys, xs] + _predict(mode[ys, xs], out[ys, xs - 1], out[ys - 1, xs], right, out[ys - 1, xs - 1])) & 255
     return out.astype(np.uint8)
 
 
+def _neighbours(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left, top, top right and top left of the pixels beyond the first row and column."""
+    top = image[:-1]
+    return image[1:, :-1], top[:, 1:], np.concatenate([top[:, 2:], image[1:, :1]], 1), top[:, :-1]
+
+
 def apply_predictor(image: np.ndarray, modes: np.ndarray, step: int) -> np.ndarray:
-    wide = image.astype(np.int64)
+    wide = image.astype(np.int16)
     h, w = wide.shape[:2]
-    return np.array([[(wide[y, x] - _predict(wide, modes, step, y, x)) & 255 for x in range(w)] for y in range(h)]).astype(np.uint8)
+    out = wide.copy()
+    out[0, 1:] -= wide[0, :-1]
+    out[1:, 0] -= wide[:-1, 0]
+    out[0, 0, 3] -= 255
+    if h > 1 and w > 1:
+        flat = [x.reshape(-1, 4) for x in _neighbours(wide)]
+        out[1:, 1:] -= _predict(_mode_map(modes, step, h, w)[1:, 1:].ravel(), *flat).reshape(h - 1, w - 1, 4)
+    return (out & 255).astype(np.uint8)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return ((x.astype(np.int64) + 128) & 255) - 128
+    return x.astype(np.uint8).view(np.int8).astype(np.int16)
 
 
 def cross_colour(image: np.ndarray, table: np.ndarray, step: int, inverse: bool) -> np.ndarray:
     """table: (rows, columns, 4) whose B, G, R are green to red, green to blue, red to blue."""
     h, w = image.shape[:2]
     t = _signed(table)[np.arange(h)[:, None] >> step, np.arange(w)[None, :] >> step]
-    out = image.astype(np.int64)
+    out = image.astype(np.int16)
     green = _signed(image[..., 1])
     sign = 1 if inverse else -1
     red = (out[..., 0] + sign * ((t[..., 2] * green) >> 5)) & 255
@@ -344,7 +574,7 @@ def cross_colour(image: np.ndarray, table: np.ndarray, step: int, inverse: bool)
 def add_green(image: np.ndarray, sign: int = 1) -> np.ndarray:
     out = image.copy()
     for c in (0, 2):
-        out[..., c] += image[..., 1] if sign > 0 else (0 - image[..., 1].astype(np.int64) & 255).astype(np.uint8)
+        out[..., c] = out[..., c] + image[..., 1] if sign > 0 else out[..., c] - image[..., 1]
     return out
 
 
@@ -390,12 +620,21 @@ def decode(data: bytes) -> np.ndarray:
     bits = Bits(_payload(data))
     if bits.read(8) != 0x2F:
         raise FormatError("not a lossless image")
-    full = width = bits.read(14) + 1
+    width = bits.read(14) + 1
     height = bits.read(14) + 1
     alpha = bits.read(1)
     if bits.read(3):
         raise FormatError("an unknown version")
-    transforms: list[_Transform] = []
+    image = read_stream(bits, width, height)
+    if not alpha:
+        image = image.copy()
+        image[..., 3] = 255
+    return image
+
+
+def read_stream(bits: Bits, width: int, height: int) -> np.ndarray:
+    """The pixels of what follows a file's head: transforms and the main image. Planes of alpha are stored so too, in green."""
+    full, transforms = width, []
     while bits.read(1):
         kind = bits.read(2)
         if kind in {t.kind for t in transforms}:
@@ -423,254 +662,269 @@ def decode(data: bytes) -> np.ndarray:
             image = expand_palette(image, t.data, t.width)
     if image.shape[1] != full:
         raise FormatError("the width doesn't fit")
-    if not alpha:
-        image = image.copy()
-        image[..., 3] = 255
     return image
 
 
-def _file(body: bytes) -> bytes:
-    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
-    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+# ---- the encoder
 
 
-def _put_uniform(out: BitWriter, used: list[int], k: int, size: int) -> None:
-    """A normal code in which the symbols used have length k and no others have one."""
-    own = {k: 2, 17: 2, 18: 2, 0: 3, 16: 3}
-    codes = canonical([own.get(s, 0) for s in range(19)])
-    n = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if s in own) + 1
-    out.put(0, 1)
-    out.put(n - 4, 4)
-    for s in CODE_LENGTH_ORDER[:n]:
-        out.put(own.get(s, 0), 3)
-    out.put(0, 1)
-    at, i = 0, 0
-    while at < size:
-        if i < len(used) and used[i] == at:
-            j = i
-            while j < len(used) and used[j] - used[i] == j - i:
-                j += 1
-            out.put(*codes[k])
-            left = j - i - 1
-            while left >= 3:
-                take = min(left, 6)
-                out.put(*codes[16])
-                out.put(take - 3, 2)
-                left -= take
-            for _ in range(left):
-                out.put(*codes[k])
-            at, i = at + j - i, j
-            continue
-        left = (used[i] if i < len(used) else size) - at
-        at += left
-        while left:
-            if left >= 11:
-                take = min(left, 138)
-                out.put(*codes[18])
-                out.put(take - 11, 7)
-            elif left >= 3:
-                take = left
-                out.put(*codes[17])
-                out.put(take - 3, 3)
-            else:
-                take = 1
-                out.put(*codes[0])
-            left -= take
-
-
-def _head(width: int, height: int) -> BitWriter:
-    if not (1 <= width <= 1 << 14 and 1 <= height <= 1 << 14):
-        raise FormatError("a side beyond 16384")
-    out = BitWriter()
-    for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
-        out.put(v, n)
+def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Huffman lengths of at most `most`; counts are flattened until they fit. A single symbol gets length 1."""
+    out = np.zeros(len(counts), np.int64)
+    used = counts.nonzero()[0]
+    n = len(used)
+    if n < 2:
+        out[used] = 1
+        return out
+    own = counts[used]
+    while True:
+        order = own.argsort(kind="stable")
+        weights = [*own[order].tolist(), *[1 << 60] * n]  # leaves, then joined nodes, either in order of weight
+        up, i, j = [0] * (2 * n - 1), 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if i < n and weights[i] <= weights[j]:
+                    total += weights[i]
+                    up[i] = new
+                    i += 1
+                else:
+                    total += weights[j]
+                    up[j] = new
+                    j += 1
+            weights[new] = total
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth[:n]) <= most:
+            out[used[order]] = depth[:n]
+            return out
+        own = (own >> 1) + 1 + (int(own.max()) >> most)
+
+
+def _zeros(n: int) -> list[tuple[int, int, int]]:
+    """Symbols for n symbols without code, with the value and number of the bits that follow."""
+    out = [(18, 127, 7)] * (n // 138)
+    n %= 138
+    if n >= 11:
+        out.append((18, n - 11, 7))
+    elif n >= 3:
+        out.append((17, n - 3, 3))
+    else:
+        out += [(0, 0, 0)] * n
     return out
 
 
-def encode(image: np.ndarray) -> bytes:
-    """A file of (height, width, 4) bytes with an even number of pixels: codes of one length over the bytes that occur."""
-    height, width = image.shape[:2]
-    flat = np.ascontiguousarray(image).reshape(-1, 8)
-    used = np.flatnonzero(np.bincount(flat.ravel(), minlength=256)).tolist()
-    k = max(1, (len(used) - 1).bit_length())
-    have = set(used)
-    used = sorted([*used, *[s for s in range(256) if s not in have][: (1 << k) - len(used)]])
-    out = _head(width, height)
-    out.put(0, 3)  # no transform, no cache, one group
-    for size in (256 + LENGTH_CODES, 256, 256, 256):
-        _put_uniform(out, used, k, size)
-    for v in (1, 0, 0, 0):  # distances: one symbol, 0
-        out.put(v, 1)
-    code = np.zeros(256, np.uint64)
-    code[used] = _reversal(k)
-    word = np.zeros(len(flat), np.uint64)
-    for j in range(8):
-        word |= code[flat[:, (1, 0, 2, 3)[j % 4] + 4 * (j // 4)]] << np.uint64(k * j)
-    raw = np.ascontiguousarray(word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k]).ravel()
-    r = out.n & 7
-    head = out.to_bytes()
-    if not r:
-        return _file(head + raw.tobytes())
-    wide = np.zeros(len(raw) + 1, np.uint8)
-    wide[:-1] = raw << r
-    wide[1:] |= raw >> (8 - r)
-    return _file(head[:-1] + bytes([head[-1] | int(wide[0])]) + wide[1:].tobytes())
-
-
-# ---- the whole encoder
-
-
-def code_lengths(counts: Counter, size: int, most: int = 15) -> list[int]:
-    """Huffman lengths of at most `most`; counts are flattened until they fit."""
-    lengths = [0] * size
-    if len(counts) <= 1:
-        for s in counts:
-            lengths[s] = 1
-        return lengths
-    floor = 1
-    while True:
-        heap = [(max(n, floor), i, (s,)) for i, (s, n) in enumerate(sorted(counts.items()))]
-        heapq.heapify(heap)
-        depth, i = Counter(), len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], i, a[2] + b[2]))
-            i += 1
-        if max(depth.values()) <= most:
-            for s, n in depth.items():
-                lengths[s] = n
-            return lengths
-        floor = floor * 2 + 1
-
-
-def _put_code(out: BitWriter, lengths: list[int]) -> list[tuple[int, int]]:
-    """Writes a code and returns what each symbol is written as."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1 and (used or [0])[0] < 256:
-        s = (used or [0])[0]
-        for v, n in ((1, 1), (0, 1), (1, 1), (s, 8)):
-            out.put(v, n)
-        return [(0, 0)] * len(lengths)
+def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the code of symbols with such counts; returns each symbol's code and its length."""
+    used = counts.nonzero()[0].tolist()
+    if len(used) <= 2 and (not used or used[-1] < 256):
+        first = used[0] if used else 0
+        out.put(1 | (len(used) == 2) << 1 | (first > 1) << 2, 3)
+        out.put(first, 8 if first > 1 else 1)
+        lengths = np.zeros(len(counts), np.int64)
+        if len(used) < 2:
+            return lengths, lengths
+        out.put(used[1], 8)
+        lengths[used] = 1
+        return canonical(lengths), lengths
+    lengths = code_lengths(counts)
     if len(used) == 1:  # beyond the short form: a second symbol makes a code of two
-        lengths = [1 if i in (0, used[0]) else 0 for i in range(len(lengths))]
-    own = code_lengths(Counter(lengths), 19, 7)
-    if sum(1 for n in own if n) == 1:
-        own[next(s for s in (0, 1) if not own[s])] = 1
-    codes = canonical(own)
-    out.put(0, 1)
-    out.put(15, 4)
-    for s in CODE_LENGTH_ORDER:
-        out.put(own[s], 3)
-    out.put(0, 1)
-    for n in lengths:
-        out.put(*codes[n])
-    return canonical(lengths)
+        lengths[0] = 1
+        used = [0, *used]
+    tokens: list[tuple[int, int, int]] = []
+    at, last, run = 0, 8, 0
+    for s, v in zip(used, lengths[used].tolist(), strict=True):
+        if s > at or v != last:
+            if run:
+                tokens += [(16, run - 3, 2)] if run >= 3 else [(last, 0, 0)] * run
+                run = 0
+            if s > at:
+                tokens += _zeros(s - at)
+            if v != last:
+                tokens.append((v, 0, 0))
+                last = v
+            else:
+                run = 1
+        else:
+            run += 1
+            if run == 6:
+                tokens.append((16, 3, 2))
+                run = 0
+        at = s + 1
+    if run:
+        tokens += [(16, run - 3, 2)] if run >= 3 else [(last, 0, 0)] * run
+    tokens += _zeros(len(counts) - at)
+    own = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
+    if np.count_nonzero(own) == 1:
+        own[0 if not own[0] else 1] = 1
+    codes, sizes = canonical(own).tolist(), own.tolist()
+    n = max(4, max(i for i, s in enumerate(CODE_LENGTH_ORDER) if sizes[s]) + 1)
+    out.put((n - 4) << 1, 5)
+    value = shift = 0
+    for s in CODE_LENGTH_ORDER[:n]:
+        value |= sizes[s] << shift
+        shift += 3
+    shift += 1
+    for s, v, k in tokens:
+        value |= (codes[s] | v << sizes[s]) << shift
+        shift += sizes[s] + k
+    out.put(value, shift)
+    return canonical(lengths), lengths
+
+
+def _repeats(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel how many from it on repeat what stands where it and the next stood last (1 if nowhere), and how far back that is."""
+    n, at = len(px), np.arange(len(px))
+    back = np.zeros(n, np.int64)
+    if n < 3:
+        return np.ones(n, np.int64), back
+    pair = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:]
+    key = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(28) << np.uint64(28)  # an image has at most 2^28 pixels
+    order = (np.sort(key | np.arange(n - 1, dtype=np.uint64)) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    gap = order[1:] - order[:-1]
+    own = pair[order]
+    same = (own[1:] == own[:-1]) & (gap > 0) & (gap <= FARTHEST)
+    back[order[1:][same]] = gap[same]
+    goes_on = np.append((back[:-1] > 0) & (back[1:] == back[:-1]), False)
+    end = np.minimum.accumulate(np.where(goes_on, n, at)[::-1])[::-1]  # the last place of a run of equal distances
+    return np.where(back > 0, np.minimum(end - at + 2, 4096), 1), back
 
 
 def _put_image(out: BitWriter, image: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, step: int = 0) -> None:
     h, w = image.shape[:2]
-    px = _pack(image).ravel().tolist()
-    near = {}
-    for i, (dx, dy) in enumerate(NEAR):
-        near.setdefault(max(1, dx + dy * w), i + 1)
-    seen: dict[tuple, int] = {}
-    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    items, at = [], 0
-    while at < len(px):
-        n, d = 0, 0
-        if references and at + 3 <= len(px):
-            start = seen.get(tuple(px[at : at + 3]))
-            if start is not None:
-                d = at - start
-                while n < 4096 and at + n < len(px) and px[at + n] == px[at + n - d]:
-                    n += 1
-        p = px[at]
-        if n >= 3:
-            items.append((at, "ref", n, d))
-        elif cache_bits and cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] == p and at:
-            n = 1
-            items.append((at, "cache", (p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift, 0))
-        else:
-            n = 1
-            items.append((at, "px", p, 0))
-        for q in range(at, at + n):
-            if q + 3 <= len(px):
-                seen[tuple(px[q : q + 3])] = q
-            if cache_bits:
-                cache[(px[q] * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = px[q]
-        at += n
+    px = _pack(image).ravel()
+    total = len(px)
+    if not cache_bits and not step and (px == px[0]).all():  # one colour: codes that take no bits
+        out.put(0, 2 if main else 1)
+        for s in (px[0] >> 8 & 255, px[0] >> 16 & 255, px[0] & 255, px[0] >> 24, 0):
+            out.put(5 | int(s) << 3, 11)
+        return
+    if references:
+        length, back = _repeats(px)
+        at = _walk(np.arange(total) + length, 0, total, total)
+        n, d = length[at], back[at]
+    else:
+        at = np.arange(total)
+        n, d = np.ones(total, np.int64), np.zeros(total, np.int64)
+    is_ref = n > 1
+    cached = np.zeros(len(at), bool)
+    slot = None
+    if cache_bits:
+        slot = _hashes(px, cache_bits)
+        order = _in_order(slot)
+        hit = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+        there = np.zeros(total, bool)
+        there[order[1:][hit]] = True
+        cached = there[at] & ~is_ref
     out.put(1 if cache_bits else 0, 1)
     if cache_bits:
         out.put(cache_bits, 4)
-    groups, which = 1, None
+    groups, which = 1, np.zeros(len(at), np.int64)
     if main:
         out.put(1 if step else 0, 1)
         if step:
             rows, cols = (h + (1 << step) - 1) >> step, (w + (1 << step) - 1) >> step
-            which = (np.arange(rows)[:, None] + np.arange(cols)[None, :]) % 2
-            groups = int(which.max()) + 1
+            board = (np.arange(rows)[:, None] + np.arange(cols)[None, :]) % 2
+            groups = int(board.max()) + 1
             meta = np.zeros((rows, cols, 4), np.uint8)
-            meta[..., 1], meta[..., 3] = which, 255
+            meta[..., 1], meta[..., 3] = board, 255
             out.put(step - 2, 3)
             _put_image(out, meta, False)
-    sizes = [256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES]
-    counts = [[Counter() for _ in sizes] for _ in range(groups)]
-    steps = []
-    for at, kind, a, d in items:
-        g = int(which[(at // w) >> step, (at % w) >> step]) if which is not None else 0
-        if kind == "px":
-            parts = [(0, (a >> 8) & 255), (1, (a >> 16) & 255), (2, a & 255), (3, a >> 24)]
-            extras = [(0, 0)] * 4
-        elif kind == "cache":
-            parts, extras = [(0, 256 + LENGTH_CODES + a)], [(0, 0)]
+            which = board[(at // w) >> step, (at % w) >> step]
+    plain = ~is_ref & ~cached
+    argb = px[at].astype(np.int64)
+    green = np.where(plain, (argb >> 8) & 255, 0)
+    ls, lv, ln = _extras_of(n)
+    green = np.where(is_ref, 256 + ls, green)
+    if cache_bits:
+        green = np.where(cached, 256 + LENGTH_CODES + slot[at].astype(np.int64), green)
+    parts = [(green, None, 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0))]
+    for shift in (16, 0, 24):
+        x = (argb >> shift) & 255
+        parts.append((None, x[0], 256) if (x == x[0]).all() else (x, plain, 256))
+    if references:
+        _, near = _near(w)
+        own = near.take(np.minimum(d, len(near) - 1))
+        ds, dv, dn = _extras_of(np.where((d < len(near)) & (own > 0), own, d + len(NEAR)))
+        parts.append((ds, is_ref, DISTANCE_CODES))
+    else:
+        parts.append((None, 0, DISTANCE_CODES))
+    def counts_of(c: int, g: int) -> np.ndarray:
+        s, takes, k = parts[c]
+        if s is None:  # the same everywhere: no bits
+            return np.eye(1, k, takes, np.int64)[0]
+        own = takes if groups == 1 else which == g if takes is None else takes & (which == g)
+        return np.bincount(s if own is None else s[own], minlength=k)
+
+    codes = [_put_code(out, counts_of(c, g)) for g in range(groups) for c in range(5)]
+    value, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for c, (s, takes, _) in enumerate(parts):
+        if s is None:
+            continue
+        if groups == 1:
+            code, bits = codes[c][0].take(s), codes[c][1].take(s)
         else:
-            (ls, lv, ln), (ds, dv, dn) = _extra_of(a), _extra_of(near.get(d, d + len(NEAR)))
-            parts, extras = [(0, 256 + ls), (4, ds)], [(lv, ln), (dv, dn)]
-        for c, s in parts:
-            counts[g][c][s] += 1
-        steps.append((g, parts, extras))
-    codes = [[_put_code(out, code_lengths(c, n)) for c, n in zip(group, sizes, strict=True)] for group in counts]
-    for g, parts, extras in steps:
-        for (c, s), (v, n) in zip(parts, extras, strict=True):
-            out.put(*codes[g][c][s])
-            out.put(v, n)
-
-
-def encode_full(image: np.ndarray, *, palette: bool = False, predictor: np.ndarray | None = None, cross: np.ndarray | None = None, subtract_green: bool = False, step: int = 2, cache_bits: int = 0, references: bool = False, group_step: int = 0) -> bytes:
+            code, bits = (np.stack([codes[5 * g + c][i] for g in range(groups)])[which, s] for i in range(2))
+        if takes is not None:
+            code, bits = np.where(takes, code, 0), np.where(takes, bits, 0)
+        value |= code << size
+        size += bits
+        if references and c in (0, 4):
+            v, k = ((lv, ln), (dv, dn))[c // 4]
+            value |= np.where(is_ref, v, 0) << size
+            size += np.where(is_ref, k, 0)
+    out.put_all(value.view(np.uint64), size)
+
+
+def _head(width: int, height: int) -> BitWriter:
+    if not (1 <= width <= 1 << 14 and 1 <= height <= 1 << 14):
+        raise FormatError("a side beyond 16384")
+    out = BitWriter()
+    out.put(0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36, 40)
+    return out
+
+
+def _file(body: bytes) -> bytes:
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+def colours_of(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pixels (n, 4), by value, and each pixel's number among them."""
+    found, index = np.unique(_pack(image).ravel(), return_inverse=True)
+    return _unpack(found), index.reshape(image.shape[:2])
+
+
+def encode(image: np.ndarray, *, palette: bool = False, predictor: np.ndarray | None = None, cross: np.ndarray | None = None, subtract_green: bool = False, step: int = 2, cache_bits: int = 0, references: bool = False, group_step: int = 0) -> bytes:
     """A file with the transforms asked for. predictor: modes, cross: factors, one for each block of 2^step pixels a side."""
     h, w = image.shape[:2]
     out = _head(w, h)
     if palette:
-        colours, index = np.unique(image.reshape(-1, 4), axis=0, return_inverse=True)
+        colours, index = colours_of(image)
         if len(colours) > 256:
             raise FormatError("more than 256 colours")
-        for v, n in ((1, 1), (PALETTE, 2), (len(colours) - 1, 8)):
-            out.put(v, n)
-        _put_image(out, np.diff(colours.astype(np.int64), axis=0, prepend=0).astype(np.uint8)[None], False)
+        out.put(1 | PALETTE << 1 | (len(colours) - 1) << 3, 11)
+        _put_image(out, np.diff(colours.astype(np.int16), axis=0, prepend=0).astype(np.uint8)[None], False)
         bits = _bundle_bits(len(colours))
         per, size = 1 << bits, 8 >> bits
         wide = np.zeros((h, -(-w // per) * per), np.int64)
-        wide[:, :w] = index.reshape(h, w)
+        wide[:, :w] = index
         image = np.zeros((h, wide.shape[1] // per, 4), np.uint8)
         image[..., 1] = (wide.reshape(h, -1, per) << (np.arange(per) * size)).sum(-1) if bits else wide
         image[..., 3] = 255
     if predictor is not None:
-        for v, n in ((1, 1), (PREDICTOR, 2), (step - 2, 3)):
-            out.put(v, n)
+        out.put(1 | PREDICTOR << 1 | (step - 2) << 3, 6)
         modes = np.zeros((*predictor.shape, 4), np.uint8)
         modes[..., 1], modes[..., 3] = predictor, 255
         _put_image(out, modes, False)
         image = apply_predictor(image, predictor, step)
     if cross is not None:
-        for v, n in ((1, 1), (CROSS_COLOUR, 2), (step - 2, 3)):
-            out.put(v, n)
+        out.put(1 | CROSS_COLOUR << 1 | (step - 2) << 3, 6)
         _put_image(out, cross, False)
         image = cross_colour(image, cross, step, False)
     if subtract_green:
-        out.put(1, 1)
-        out.put(SUBTRACT_GREEN, 2)
+        out.put(1 | SUBTRACT_GREEN << 1, 3)
         image = add_green(image, -1)
     out.put(0, 1)
     _put_image(out, image, True, cache_bits, references, group_step)
