@@ -112,3 +112,138 @@ def test_store(spark):
     px = media.pixels(media.store(docs, with_media=True).select("doc_id", "media")).collect()
     assert all(r["height"] * r["width"] * 4 == len(r["pixels"]) for r in px)
     assert media.pixels(spark.createDataFrame([(b"junk",), (None,)], "media binary")).filter("pixels IS NULL").count() == 2
+
+
+# The alpha plane, 16 x 16, of a small logo that a common WebP library wrote: a stream without a file's head, values in green.
+FOREIGN = """
+27a2a89124e57ae7185fe7df2a998898ff74718de02630e2e18b7732c8c1115c832b30e8b078158e785135c1080c024f92a06ab055191cd6b66d462f4ec6763c
+b6ed77fbaf29ae21a2ff49d1fd8f90f7ba4449241b3a259134f3146d0ec7d3e51620f40b14be90e183b71a329e36827f1d297e4e7608fb889eb391ef997346e8
+3282dbf8cc48b2f745307d20fd36178c2132562da5d66b23bc5de3a55915d59c81a4d96e96758a18310f8aaa2c5034fa3082dfba6b505229b52dcfe954140a010000
+"""
+
+
+def test_a_stream_of_another_library():
+    px = vp8l.read_stream(vp8l.Bits(bytes.fromhex(FOREIGN)), 16, 16)[..., 1].astype(int)
+    assert px[0].tolist() == [0, 0, 0, 0, 175, 237, 255, 255, 255, 247, 146, 11, 3, 0, 0, 0]
+    assert px[8].tolist() == [247, 255, 255, 170, 78, 166, 247, 255, 255, 255, 255, 255, 255, 255, 247, 71]
+    assert px[15].tolist() == [0, 0, 0, 0, 8, 29, 53, 66, 71, 69, 56, 31, 8, 0, 0, 0]
+
+
+def _code(rng, symbols):
+    """Random lengths of a complete code: {symbol: (bits as text, first bit first)}."""
+    parts = [""]
+    while len(parts) < len(symbols):
+        i = int(rng.integers(len(parts)))
+        if len(parts[i]) < 12:
+            parts[i : i + 1] = [parts[i] + "0", parts[i] + "1"]
+    lengths = {s: len(p) for s, p in zip(rng.permutation(symbols).tolist(), parts, strict=True)}
+    out, code, last = {}, 0, 0
+    for n, s in sorted((n, s) for s, n in lengths.items()):
+        code, last = code << (n - last), n
+        out[s] = f"{code:0{n}b}"
+        code += 1
+    return out
+
+
+def _written(rng, code, size):
+    """A code in its long form, with lengths of 4 bits each, zeros in runs of up to 10 and repeats by symbol 16 here and there."""
+    own = {s: f"{i:04b}"[: 4] for i, s in enumerate([*range(13), 16, 17])}
+    lengths = {s: 4 for s in own}
+    lengths[17] = 3  # fifteen codes of 4 bits leave room for one of 3
+    own, at, last = {}, 0, 0
+    for n, s in sorted((n, s) for s, n in lengths.items()):
+        at, last = at << (n - last), n
+        own[s] = f"{at:0{n}b}"
+        at += 1
+    low = lambda v, n: f"{v:0{n}b}"[::-1] if n else ""
+    out = "0" + low(15, 4) + "".join(low(lengths.get(s, 0), 3) for s in vp8l.CODE_LENGTH_ORDER) + "0"
+    s, before = 0, 8
+    while s < size:
+        v = len(code[s]) if s in code else 0
+        run = 1
+        while s + run < size and run < 10 and (len(code[s + run]) if s + run in code else 0) == v:
+            run += 1
+        if not v and run >= 3:
+            out += own[17] + low(run - 3, 3)
+            s += run
+        elif v == before and run >= 3 and rng.integers(2):
+            run = min(run, 6)
+            out += own[16] + low(run - 3, 2)
+            s += run
+        else:
+            out += own[v]
+            before = v or before
+            s += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_files_of_another_writer(seed):
+    """Random items with random codes, written bit by bit, and what they mean by the format's own words."""
+    rng = np.random.default_rng(seed)
+    w, h, cache_bits = int(rng.integers(3, 60)), int(rng.integers(2, 40)), int(rng.integers(0, 5))
+    low = lambda v, n: f"{v:0{n}b}"[::-1] if n else ""
+    literals = sorted({int(x) for x in rng.integers(0, 256, 30)})
+    slots = [280 + i for i in range(1 << cache_bits)] if cache_bits else []
+    green = _code(rng, [*literals, *range(256, 256 + 14), *slots])
+    others = [_code(rng, literals) for _ in range(3)]
+    distance = _code(rng, list(range(14)))
+    value = lambda s, x: (s if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + x) + 1
+    bits = low(0x2F, 8) + low(w - 1, 14) + low(h - 1, 14) + "1" + "000" + "0"
+    bits += ("1" + low(cache_bits, 4) if cache_bits else "0") + "0"
+    bits += _written(rng, green, 280 + len(slots))
+    for c in others:
+        bits += _written(rng, c, 256)
+    bits += _written(rng, distance, 40)
+    px, cache = [], {}
+    while len(px) < w * h:
+        kind = rng.integers(4)
+        new = []
+        if kind == 0 and px:
+            s, d = int(rng.integers(14)), int(rng.integers(14))
+            sx, dx = (int(rng.integers(1 << max(0, (v - 2) >> 1))) for v in (s, d))
+            n, far = value(s, sx), value(d, dx)
+            far = far - 120 if far > 120 else max(1, vp8l.NEAR[far - 1][0] + vp8l.NEAR[far - 1][1] * w)
+            if far > len(px) or len(px) + n > w * h:
+                continue
+            bits += green[256 + s] + low(sx, max(0, (s - 2) >> 1)) + distance[d] + low(dx, max(0, (d - 2) >> 1))
+            for _ in range(n):
+                px.append(px[-far])
+                new.append(px[-1])
+        elif kind == 1 and slots:
+            c = int(rng.integers(len(slots)))
+            bits += green[280 + c]
+            new = [cache.get(c, (0, 0, 0, 0))]
+            px += new
+        else:
+            g, r, b, a = (literals[int(rng.integers(len(literals)))] for _ in range(4))
+            bits += green[g] + others[0][r] + others[1][b] + others[2][a]
+            new = [(r, g, b, a)]
+            px += new
+        for r, g, b, a in new:
+            if cache_bits:
+                cache[((a << 24 | r << 16 | g << 8 | b) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)] = (r, g, b, a)
+    bits += "0" * (-len(bits) % 8)
+    body = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    assert vp8l.decode(vp8l._file(body)).reshape(-1, 4).tolist() == [list(p) for p in px]
+
+
+def test_stretches_are_joined(monkeypatch):
+    """An image read in many short stretches, and item by item."""
+    px = image(40, 50, 3, 40)
+    file = vp8l.encode(px, references=True, cache_bits=5)
+    monkeypatch.setattr(vp8l, "STRETCH", 128)
+    assert (vp8l.decode(file) == px).all()
+    monkeypatch.setattr(vp8l, "SMALL", 1 << 30)
+    assert (vp8l.decode(file) == px).all()
+
+
+def test_every_kind_of_plan_occurs():
+    kinds = set()
+    for i in range(60):
+        payload = media.padded(np.frombuffer(f"{i} some text of a document ".encode() * (1 + 20 * (i % 7)), np.uint8))
+        px = media.to_image(payload)
+        plan = media.plan(px, payload)
+        kinds |= set(plan)
+        assert (vp8l.decode(vp8l.encode(px, **plan)) == px).all()
+    assert {"references", "palette", "cross", "cache_bits", "predictor"} <= kinds

@@ -70,14 +70,14 @@ CACHE_BITS = 6
 def plan(image: np.ndarray, payload: np.ndarray) -> dict:
     """How an image is stored. A checksum of the payload decides which means it is stored by, so that a column has files of every
     kind, as one of many writers has: references, with a palette where the image has at most 256 colours and cross-colour where
-    it has more; cross-colour, subtract-green and a colour cache; or a predictor and cross-colour. All have prefix codes."""
+    it has more; cross-colour and a colour cache; or a predictor. All have prefix codes."""
     kind = zlib.crc32(payload) % 3
     if kind == 0:
         if len(np.unique(image.view(np.uint32))) <= 256:
             return {"references": True, "palette": True}
         return {"references": True, "step": STEP, "cross": _factors(image, STEP)}
     if kind == 1:
-        return {"step": STEP, "cross": _factors(image, STEP), "subtract_green": True, "cache_bits": CACHE_BITS}
+        return {"step": STEP, "cross": _factors(image, STEP), "cache_bits": CACHE_BITS}
     return {"step": STEP, "predictor": _predictor(image, STEP)}
 
 

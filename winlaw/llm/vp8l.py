@@ -140,6 +140,13 @@ class PrefixCode:
         return entry >> 4
 
 
+@lru_cache(256)
+def _code_of_lengths(x: int) -> list[int]:
+    """The table of a code of code lengths, whose own lengths are 3 bits each."""
+    own = [(s, x >> 3 * i & 7) for i, s in enumerate(CODE_LENGTH_ORDER)]
+    return PrefixCode([s for s, v in own if v], [v for _, v in own if v]).table.tolist()
+
+
 def _read_code(bits: Bits, size: int) -> PrefixCode:
     a, begin = bits.at >> 3, bits.at & 7
     x = int.from_bytes(bits.data[a : a + 14 * size // 8 + 16], "little") >> begin  # a length takes 14 bits at most
@@ -158,10 +165,8 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
         return PrefixCode(symbols, [1] * len(symbols))
     n = 4 + (x >> 1 & 15)
     used = 5 + 3 * n
-    own = [(s, x >> (5 + 3 * i) & 7) for i, s in enumerate(CODE_LENGTH_ORDER[:n])]
-    own = [(s, v) for s, v in own if v]
+    table = _code_of_lengths(x >> 5 & ((1 << 3 * n) - 1))
     x >>= used
-    code = PrefixCode([s for s, _ in own], [v for _, v in own])
     left = size
     if x & 1:
         n = 2 + 2 * (x >> 1 & 7)
@@ -171,7 +176,7 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
     else:
         x >>= 1
         used += 1
-    table, mask = code.table.tolist(), len(code.table) - 1
+    mask = len(table) - 1
     at, last, symbols, lengths = 0, 8, [], []
     while at < size and left:
         left -= 1
@@ -439,11 +444,30 @@ def _resolve(kind: np.ndarray, value: np.ndarray, n: np.ndarray, back: np.ndarra
         same = slot[order[1:]] == slot[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
         mine = at[cached]
-        px[mine] = 0  # an entry that was never filled
-        source[mine] = np.where(before[mine] >= 0, before[mine], mine)
+        if (before[mine] < 0).any():  # an entry that was never filled: a pixel of zeros, whose hash isn't the entry's
+            return _one_by_one(kind, value, n, back, total, cache_bits)
+        source[mine] = before[mine]
     return px[_follow(source)]
 
 
+def _one_by_one(kind: np.ndarray, value: np.ndarray, n: np.ndarray, back: np.ndarray, total: int, cache_bits: int) -> np.ndarray:
+    """As _resolve(), an item after another."""
+    out: list[int] = []
+    cache, shift, fresh = [0] * (1 << cache_bits), 32 - cache_bits, 0
+    for k, v, m, d in zip(kind.tolist(), value.tolist(), n.tolist(), back.tolist(), strict=True):
+        if k < 256:
+            out.append(v)
+        elif k < 256 + LENGTH_CODES:
+            for _ in range(m):
+                out.append(out[-d])
+        else:
+            for p in out[fresh:]:
+                cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = p
+            fresh = len(out)
+            out.append(cache[k - 256 - LENGTH_CODES])
+    return np.array(out, np.uint32)
+
+
 # ---- transforms
 
 
@@ -702,17 +726,34 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         own = (own >> 1) + 1 + (int(own.max()) >> most)
 
 
-def _zeros(n: int) -> list[tuple[int, int, int]]:
-    """Symbols for n symbols without code, with the value and number of the bits that follow."""
-    out = [(18, 127, 7)] * (n // 138)
-    n %= 138
-    if n >= 11:
-        out.append((18, n - 11, 7))
-    elif n >= 3:
-        out.append((17, n - 3, 3))
-    else:
-        out += [(0, 0, 0)] * n
-    return out
+#: The encoder's own code of code lengths: by symbol its length. Symbols 16 aren't written.
+LENGTHS_CODE = [4, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 5, 6, 6, 6, 6, 5, 4, 5]
+
+
+@lru_cache(1)
+def _lengths_code() -> tuple[list[int], int]:
+    """The codes of LENGTHS_CODE, and its own bits in a file."""
+    head = 15 << 1
+    for i, s in enumerate(CODE_LENGTH_ORDER):
+        head |= LENGTHS_CODE[s] << (5 + 3 * i)
+    return canonical(np.array(LENGTHS_CODE)).tolist(), head
+
+
+@lru_cache(4096)
+def _run(zeros: int, length: int) -> tuple[int, int]:
+    """Bits, and how many, of so many symbols without code and then one with a code of that length (none if 0)."""
+    codes, _ = _lengths_code()
+    value = size = 0
+    while zeros:
+        take = min(zeros, 138) if zeros >= 3 else 1
+        s, v, k = (18, take - 11, 7) if take >= 11 else (17, take - 3, 3) if take >= 3 else (0, 0, 0)
+        value |= (codes[s] | v << LENGTHS_CODE[s]) << size
+        size += LENGTHS_CODE[s] + k
+        zeros -= take
+    if length:
+        value |= codes[length] << size
+        size += LENGTHS_CODE[length]
+    return value, size
 
 
 def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -720,9 +761,9 @@ def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     used = counts.nonzero()[0].tolist()
     if len(used) <= 2 and (not used or used[-1] < 256):
         first = used[0] if used else 0
+        lengths = np.zeros(len(counts), np.int64)
         out.put(1 | (len(used) == 2) << 1 | (first > 1) << 2, 3)
         out.put(first, 8 if first > 1 else 1)
-        lengths = np.zeros(len(counts), np.int64)
         if len(used) < 2:
             return lengths, lengths
         out.put(used[1], 8)
@@ -732,44 +773,14 @@ def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(used) == 1:  # beyond the short form: a second symbol makes a code of two
         lengths[0] = 1
         used = [0, *used]
-    tokens: list[tuple[int, int, int]] = []
-    at, last, run = 0, 8, 0
-    for s, v in zip(used, lengths[used].tolist(), strict=True):
-        if s > at or v != last:
-            if run:
-                tokens += [(16, run - 3, 2)] if run >= 3 else [(last, 0, 0)] * run
-                run = 0
-            if s > at:
-                tokens += _zeros(s - at)
-            if v != last:
-                tokens.append((v, 0, 0))
-                last = v
-            else:
-                run = 1
-        else:
-            run += 1
-            if run == 6:
-                tokens.append((16, 3, 2))
-                run = 0
+    value, size, at = _lengths_code()[1], 5 + 3 * 19 + 1, 0
+    for s, n in zip(used, lengths[used].tolist(), strict=True):
+        v, k = _run(s - at, n)
+        value |= v << size
+        size += k
         at = s + 1
-    if run:
-        tokens += [(16, run - 3, 2)] if run >= 3 else [(last, 0, 0)] * run
-    tokens += _zeros(len(counts) - at)
-    own = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    if np.count_nonzero(own) == 1:
-        own[0 if not own[0] else 1] = 1
-    codes, sizes = canonical(own).tolist(), own.tolist()
-    n = max(4, max(i for i, s in enumerate(CODE_LENGTH_ORDER) if sizes[s]) + 1)
-    out.put((n - 4) << 1, 5)
-    value = shift = 0
-    for s in CODE_LENGTH_ORDER[:n]:
-        value |= sizes[s] << shift
-        shift += 3
-    shift += 1
-    for s, v, k in tokens:
-        value |= (codes[s] | v << sizes[s]) << shift
-        shift += sizes[s] + k
-    out.put(value, shift)
+    v, k = _run(len(counts) - at, 0)
+    out.put(value | v << size, size + k)
     return canonical(lengths), lengths
 
 
