@@ -79,10 +79,14 @@ def contamination(texts, items, n=13):
     return out
 
 
-def without_lines(texts, least=10):
-    """[(n_lines, n_dropped, kept text)]"""
+def without_lines(texts, least=10, ids=None):
+    """[(n_lines, n_dropped, kept text)]; rows of one id are one document, those without id each their own."""
     key = lambda x: lower(x.strip(SPACE))
-    count = collections.Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
+    held = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for k in {key(x) for x in (t or "").split("\n")} - {""}:
+            held[k].add(("row", i) if ids is None or ids[i] is None else ids[i])
+    count = collections.Counter({k: len(v) for k, v in held.items()})
     out = []
     for t in texts:
         lines = (t or "").split("\n")

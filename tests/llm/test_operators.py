@@ -253,31 +253,59 @@ def test_contamination_of_nothing(spark, docs, no_docs):
 # ---- lines
 
 
-@pytest.mark.parametrize("kw", [{}, {"broadcast_keys": 0}, {"min_docs": 2, "shards": 3}])
+@pytest.mark.parametrize("kw", [{}, {"broadcast_keys": 0}, {"min_docs": 2, "shard_keys": 3}, {"min_docs": 2, "shard_keys": 2, "broadcast_keys": 4, "shard_lines": 5}])
 def test_lines_match_brute_force(docs, rows, spark, kw):
     spec, scratch = line_dedup.LineSpec(**kw), Scratch(spark)
-    got = line_dedup.drop_lines(docs, line_dedup.build(docs, spec, scratch), spec).collect()
-    want = by_id(rows, brute.without_lines([t for _, t in rows], spec.min_docs))
+    got = line_dedup.drop_lines(docs, line_dedup.build(docs, spec, scratch), spec, scratch).collect()
+    want = by_id(rows, brute.without_lines([t for _, t in rows], spec.min_docs, [d for d, _ in rows]))
     assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got) == want
 
 
+def test_lines_count_documents_not_rows(spark):
+    """A line in twelve rows of three documents, and in ten rows without id."""
+    rows = [(i % 3, f"same line\nown {i}") for i in range(12)] + [(None, "other line")] * 10
+    spec, scratch = line_dedup.LineSpec(), Scratch(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.drop_lines(df, line_dedup.build(df, spec, scratch), spec, scratch)
+    assert sorted(r["n_dropped"] for r in got.collect()) == [0] * 12 + [1] * 10
+
+
+def test_filters_stay_in_the_plan_beyond_the_broadcast(docs, spark, monkeypatch):
+    """However many keys there are, lines pass a cuckoo filter before they meet the counts."""
+    asked = []
+    old = line_dedup._by_filters
+    monkeypatch.setattr(line_dedup, "_by_filters", lambda *a: asked.append(1) or old(*a))
+    spec, scratch = line_dedup.LineSpec(min_docs=2, broadcast_keys=1, shard_keys=2), Scratch(spark)
+    state = line_dedup.build(docs, spec, scratch)
+    assert state.shards > 1 and state.filters.count() > 1
+    line_dedup.drop_lines(docs, state, spec, scratch).count()
+    assert asked
+    # a filter that holds nothing lets no line through
+    empty = state.filters.withColumn("filter", F.lit(bytes(512)))
+    tag = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = docs.select(tag.alias("tag"), "text")
+    whole = old(texts, state, line_dedup.to_drop(state.counts, spec), scratch, spec)
+    none = old(texts, line_dedup.LineState(state.counts, empty, state.shards), line_dedup.to_drop(state.counts, spec), scratch, spec)
+    assert whole.count() > 0 and none.count() == 0
+
+
 def test_line_state_is_reversible(docs, no_docs, spark):
-    spec, scratch = line_dedup.LineSpec(min_docs=3, shards=4), Scratch(spark)
+    spec, scratch = line_dedup.LineSpec(min_docs=3, shard_keys=2), Scratch(spark)
     some, more = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
     before = line_dedup.build(some, spec, scratch)
     both = line_dedup.update(before, spec, scratch, inserted=more)
     after = line_dedup.update(both, spec, scratch, deleted=more)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(after.counts) == rows(before.counts)
-    assert rows(both.counts) == rows(line_dedup.count_lines(docs.filter("doc_id IS NOT NULL"), spec))
-    keys = {r["h1"]: r["shard"] for r in before.counts.filter("docs >= 3").collect()}
+    assert rows(both.counts) == rows(line_dedup.count_lines(docs.filter("doc_id IS NOT NULL"), scratch))
+    keys = [r["h1"] for r in before.counts.filter("docs >= 3").collect()]
     filters = {r["shard"]: cuckoo.CuckooFilter.from_bytes(bytes(r["filter"])) for r in after.filters.collect()}
-    assert keys and all(filters[s].contains(np.array([h]))[0] for h, s in keys.items())
-    a, b = (line_dedup.drop_lines(some, s, spec).select("doc_id", "kept_text") for s in (before, after))
+    assert keys and all(filters[h % after.shards].contains(np.array([h]))[0] for h in keys)
+    a, b = (line_dedup.drop_lines(some, s, spec, scratch).select("doc_id", "kept_text") for s in (before, after))
     assert rows(a.fillna(-1)) == rows(b.fillna(-1))
     none = line_dedup.update(before, spec, scratch, inserted=no_docs)
     assert rows(none.counts) == rows(before.counts)
-    assert line_dedup.drop_lines(no_docs, before, spec).count() == 0
+    assert line_dedup.drop_lines(no_docs, before, spec, scratch).count() == 0
 
 
 def test_cuckoo_filter():
@@ -291,6 +319,15 @@ def test_cuckoo_filter():
     assert cuckoo.CuckooFilter.from_bytes(f.to_bytes()).contains(keys[2500:]).all()
     full = cuckoo.CuckooFilter(64)
     assert not full.insert(keys)
+    tight = cuckoo.CuckooFilter(2048)
+    assert tight.insert(keys) and tight.contains(keys).all() and 0.55 < (tight.table > 0).mean() < 0.62
+    twice = cuckoo.CuckooFilter.sized(8)
+    same = np.array([7, 7, 7, 9])
+    assert twice.insert(same)
+    twice.delete(np.array([7, 7]))
+    assert twice.contains(same).all()
+    twice.delete(np.array([7]))
+    assert not twice.contains(np.array([7]))[0] and twice.contains(np.array([9]))[0]
 
 
 # ---- licences

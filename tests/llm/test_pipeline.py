@@ -56,7 +56,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     clean = [i for i in range(260) if i % 5]
     assert len({d for d, _ in kept} & set(clean)) > 0.9 * len(clean)
 
-    lines = brute.without_lines([t for _, t in kept])
+    lines = brute.without_lines([t for _, t in kept], ids=[d for d, _ in kept])
     deduped = [(d, k if t is not None else None) for (d, t), (_, _, k) in zip(kept, lines, strict=True)]
     assert sorted(((r[0], r[1]) for r in out["line_dedup"]), key=str) == sorted(deduped, key=str)
     assert all(r[4] == len(r[1]) for r in out["line_dedup"] if r[1] is not None)

@@ -55,35 +55,56 @@ class CuckooFilter:
         f, a, b = self._places(keys)
         return (self.table[a] == f[:, None]).any(1) | (self.table[b] == f[:, None]).any(1)
 
+    @staticmethod
+    def _rank(sorted_values: np.ndarray) -> np.ndarray:
+        """Of sorted values, the place of each among its equals."""
+        n = len(sorted_values)
+        first = np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[:n]
+        return np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+
+    def _put(self, prints: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Puts prints where their buckets have room; says which found some."""
+        placed = np.zeros(len(prints), bool)
+        if not len(prints):
+            return placed
+        order = np.argsort(buckets, kind="stable")
+        own = buckets[order]
+        rank, empty = self._rank(own), self.table[own] == 0
+        ok = rank < empty.sum(1)
+        slot = np.argsort(~empty[ok], axis=1, kind="stable")[np.arange(int(ok.sum())), rank[ok]]
+        self.table[own[ok], slot] = prints[order[ok]]
+        placed[order[ok]] = True
+        return placed
+
     def insert(self, keys: np.ndarray) -> bool:
-        """False if the table is too full; it then holds what fitted, and must be built anew at twice the size."""
-        t = self.table
-        for f, a, b in zip(*(x.tolist() for x in self._places(keys)), strict=True):
-            for place in (a, b):
-                free = np.flatnonzero(t[place] == 0)
-                if len(free):
-                    t[place, free[0]] = f
-                    break
-            else:
-                place = a if f & 1 else b
-                for kick in range(self.MAX_KICKS):
-                    slot = (f + kick) % SLOTS
-                    f, t[place, slot] = int(t[place, slot]), f
-                    place = int(self._other(np.array([place]), np.array([f], np.uint16))[0])
-                    free = np.flatnonzero(t[place] == 0)
-                    if len(free):
-                        t[place, free[0]] = f
-                        break
-                else:
-                    return False
-        return True
+        """False if the table is too full; it must then be built anew at twice the size, as it has lost a key."""
+        prints, one, two = self._places(keys)
+        left = ~self._put(prints, one)
+        left[left] = ~self._put(prints[left], two[left])
+        prints, place = prints[left], np.where(prints[left] & 1, one[left], two[left])
+        for kick in range(self.MAX_KICKS):  # those without room push others out, one of a bucket at a time
+            if not len(prints):
+                return True
+            first = np.unique(place, return_index=True)[1]
+            slot = (prints[first].astype(np.int64) + kick) % SLOTS
+            out = self.table[place[first], slot]
+            self.table[place[first], slot] = prints[first]
+            prints[first], place[first] = out, self._other(place[first], out)
+            left = ~self._put(prints, place)
+            prints, place = prints[left], place[left]
+        return not len(prints)
 
     def delete(self, keys: np.ndarray) -> None:
         """Keys that were put in; deleting others would take away a different key's fingerprint."""
-        t = self.table
-        for f, a, b in zip(*(x.tolist() for x in self._places(keys)), strict=True):
-            for place in (a, b):
-                at = np.flatnonzero(t[place] == f)
-                if len(at):
-                    t[place, at[0]] = 0
-                    break
+        prints, one, two = self._places(keys)
+        for either in (0, 1):
+            place = (one, two)[either]
+            both = place.astype(np.int64) << 16 | prints
+            order = np.argsort(both, kind="stable")
+            same = self.table[place[order]] == prints[order][:, None]
+            rank = self._rank(both[order])
+            ok = rank < same.sum(1)
+            slot = np.argsort(~same[ok], axis=1, kind="stable")[np.arange(int(ok.sum())), rank[ok]]
+            self.table[place[order[ok]], slot] = 0
+            rest = np.sort(order[~ok])
+            prints, one, two = prints[rest], one[rest], two[rest]

@@ -52,7 +52,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, spec, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.LineSpec(), Scratch(spark)
-    out = line_dedup.drop_lines(docs, line_dedup.build(docs, spec, scratch), spec)
+    out = line_dedup.drop_lines(docs, line_dedup.build(docs, spec, scratch), spec, scratch)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
