@@ -28,7 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spec, scratch = line_dedup.LineSpec(), Scratch(spark)
     own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = docs.columns.index("text")
-    kept = line_dedup.drop_lines(own, line_dedup.build(own, spec, scratch, f"c{at}"), spec, f"c{at}")
+    state = line_dedup.build(own, spec, scratch, f"c{at}", f"c{docs.columns.index('doc_id')}")
+    kept = line_dedup.drop_lines(own, state, spec, scratch, f"c{at}")
 
     def column(i: int, name: str):
         if i == at:
@@ -42,18 +43,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that similarity links."""
+    """One document, that of the smallest doc_id, of each group that similarity links. Null or empty texts and texts without words
+    stay; rows that repeat the one that stays stay too; of rows without id those stay whose group has no id; no rows give none."""
     return ngram_join.keep_one(docs, ngram_join.JoinSpec(), Scratch(spark))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth stand in passages of the benchmark."""
+    """Documents of whose words less than a twentieth stand in passages of the benchmark. Null or empty texts stay, as they have no
+    words; repeated rows share their fate; an empty benchmark takes none away."""
     scanned = decontam.scan(docs, table(spark, sf_dir, "benchmark"), decontam.DecontamSpec(), Scratch(spark))
     return decontam.remove_documents(docs, scanned)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, in sequences of 4096 tokens."""
+    """The pieces of all documents that are left, in sequences of 4096 tokens. A null or empty text is its end mark alone, a long one
+    is cut; repeated rows are packed each; no documents give no pieces."""
     import public_tokenizers
 
     small_batches(spark)
