@@ -101,13 +101,39 @@ def test_components_match_brute_force(docs, rows, spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
-def test_join_without_broadcast_clusters_and_with_small_salts(docs, rows, spark):
-    spec = ngram_join.JoinSpec(broadcast_rows=0, salt_rows=2, bands=1, frequent=20, partition_rows=50)
-    got = ngram_join.component_ids(docs, spec, Scratch(spark)).collect()
+@pytest.mark.parametrize("kw", [{"salt_rows": 2, "frequent": 20, "partition_rows": 50, "tile": 3}, {"frequent": 0}, {"star_grams": 1, "bloom_bits": 4}])
+def test_join_with_other_orders_and_small_parts(docs, rows, spark, kw):
+    got = ngram_join.component_ids(docs, ngram_join.JoinSpec(**kw), Scratch(spark)).collect()
     want = collections.Counter((d, *v) for (d, _), v in zip(rows, brute.components(rows), strict=True))
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
+def test_links_come_from_groups_of_prefixes(docs, rows, spark):
+    """All links are verified pairs of the two steps of the prefix join; there is no other source."""
+    scratch = Scratch(spark)
+    seen = {}
+    old = ngram_join.verify
+    try:
+        ngram_join.verify = lambda *a: seen.setdefault(len(seen), old(*a))
+        ngram_join.link(docs, ngram_join.JoinSpec(), scratch)
+    finally:
+        ngram_join.verify = old
+    assert set(seen) == {0, 1} and sum(links.count() for links in seen.values()) > 0
+
+
+def test_a_group_holds_the_classes_of_one_prefix(spark):
+    """Sets of one size and prefix are one group, are posted once, and are compared within it."""
+    spec = ngram_join.JoinSpec()
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 4, 60 + i % 4))) for i in range(8)], "doc_id long, text string").repartition(3)
+    none = np.zeros((2, 1 << 17), np.uint8)
+    bloom = sketch.SketchSpec(rows=2, bits=20)
+    posted = ngram_join._postings(docs.select("doc_id", "text"), none, bloom, 4, spec)
+    members = [r for r in posted.collect() if r["kind"] == ngram_join.MEMBER]
+    assert len(members) == 4 and all(r["n"] == 56 for r in members)
+    rows = [r for r in posted.collect() if r["kind"] == ngram_join.RARE]
+    assert len({(r["token"], r["gid"]) for r in rows}) == len(rows) and {r["gid"] for r in rows} <= {r["gid"] for r in members}
+
+
 def test_chain_of_links_is_one_component(spark):
     base = [f"t{i}" for i in range(100)]
     rows = [(i, " ".join(base[: 100 - 4 * i])) for i in range(12)]

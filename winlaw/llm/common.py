@@ -30,10 +30,12 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, if all run on this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="winlaw-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -53,13 +55,23 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/winlaw-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def forget(self, *kept: DataFrame) -> None:
+        """Deletes tables that nothing reads any more; a table that keep() didn't give is left alone."""
+        for df in kept:
+            path, _ = self.paths.pop(id(df), (None, None))
+            if path:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_rows(docs: DataFrame, keyed: DataFrame, how: str, id_col: str, text_col: str, more: dict[str, str] | None = None) -> DataFrame:

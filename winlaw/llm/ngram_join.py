@@ -1,31 +1,34 @@
 """Exact Jaccard self-join of documents on sets of word n-grams, by grouped prefixes.
 
 1. One pass hashes each document's n-grams and gives its set size, a 128-bit digest of the
-   set, band keys of its least hashes, and the hashes that met themselves in its partition.
-   Documents with equal sets form a class, which is one unit from here on.
-2. Classes that share a band are compared with a few leaders of the band: as many
-   comparisons as classes times bands times leaders. The links found join most near copies into
-   clusters, so that no later step pairs the members of a cluster.
-3. In an order by (frequent, hash), two sets that are similar enough share one of their
-   first n - ceil(t n) + 1 n-grams, t = similarity. Documents of a cluster with the same such
-   prefix and size are one group, whose prefix is posted once in each partition. Postings
-   meet by n-gram. Of the clusters that do, pairs stay in which both have enough n-grams from
-   the shared one on, and sizes that fit.
-4. The members of such pairs of clusters are compared exactly, by their whole sets, until
-   the clusters are linked. All links give the components.
-
-n-grams are held as 64-bit hashes. The set of frequent hashes is a Bloom filter of fixed
-size; whatever it holds, the order is the same everywhere, so no pair is lost.
+   set, and the hashes that met themselves in its partition. Documents with equal sets form a
+   class, which is one unit from here on.
+2. In an order by (frequent, hash), two sets that are similar enough share one of their
+   first n - ceil(t n) + 1 n-grams, t = similarity. Classes with the same such prefix and
+   size are one group; its name is a digest of both, so that groups form without a shuffle.
+   Each group's prefix is posted once. Postings meet by n-gram.
+3. Stars: of the groups that share an n-gram and are of about one size, each is paired with the
+   one of least name. Copies share most of their n-grams, so they are paired with the same one,
+   and a group has few such pairs, however many groups share its n-grams. Pairs whose sizes, or
+   whose n-grams from the shared one on, are too far apart drop out. Members of the
+   others are expanded and verified. Their links join most copies into clusters.
+4. The rest: of the clusters that share an n-gram, or a group, pairs stay that pass the same
+   filters, and their members are verified until the clusters are linked. So a link is found
+   between any two clusters that have one. All links give the components.
+
+n-grams are held as 64-bit hashes. The set of frequent hashes is a Bloom filter; whatever it
+holds, the order is the same everywhere, so no pair is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_rows, slices, utf8
@@ -33,28 +36,27 @@ from .components import components
 from .sketch import SketchSpec, key_bitmap, passes
 from .wordhash import grams, hash_words, mix
 
-TOP = np.uint64(2**64 - 1)
-
-
 @dataclass(frozen=True)
 class JoinSpec:
-    """n: words of a gram. num / den: least similarity. bands: of two least hashes each. frequent: how many grams at most
-    are ordered last, those in most documents. broadcast_rows: of clusters that may travel to the tasks (16 bytes each).
-    salt_rows: rows of a hot group that stay together. leaders: of a band, about so many; buckets: bands of a class that are
-    used, those most shared; tile: sets of one side that members are compared with at once."""
+    """n: words of a gram. num / den: least similarity. frequent: how many grams at most are ordered last, those in most
+    documents. star_grams: n-grams of a group, about so many, by which it looks for stars. salt_rows: rows of a hot
+    group, star or n-gram that stay together. tile: sets of one side that members are compared with at once. bloom_bits:
+    at most 2^so many bits in each of a Bloom filter's rows."""
 
     n: int = 5
     num: int = 75
     den: int = 100
-    bands: int = 4
     frequent: int = 2_000_000
-    broadcast_rows: int = 2_000_000
+    star_grams: int = 16
     salt_rows: int = 256
-    leaders: int = 16
-    buckets: int = 4
     tile: int = 64
     partition_rows: int = 400_000
-    bloom: SketchSpec = field(default_factory=lambda: SketchSpec(rows=2, bits=24))
+    bloom_bits: int = 28
+
+
+def bloom_for(keys: int, spec: JoinSpec) -> SketchSpec:
+    """Eight bits a key or more, within the bound."""
+    return SketchSpec(rows=2, bits=min(spec.bloom_bits, max(20, (4 * keys).bit_length())))
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, spec: JoinSpec) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,18 +92,6 @@ def _digest(s: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
     return mix(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
-def _bands(s: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
-    """Hashes of pairs of least hashes; the low bits of a hash say which of 2 * bands minima it can be."""
-    full = np.flatnonzero(np.diff(at))
-    least = []
-    for j in range(2 * bands):
-        m = np.full(len(at) - 1, TOP)
-        if len(full):
-            m[full] = np.minimum.reduceat(np.where(s % np.uint64(2 * bands) == j, s, TOP), at[:-1][full])
-        least.append(m)
-    return [mix(least[2 * j] ^ mix(least[2 * j + 1] + np.uint64(j))) for j in range(bands)]
-
-
 def _counts(s: np.ndarray, at: np.ndarray) -> list[bytes | None]:
     """Of each set how many of its hashes fall in each of its slots, a byte each; None if one doesn't fit. There are half as many slots as hashes, or up to twice that."""
     low, out, cuts = ((s >> np.uint64(20)) & np.uint64(8191)).astype(np.int64), [], at.tolist()
@@ -126,13 +116,13 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
-    """A row for each document (doc_id, text_key, n, d1, d2, bands, slots), and rows with doc_id null and n = -1: a gram's hash (d1)
+    """A row for each document (doc_id, text_key, n, d1, d2, slots), and rows with doc_id null and n = -1: a gram's hash (d1)
     and in how many documents of a stretch of the partition it is (d2), if more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n_held = 0
-        names = ["doc_id", "text_key", "n", "d1", "d2", "bands", "slots"]
+        names = ["doc_id", "text_key", "n", "d1", "d2", "slots"]
 
         def frequent() -> Iterator[pa.RecordBatch]:
             nonlocal n_held
@@ -140,23 +130,21 @@ def _profile(docs: DataFrame, spec: JoinSpec) -> DataFrame:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
                 h, c = h[c > 1], c[c > 1]
                 k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), _longs(h), pa.array(c.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), _longs(h), pa.array(c.astype(np.int64)), pa.nulls(k, pa.binary())], names=names)
             held.clear()
             n_held = 0
 
         for batch in batches:
             data, off = utf8(batch.column(1))
             for lo, hi, s, at in gram_sets(data, off, spec):
-                b = np.stack(_bands(s, at, spec.bands), 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * spec.bands), _longs(b.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), _longs(_digest(s, at, 1)), _longs(_digest(s, at, 2)), lists, pa.array(_counts(s, at), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), _longs(_digest(s, at, 1)), _longs(_digest(s, at, 2)), pa.array(_counts(s, at), pa.binary())], names=names)
                 held.append(s)
                 n_held += len(s)
                 if n_held > 1 << 21:
                     yield from frequent()
         yield from frequent()
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, bands array<long>, slots binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, slots binary")
 
 
 def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
@@ -172,13 +160,15 @@ def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec
     rules out with everyone drop out.
 
     The sets are made again from the texts, of each class from its representative (a Bloom
-    filter of fixed size leaves out nearly all others). A task holds the sets of the
+    filter of a bounded size leaves out nearly all others). A task holds the sets of the
     leaders of one (g, salt), which are few, and streams through the members.
     """
-    roles = scratch.keep(_possible(roles, classes, spec))
+    every, roles = roles, scratch.keep(_possible(roles, classes, spec))
+    scratch.forget(every)
     d = F.coalesce("rep", F.lit(-1).cast("long"))
     need = roles.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").bitwiseXOR(F.shiftleft(d, 17)).bitwiseXOR(d).alias("key"))
-    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(need, "key", spec.bloom))
+    bloom = bloom_for(roles.count(), spec)
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(need, "key", bloom))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +177,7 @@ def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec
             for lo, hi, s, at in gram_sets(data, off, spec):
                 cid, own = _digest(s, at, 1), ids[lo:hi]
                 key = cid ^ (own << 17).view(np.uint64) ^ own.view(np.uint64)
-                ok = np.flatnonzero(passes(bits.value, key, spec.bloom) & (np.diff(at) > 0))
+                ok = np.flatnonzero(passes(bits.value, key, bloom) & (np.diff(at) > 0))
                 if len(ok):
                     yield pa.RecordBatch.from_arrays([_longs(cid[ok]), pa.array([s[at[i] : at[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["cid", "grams"])
 
@@ -230,7 +220,9 @@ def verify(docs: DataFrame, classes: DataFrame, roles: DataFrame, spec: JoinSpec
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = met.repartition("g", "salt").sortWithinPartitions("g", "salt", "member")
-    return scratch.keep(dealt.mapInArrow(compare, "a long, b long"))
+    links = scratch.keep(dealt.mapInArrow(compare, "a long, b long"))
+    scratch.forget(roles)
+    return links
 
 
 def _possible(roles: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -270,45 +262,30 @@ def _possible(roles: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame
     return met.repartition("g", "salt").sortWithinPartitions("g", "salt", "member").mapInArrow(run, "cid long, g long, salt int, member int, side long")
 
 
-def _leader_roles(classes: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
-    """Roles by which each class meets about spec.leaders others of each of its fullest bands."""
-    rows = classes.select("cid", F.posexplode("bands").alias("j", "key")).select("cid", F.xxhash64("j", "key").alias("g"))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
-    best = rows.join(sizes, "g").groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "g")), False), 1, spec.buckets).alias("b"))
-    rows = scratch.keep(best.select("cid", F.inline("b")))
-    salts = F.ceil(F.col("c") / spec.salt_rows).cast("int")
-    leads = F.pmod(F.xxhash64("cid", "g"), F.ceil(F.col("c") / spec.leaders)) == 0
-    none = F.lit(None).cast("long").alias("side")
-    members = rows.select("cid", "g", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), none)
-    leaders = rows.filter(leads).select("cid", "g", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), none)
-    return members.unionByName(leaders)
-
+POSTED = "token long, gid long, kind int, n int, rest int"
+RARE, FREQUENT, MEMBER = 0, 1, 2  # kinds of rows: postings of n-grams, and a class (token) as a member of its group
 
-def _postings(docs: DataFrame, heavy: np.ndarray, table: np.ndarray | None, clusters: DataFrame, partitions: int, spec: JoinSpec) -> DataFrame:
-    """(token, comp, late, n, rest): the prefix grams that were posted from more than one cluster, and all frequent ones (late).
 
-    n: least size of the cluster's groups that have it, rest: most grams of one of them from it on.
+def _postings(docs: DataFrame, heavy: np.ndarray, bloom: SketchSpec, partitions: int, spec: JoinSpec) -> DataFrame:
+    """POSTED: of each group its prefix grams that another group has too, and all frequent ones; and the classes of each group.
 
-    table: clusters as an array, if they are few enough to travel; else they are joined."""
-    sc = docs.sparkSession.sparkContext
-    bits, known = sc.broadcast(heavy), sc.broadcast(table)
-    names = ["token", "comp", "late", "n", "rest"]
-    schema = "token long, comp long, late boolean, n int, rest int"
+    n: the group's set size, rest: its grams from this one on."""
+    bits = docs.sparkSession.sparkContext.broadcast(heavy)
+    names = [c.split()[0] for c in POSTED.split(", ")]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: set[int] = set()
-        groups: set[tuple[int, int, int]] = set()
+        groups: set[int] = set()
         for batch in batches:
             data, off = utf8(batch.column(1))
             for _, _, s, at in gram_sets(data, off, spec):
                 size = np.diff(at).tolist()
                 cid = _digest(s, at, 1).view(np.int64)
-                comp = _lookup(known.value, cid)
-                late = passes(bits.value, s, spec.bloom)
+                late = passes(bits.value, s, bloom)
                 before = np.concatenate([[0], np.cumsum(late)]).tolist()
                 cuts = at.tolist()
-                tokens, flags, rest, owner = [], [], [], []
-                for i, (n, c, k) in enumerate(zip(size, cid.tolist(), comp.tolist(), strict=True)):
+                tokens, kinds, rest, owner, gids, found = [], [], [], [], [], []
+                for i, (n, c) in enumerate(zip(size, cid.tolist(), strict=True)):
                     if not n or c in classes:
                         continue
                     classes.add(c)
@@ -317,93 +294,133 @@ def _postings(docs: DataFrame, heavy: np.ndarray, table: np.ndarray | None, clus
                     if before[cuts[i + 1]] > before[cuts[i]]:
                         own, flag = np.concatenate([own[~flag], own[flag]]), np.sort(flag)
                     own = own[:p]
-                    group = (int(mix(own).sum()), n, k)
-                    if group in groups:
+                    gid = int(mix(mix(own).sum(keepdims=True) + np.uint64(n)).view(np.int64)[0])
+                    found.append((c, gid, n))
+                    if gid in groups:
                         continue
-                    groups.add(group)
+                    groups.add(gid)
                     tokens.append(own)
-                    flags.append(flag[:p])
+                    kinds.append(flag[:p])
                     rest.append(np.arange(n, n - p, -1, dtype=np.int32))
                     owner += [i] * p
+                    gids += [gid] * p
                 if tokens:
                     o = np.array(owner)
-                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(comp[o]), pa.array(np.concatenate(flags)), pa.array(np.array(size, np.int32)[o]), pa.array(np.concatenate(rest))], names=names)
+                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(gids, pa.int64()), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.array(size, np.int32)[o]), pa.array(np.concatenate(rest))], names=names)
+                if found:
+                    c, g, n = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g), pa.array(np.full(len(c), MEMBER, np.int32)), pa.array(n.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks()
-        token, comp, late, size, rest = (np.asarray(t.column(c)) for c in names)
-        order = np.lexsort((comp, token))
-        token, comp, late, size, rest = (x[order] for x in (token, comp, late, size, rest))
-        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])]))
-        token, comp, late, size, rest = token[first], comp[first], late[first], np.minimum.reduceat(size, first), np.maximum.reduceat(rest, first)
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        n = np.diff(np.append(begin, len(token)))
-        keep = late | np.repeat(n > 1, n)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, comp, late, size, rest)], names=names)
-
-    posted = docs.mapInArrow(post, schema)
-    if table is None:
-        own = clusters.select(F.col("node").alias("comp"), F.col("comp").alias("_c"))
-        posted = posted.join(own, "comp", "left").select("token", F.coalesce("_c", "comp").alias("comp"), "late", "n", "rest")
-    place = F.when(F.col("late"), F.xxhash64("token", "comp")).otherwise(F.col("token"))
-    return posted.repartition(partitions, place).mapInArrow(meet, schema)
-
-
-def _frequent(profile: DataFrame, spec: JoinSpec, scratch: Scratch) -> np.ndarray:
+        columns = [np.asarray(t.column(c)) for c in names]
+        order = np.lexsort((columns[1], columns[0], columns[2]))
+        token, gid, kind, n, rest = (x[order] for x in columns)
+        other = np.concatenate([[True], (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])])
+        first = np.flatnonzero(other | np.concatenate([[True], gid[1:] != gid[:-1]]))
+        token, gid, kind, n, rest, other = token[first], gid[first], kind[first], n[first], rest[first], other[first]
+        begin = np.flatnonzero(other)
+        many = np.diff(np.append(begin, len(token)))
+        keep = (kind != RARE) | np.repeat(many > 1, many)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, gid, kind, n, rest)], names=names)
+
+    place = F.when(F.col("kind") == FREQUENT, F.xxhash64("token", "gid")).otherwise(F.col("token"))
+    return docs.mapInArrow(post, POSTED).repartition(partitions, place).mapInArrow(meet, POSTED)
+
+
+def _alike(n: str, rest: str, m: str, left: str, spec: JoinSpec) -> Column:
+    """Whether sets of sizes n and m, with so many grams from a shared one on, can be similar: from the first gram on that two
+    sets share, either has as many grams left as they share, t / (1 + t) of both sizes at least."""
+    fit = F.least(n, m) * spec.den >= F.greatest(n, m) * spec.num
+    return fit & (F.least(rest, left) * (spec.num + spec.den) >= (F.col(n) + F.col(m)) * spec.num)
+
+
+def _salted(pairs: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Roles of pairs (lead, cid): the members of a star are dealt into parts, each with its leader."""
+    none = F.lit(None).cast("long").alias("side")
+    salts = pairs.groupBy("lead").agg(F.ceil(F.count("*") / spec.salt_rows).cast("int").alias("salts"))
+    leaders = salts.select(F.col("lead").alias("cid"), F.col("lead").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), none)
+    members = pairs.join(salts, "lead").select("cid", F.col("lead").alias("g"), F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), F.lit(1).alias("member"), none)
+    return members.unionByName(leaders)
+
+
+def _star_roles(posted: DataFrame, members: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
+    """Roles by which each group meets the group of least name among those of about its size that share an n-gram, and a group's classes its first one."""
+    prefix = F.col("n") - F.ceil(F.col("n") * spec.num / spec.den) + 1
+    some = F.pmod(F.xxhash64("token"), F.greatest(F.lit(1), F.floor(prefix / spec.star_grams))) == 0
+    rows = posted.filter(F.col("kind") != MEMBER).filter(some)
+    rows = rows.select("token", "gid", "n", "rest", F.floor(F.log("n") / math.log(spec.den / spec.num)).alias("about"))
+    lead = rows.groupBy("token", "about").agg(F.min(F.struct("gid", "n", "rest")).alias("l"), F.max("gid").alias("top")).filter(F.col("l.gid") < F.col("top"))
+    lead = lead.select("token", "about", F.col("l.gid").alias("lead"), F.col("l.n").alias("m"), F.col("l.rest").alias("left"))
+    pairs = rows.join(lead, ["token", "about"]).filter((F.col("gid") != F.col("lead")) & _alike("n", "rest", "m", "left", spec)).select("lead", "gid").distinct()
+    heads = members.groupBy("gid").agg(F.min("cid").alias("head"), F.max("cid").alias("last"))
+    found = pairs.join(heads.select(F.col("gid").alias("lead"), "head"), "lead").select("gid", F.col("head").alias("lead")).join(members, "gid").select("lead", "cid")
+    inner = members.join(heads.filter("head < last"), "gid").filter("cid <> head").select(F.col("head").alias("lead"), "cid")
+    return scratch.keep(_salted(scratch.keep(found.unionByName(inner).distinct()), spec))
+
+
+def _frequent(profile: DataFrame, spec: JoinSpec, scratch: Scratch) -> tuple[np.ndarray, SketchSpec]:
     """The Bloom filter of the grams that are ordered last: of those that met themselves within a partition, the spec.frequent with most documents."""
     counts = scratch.keep(profile.filter("n = -1").groupBy("d1").agg(F.sum("d2").alias("c")))
     least, n = 2, 0
-    for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():
-        n += r["k"]
-        if n > spec.frequent:
+    for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():  # at most 100,000 rows
+        if n + r["k"] > spec.frequent:
             least = r["c"] + 1
             break
-    return key_bitmap(counts.filter(F.col("c") >= least), "d1", spec.bloom)
-
-
-def _lookup(table: np.ndarray | None, cid: np.ndarray) -> np.ndarray:
-    """Clusters of classes from a table (2, m) of classes, sorted, and their clusters; a class not in it is its own, as all are without table."""
-    if table is None or not table.shape[1]:
-        return cid
-    at = np.minimum(np.searchsorted(table[0], cid), table.shape[1] - 1)
-    return np.where(table[0][at] == cid, table[1][at], cid)
+        n += r["k"]
+    bloom = bloom_for(n, spec)
+    bits = key_bitmap(counts.filter(F.col("c") >= least), "d1", bloom)
+    scratch.forget(counts)
+    return bits, bloom
 
 
 def _cluster_roles(posted: DataFrame, members: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
-    """Roles by which the members of clusters meet that share a prefix gram. members: (cid, comp, n).
+    """Roles by which the members of clusters meet that share a prefix gram or a group. members: (cid, gid, comp, n).
 
-    From the first gram on that two similar sets share, either has as many grams left as they
-    share, t / (1 + t) of both sizes at least. For clusters, the most that are left in a group
-    and the least size are taken, so no pair of their members is lost.
+    For clusters, the most grams that are left in a group from the shared one on, and the least and
+    greatest sizes are taken, so no pair of their members is lost.
     """
-    live = posted.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
-    both = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    own = members.groupBy("gid", "comp").agg(F.max("n").alias("n"))
+    several = own.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("gid")
+    inner = own.join(several, "gid").select(F.col("gid").alias("token"), "comp", "n", F.col("n").alias("rest"))
+    live = posted.filter(F.col("kind") != MEMBER).join(own.select("gid", "comp"), "gid").select("token", "comp", "n", "rest")
+    live = live.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest")).unionByName(inner)
+    both = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x <> y")
+    both = both.select("token", F.ceil(F.col("c") / spec.salt_rows).cast("int").alias("salts"))
     sizes = members.groupBy("comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k"))
     live = scratch.keep(live.join(both, "token").join(sizes, "comp"))
-    left, right = (live.select("token", *(F.col(c).alias(c + x) for c in ("comp", "n", "rest", "lo", "hi", "k"))) for x in "ab")
+    left, right = (live.select("token", "salts", *(F.col(c).alias(c + x) for c in ("comp", "n", "rest", "lo", "hi", "k"))) for x in "ab")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("compa"), "salts").cast("int")).drop("salts")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     enough = F.least("resta", "restb") * (spec.num + spec.den) >= (F.col("na") + F.col("nb")) * spec.num
     fit = (F.col("hia") * spec.den >= F.col("lob") * spec.num) & (F.col("hib") * spec.den >= F.col("loa") * spec.num)
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("compa") < F.col("compb")) & enough & fit)
+    pairs = left.join(right, ["token", "salt"]).filter((F.col("compa") < F.col("compb")) & enough & fit)
     pairs = scratch.keep(pairs.select(F.col("compa").alias("ca"), F.col("compb").alias("cb"), "ka", "kb").distinct())
+    scratch.forget(live)
     big = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")))
     pairs = pairs.select(F.when(big, F.col("ca")).otherwise(F.col("cb")).alias("big"), F.when(big, F.col("cb")).otherwise(F.col("ca")).alias("small"), F.greatest("ka", "kb").alias("k"), F.least("ka", "kb").alias("ks"))
-    own = members.select("comp", "cid")
+    # members of a cluster are dealt into parts of salt_rows; whoever joins them goes to every part
+    parts = lambda k: F.ceil(F.col(k) / spec.salt_rows).cast("int")
+    own = members.select("comp", "cid").join(sizes.select("comp", "k"), "comp").select("comp", "cid", F.pmod(F.xxhash64("cid"), parts("k")).cast("int").alias("salt"))
+    every = lambda df, k: df.withColumn("salt", F.explode(F.sequence(F.lit(0), parts(k) - 1)))
     # a cluster of one class bears its name
     leaders = pairs.filter("ks = 1").select("big", "k", F.col("small").alias("side"), F.col("small").alias("cid")).unionByName(
-        pairs.filter("ks > 1").join(own.withColumnRenamed("comp", "small"), "small").select("big", "k", F.col("small").alias("side"), "cid")
+        every(pairs.filter("ks > 1"), "ks").join(own.withColumnRenamed("comp", "small"), ["small", "salt"]).select("big", "k", F.col("small").alias("side"), "cid")
     )
     tiles = leaders.groupBy("big").agg(F.ceil(F.count("*") / spec.tile).alias("tiles"))
     leaders = leaders.join(tiles, "big").withColumn("tile", F.pmod(F.xxhash64("cid"), "tiles"))
-    salts = F.ceil(F.col("k") / spec.salt_rows).cast("int")
     g = F.xxhash64("big", "tile").alias("g")
-    lead = leaders.select("cid", g, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), "side")
-    groups = leaders.select("big", "tile", "k").distinct()
+    lead = every(leaders, "k").select("cid", g, "salt", F.lit(0).alias("member"), "side")
+    groups = every(leaders.select("big", "tile", "k").distinct(), "k")
     alone = groups.filter("k = 1").withColumn("cid", F.col("big"))
-    rest = alone.unionByName(groups.filter("k > 1").join(own.withColumnRenamed("comp", "big"), "big").select(alone.columns)).select("cid", g, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("big").alias("side"))
-    return lead.unionByName(rest)
+    rest = alone.unionByName(groups.filter("k > 1").join(own.withColumnRenamed("comp", "big"), ["big", "salt"]).select(alone.columns))
+    rest = rest.select("cid", g, "salt", F.lit(1).alias("member"), F.col("big").alias("side"))
+    out = scratch.keep(lead.unionByName(rest))
+    scratch.forget(pairs)
+    return out
 
 
 def link(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -412,20 +429,18 @@ def link(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "doc_i
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
     profile = scratch.keep(_profile(plain.withColumn("text_key", F.xxhash64("text")), spec))
     own = profile.filter("n > 0")
-    classes = scratch.keep(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")).withColumnRenamed("d1", "cid"))
-
-    near = verify(plain, classes, _leader_roles(classes, spec, scratch), spec, scratch)
+    classes = scratch.keep(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("slots").alias("slots")).withColumnRenamed("d1", "cid"))
+
+    heavy, bloom = _frequent(profile, spec, scratch)
+    grams_ = own.agg(F.sum("n")).first()[0] or 0
+    partitions = max(8, -(-grams_ * (spec.den - spec.num) // spec.den // spec.partition_rows))
+    posted = scratch.keep(_postings(plain, heavy, bloom, partitions, spec))
+    members = scratch.keep(posted.filter(F.col("kind") == MEMBER).select(F.col("token").alias("cid"), "gid", "n"))
+    near = verify(plain, classes, _star_roles(posted, members, spec, scratch), spec, scratch)
     clusters = scratch.keep(components(near, scratch))
-    table = None
-    if clusters.count() <= spec.broadcast_rows:
-        t = clusters.toPandas().sort_values("node")
-        table = np.stack([t.node.to_numpy(np.int64), t.comp.to_numpy(np.int64)])
-    heavy = _frequent(profile, spec, scratch)
-    posted = own.agg(F.sum("n")).first()[0] or 0
-    partitions = max(8, -(-posted * (spec.den - spec.num) // spec.den // spec.partition_rows))
-    posted = scratch.keep(_postings(plain, heavy, table, clusters, partitions, spec))
-    members = classes.join(clusters.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "n")
-    far = verify(plain, classes, _cluster_roles(posted, members, spec, scratch), spec, scratch)
+    joined = scratch.keep(members.join(clusters.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("comp", "cid").alias("comp")))
+    far = verify(plain, classes, _cluster_roles(posted, joined, spec, scratch), spec, scratch)
+    scratch.forget(posted, members, clusters, joined)
     return profile.filter("n >= 0"), classes, near.unionByName(far)
 
 
