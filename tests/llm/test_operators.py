@@ -223,13 +223,33 @@ def test_ordinal_edges(docs, no_docs, spark):
 # ---- repeated passages
 
 
-@pytest.mark.parametrize("kw", [{}, {"hot": 1}, {"sketch": sketch.SketchSpec(rows=1, bits=6)}, {"partition_windows": 100}])
+@pytest.mark.parametrize("kw", [{}, {"hot": 1}, {"hot": 2, "hot_keys": 3}, {"sketch": sketch.SketchSpec(rows=1, bits=6)}, {"sketch": sketch.SketchSpec(rows=1, bits=3), "hot": 3}, {"partition_windows": 100, "max_bits": 4}])
 def test_repeats_match_brute_force(docs, rows, spark, kw):
     got = substring_dedup.remove_repeats(docs, substring_dedup.SubstringSpec(**kw), Scratch(spark)).collect()
     want = by_id(rows, brute.without_repeats([t for _, t in rows]))
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], brute.sha(r["kept_text"])) for r in got) == want
 
 
+def test_only_windows_estimated_repeated_are_grouped(docs, rows, spark, monkeypatch):
+    """What is written are spans from the first to the last window that the sketches let pass; full sketches let all pass."""
+    sizes = {}
+    old = substring_dedup._places
+
+    def places(*a):
+        out = old(*a)
+        sizes[len(sizes)] = out.agg(F.sum(F.length("windows") / 8)).first()[0]
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_places", places)
+    for kw in ({}, {"sketch": sketch.SketchSpec(rows=1, bits=3)}):
+        substring_dedup.remove_repeats(docs, substring_dedup.SubstringSpec(**kw), Scratch(spark))
+    split = [brute.words(t) for _, t in rows]
+    windows = [tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34)]
+    count = collections.Counter(windows)
+    repeated = sum(n for n in count.values() if n > 1)
+    assert repeated <= sizes[0] < 1.1 * repeated and sizes[1] == len(windows)
+
+
 def test_repeats_of_nothing(no_docs, spark):
     assert substring_dedup.remove_repeats(no_docs, substring_dedup.SubstringSpec(), Scratch(spark)).count() == 0
 

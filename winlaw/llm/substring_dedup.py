@@ -1,24 +1,26 @@
-"""Exact removal of repeated passages, behind a count-min prefilter.
+"""Exact removal of repeated passages, behind count-min prefilters.
 
 A window is `window` consecutive words. Of the short grams in a window the one of least
 hash is its anchor (the first, if equal), so equal windows have equal anchors, and a
-sketch of anchor counts overestimates window counts:
-
-1. Every partition counts its anchors in a sketch; merged, a bitmap of fixed size says
-   which anchors may occur twice.
-2. Windows with such an anchor are written, one row for each anchor's place with the
-   hashes of its windows, and grouped exactly by anchor. Anchors of more than `hot` places
-   are dealt into parts, so no task gets all places of a common passage.
+sketch of anchor counts overestimates window counts with a tenth of the keys:
+
+1. Every partition counts its anchors in a sketch; merged, a bitmap says which anchors may
+   occur twice. Then every partition counts the windows of those anchors, and a second merged
+   bitmap says which windows may. Both are sized from the corpus, up to a bound.
+2. The windows estimated repeated are written, one row for each anchor's place with the
+   hashes from its first such window to its last, and grouped exactly by anchor. Anchors of
+   more than `hot` places are dealt into parts before they are shuffled, so no task gets all
+   places of a common passage.
 3. An anchor's windows start at consecutive words, fewer than `window` of them; so the
    first and last repeated one bound what they cover. Spans go back to their documents.
 
-No window is lost, however full the sketch is: it only decides what is left out of step 2.
+No window is lost, however full the sketches are: they only decide what is left out of step 2.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,22 @@ from .wordhash import hash_words, long_grams, mix
 
 @dataclass(frozen=True)
 class SubstringSpec:
-    """window: words of a passage. gram: words of an anchor. hot: places from which on an anchor is dealt into parts.
-    partition_windows: about so many windows are grouped in one task."""
+    """window: words of a passage. gram: words of an anchor. hot: places from which on an anchor is dealt into parts, and
+    hot_keys: how many anchors at most are (the commonest; 12 bytes each travel to the tasks). partition_windows: about so
+    many windows are grouped in one task. cells: of a sketch's row for each of its keys; max_bits: at most 2^so many of
+    them. sketch: of a given size instead."""
 
     window: int = 35
     gram: int = 12
     hot: int = 500
+    hot_keys: int = 1_000_000
     partition_windows: int = 500_000
-    sketch: SketchSpec = field(default_factory=SketchSpec)
+    cells: int = 4
+    max_bits: int = 29
+    sketch: SketchSpec | None = None
+
+    def sized(self, keys: int) -> SketchSpec:
+        return self.sketch or SketchSpec(rows=2, bits=min(self.max_bits, max(20, (self.cells * keys - 1).bit_length())))
 
 
 def anchor_runs(h: np.ndarray, first: np.ndarray, spec: SubstringSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,44 +78,68 @@ def anchor_runs(h: np.ndarray, first: np.ndarray, spec: SubstringSpec) -> tuple[
     return arg_val[whole[begin]], text[whole[begin]], whole[begin], count, long_grams(h, spec.window)
 
 
-def _sketch(docs: DataFrame, spec: SubstringSpec) -> np.ndarray:
+def _counted(docs: DataFrame, spec: SubstringSpec) -> int:
+    """About how many anchors the texts have: two in each stretch of grams of a window and one more, of words of six bytes."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return total // 6 * 2 // (spec.window - spec.gram + 2) + 1
+
+
+def _sketch(docs: DataFrame, spec: SubstringSpec, size: SketchSpec, first: tuple[np.ndarray, SketchSpec] | None = None) -> np.ndarray:
+    """The bitmap of anchors that may occur twice; with that, `first`, the bitmap of windows that may."""
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = PartialSketch(spec.sketch)
+        part = PartialSketch(size)
         for batch in batches:
             data, off = utf8(batch.column(0))
             for lo, hi in slices(off):
-                h, first, _, _ = hash_words(data, off[lo : hi + 1], lower=False)
-                yield from part.add(anchor_runs(h, first, spec)[0])
+                h, begin, _, _ = hash_words(data, off[lo : hi + 1], lower=False)
+                anchor, _, at, n, win = anchor_runs(h, begin, spec)
+                if shared.value is None:
+                    yield from part.add(anchor)
+                else:
+                    yield from part.add(win[_passing(shared.value, anchor, at, n)[1]])
         yield from part.flush()
 
-    return merge(docs.select("text").mapInArrow(run, PARTIAL), spec.sketch, 2)
+    return merge(docs.select("text").mapInArrow(run, PARTIAL), size, 2)
+
+
+def _passing(first: tuple[np.ndarray, SketchSpec], anchor: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places whose anchors pass, their windows, and of each such window the place."""
+    ok = np.flatnonzero(passes(first[0], anchor, first[1]))
+    ends = np.cumsum(n[ok])
+    place = np.repeat(np.arange(len(ok)), n[ok])
+    which = np.arange(len(place)) + np.repeat(at[ok] - (ends - n[ok]), n[ok])
+    return ok, which, place
 
 
 PLACES = "h long, doc_id long, text_key long, start int, windows binary"
 
 
-def _places(docs: DataFrame, bitmap: np.ndarray, spec: SubstringSpec) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _places(docs: DataFrame, first: tuple[np.ndarray, SketchSpec], second: tuple[np.ndarray, SketchSpec], spec: SubstringSpec) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((first, second))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        anchors, windows_ = shared.value
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             data, off = utf8(batch.column(2))
             for lo, hi in slices(off):
-                h, first, _, _ = hash_words(data, off[lo : hi + 1], lower=False)
-                anchor, text, start, count, win = anchor_runs(h, first, spec)
-                ok = np.flatnonzero(passes(bits, anchor, spec.sketch))
-                if not len(ok):
+                h, begin, _, _ = hash_words(data, off[lo : hi + 1], lower=False)
+                anchor, text, start, count, win = anchor_runs(h, begin, spec)
+                ok, which, place = _passing(anchors, anchor, start, count)
+                hit = np.flatnonzero(passes(windows_[0], win[which], windows_[1]))
+                if not len(hit):
                     continue
-                at, n = start[ok], count[ok]
+                edge = np.flatnonzero(np.concatenate([[True], place[hit][1:] != place[hit][:-1]]))
+                a, z = which[hit[edge]], which[hit[np.append(edge[1:], len(hit)) - 1]]  # first and last such window of a place
+                own, n = ok[place[hit[edge]]], z - a + 1
                 ends = np.cumsum(n)
-                which = np.repeat(at - (ends - n), n) + np.arange(ends[-1])
-                raw = win[which].astype("<u8")
-                windows = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(np.concatenate([[0], ends * 8]).astype("<i4")), pa.py_buffer(raw)])
-                rows = pa.array(text[ok] + lo)
+                raw = win[np.repeat(a - (ends - n), n) + np.arange(ends[-1])].astype("<u8")
+                windows = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([[0], ends * 8]).astype("<i4")), pa.py_buffer(raw)])
+                rows = pa.array(text[own] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[ok].view(np.int64)), ids.take(rows), keys.take(rows), pa.array((at - first[text[ok]]).astype(np.int32)), windows],
+                    [pa.array(anchor[own].view(np.int64)), ids.take(rows), keys.take(rows), pa.array((a - begin[text[own]]).astype(np.int32)), windows],
                     names=["h", "doc_id", "text_key", "start", "windows"],
                 )
 
@@ -156,15 +190,32 @@ def _light(places: DataFrame, partitions: int) -> DataFrame:
     return places.repartition(partitions, "h").mapInArrow(run, SPANS)
 
 
-def _hot(places: DataFrame, spec: SubstringSpec, scratch: Scratch) -> DataFrame:
-    """As _light() for anchors with more places than one task should hold.
+def _deal(places: DataFrame, hot: DataFrame, spec: SubstringSpec) -> DataFrame:
+    """places with `part`: for the anchors of `hot` (h, n), at most spec.hot_keys of them, one of n / spec.hot parts, else null."""
+    table = hot.toPandas().sort_values("h")
+    shared = places.sparkSession.sparkContext.broadcast((table.h.to_numpy(np.int64), -(-table.n.to_numpy(np.int64) // spec.hot)))
 
-    An anchor's places are dealt into parts of about `hot`. Each part lists its distinct
-    windows with their counts; summed over parts, these say which windows repeat, and
-    the part gets back those it has. So what is joined are windows of parts, not of places.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts = shared.value
+        for batch in batches:
+            h = np.asarray(batch.column(0)).astype(np.int64)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            there = known[at] == h
+            doc = np.asarray(batch.column(1).fill_null(-1)).astype(np.int64)
+            key = np.asarray(batch.column(2)).astype(np.int64) ^ np.asarray(batch.column(3)).astype(np.int64) << 40
+            part = (mix(mix(doc.view(np.uint64)) ^ key.view(np.uint64)) % parts[at].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, mask=~there)], names=[*batch.schema.names, "part"])
+
+    return places.mapInArrow(run, PLACES + ", part int")
+
+
+def _hot(dealt: DataFrame, scratch: Scratch) -> DataFrame:
+    """As _light() for anchors with more places than one task should hold, dealt into parts.
+
+    Each part lists its distinct windows with their counts; summed over parts, these say
+    which windows repeat, and the part gets back those it has. So what is joined are
+    windows of parts, not of places.
     """
-    sizes = places.groupBy("h").agg(F.ceil(F.count("*") / spec.hot).cast("int").alias("parts"))
-    dealt = places.join(sizes, "h").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "start"), "parts").cast("int")).drop("parts")
 
     def windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         raw, off = utf8(t.column("windows"))
@@ -216,16 +267,33 @@ def _hot(places: DataFrame, spec: SubstringSpec, scratch: Scratch) -> DataFrame:
     return order.mapInArrow(bound, SPANS)
 
 
+def _hottest(places: DataFrame, spec: SubstringSpec, scratch: Scratch) -> DataFrame:
+    """(h, n) of the anchors with more than spec.hot places, or with so many more that there are at most spec.hot_keys of them."""
+    hot = scratch.keep(places.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > spec.hot))
+    total, least = 0, 1 << 62
+    for r in hot.groupBy(F.least("n", F.lit(100_000)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():  # at most 100,000 rows
+        total += r["k"]
+        if total > spec.hot_keys:
+            break
+        least = r["c"]
+    return hot.filter(F.col("n") >= least)
+
+
 def spans(docs: DataFrame, spec: SubstringSpec, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, first, last): windows first..last of a text start in repeated ones and cover all between. docs: doc_id, text_key, text."""
-    places = scratch.keep(_places(docs, _sketch(docs, spec), spec))
-    hot = scratch.keep(places.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > spec.hot).select("h"))
+    anchors = _counted(docs, spec)
+    size = spec.sized(anchors)
+    first = _sketch(docs, spec, size), size
+    size = spec.sized(2 * anchors)  # windows: about twelve to an anchor, of the sixth or so of anchors that pass
+    second = _sketch(docs, spec, size, first), size
+    places = scratch.keep(_places(docs, first, second, spec))
+    hot = _hottest(places, spec, scratch)
     total = places.agg(F.sum(F.length("windows"))).first()[0] or 0
     partitions = max(8, -(-total // (8 * spec.partition_windows)))
     if not hot.take(1):
         return _light(places, partitions)
-    light = _light(places.join(hot, "h", "left_anti"), partitions)
-    return light.unionByName(_hot(places.join(hot, "h", "left_semi"), spec, scratch))
+    dealt = _deal(places, hot, spec)
+    return _light(dealt.filter("part IS NULL").drop("part"), partitions).unionByName(_hot(dealt.filter("part IS NOT NULL"), scratch))
 
 
 def remove_repeats(docs: DataFrame, spec: SubstringSpec, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
