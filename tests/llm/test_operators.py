@@ -209,6 +209,59 @@ def test_ordinal_is_reproducible_and_bounded(spark):
     assert np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
 
 
+def test_ordinal_likelihood_and_slopes():
+    """Against the likelihood written out grade by grade, and its slopes by differences."""
+    import math
+
+    rng = np.random.default_rng(7)
+    z, t, y, w = rng.normal(0, 2, 40), np.array([-1.0, 0.3, 1.1]), rng.integers(0, 4, 40), rng.uniform(0.5, 2, 40)
+
+    def loss(z, t):
+        total = 0.0
+        for v, g, k in zip(z, y, w, strict=True):
+            at_least = [1.0, *(1 / (1 + math.exp(-(v - e))) for e in t), 0.0]
+            total -= k * math.log(at_least[g] - at_least[g + 1])
+        return total
+
+    terms, gz, gt = ordinal.gradient(z, t, y, w)
+    assert abs(terms.sum() - loss(z, t)) < 1e-9
+    h = 1e-6
+    for i in range(40):
+        e = np.eye(40)[i] * h
+        assert abs(gz[i] - (loss(z + e, t) - loss(z - e, t)) / (2 * h)) < 1e-5
+    for j in range(3):
+        e = np.eye(3)[j] * h
+        assert abs(gt[j] - (loss(z, t + e) - loss(z, t - e)) / (2 * h)) < 1e-4
+
+
+def test_ordinal_scores_match_brute_force(spark):
+    """Features, score and probabilities of each text from its own words, one by one."""
+    import math
+
+    spec = ordinal.OrdinalSpec(bits=12)
+    texts = ["", "One two two THREE", "one!! two?? 3 Ünï", "x " * 500 + "Y", None, "a b c d"]
+    rng = np.random.default_rng(1)
+    model = ordinal.OrdinalModel(rng.normal(0, 0.3, 1 << 12).astype(np.float32), np.array([-0.4, 0.7]))
+    got = ordinal.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, spec).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        raw = (t or "").encode()
+        found = set()
+        for kind in ("alnum", "marks"):
+            h, _, _, _ = wordhash.hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), True, kind)
+            found |= {int(x) >> 52 for x in h}
+        words = brute.re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+        marks = brute.re.findall(rb"[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", raw)
+        n, m = len(words), max(len(words), 1)
+        distinct = len({int(x) >> 52 for x in wordhash.hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), True, "alnum")[0]})
+        share = lambda x: min(math.ceil(20 * x / m), 40)
+        capitals = sum(65 <= c <= 90 for c in raw)
+        for j, x in enumerate([int(math.log2(n + 1)) * 64 + share(distinct), share(len(marks)), share(capitals)]):
+            found.add(int(wordhash.mix(np.array([x + (j << 32)], np.uint64) + np.uint64(0x5851F42D4C957F2D))[0]) >> 52)
+        z = sum(float(model.weights[f]) for f in found)
+        tail = [1 / (1 + math.exp(-(z - e))) for e in model.thresholds]
+        assert abs(r["expected_grade"] - sum(tail)) < 1e-6 and abs(r["tail_probability"] - tail[1]) < 1e-6 and r["keep"] == (tail[1] >= 0.5)
+
+
 def test_ordinal_edges(docs, no_docs, spark):
     spec = ordinal.OrdinalSpec(bits=10)
     none = spark.createDataFrame([(None, 1), (1, None), (2, 9)], "doc_id long, grade int")
@@ -481,6 +534,17 @@ def test_shards(docs, rows, no_docs, spark):
     assert sharding.shard(no_docs, 24, Scratch(spark)).count() == 0
 
 
+def test_write_shards(spark, docs, rows, no_docs, tmp_path):
+    placed = sharding.shard(docs, 4, Scratch(spark))
+    sharding.write_shards(docs, placed, str(tmp_path / "out"), rows_per_file=5)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.select("doc_id", "text").collect()) == collections.Counter(rows)
+    want = collections.Counter((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in placed.collect())
+    assert collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, r["shard"], r["slot"]) for r in got.collect()) == want
+    assert set(docs.columns) - {"shard"} <= set(got.columns)
+    sharding.write_shards(no_docs, sharding.shard(no_docs, 4, Scratch(spark)), str(tmp_path / "none"))
+
+
 # ---- hashes
 
 
@@ -496,6 +560,28 @@ def test_word_hashes():
     assert (long[: len(h)] == long[len(h) : 2 * len(h)]).all() and len(set(long[: len(h)].tolist())) == len(h)
 
 
+def test_scratch_without_a_shared_folder_on_a_cluster():
+    from unittest.mock import MagicMock
+
+    from winlaw.llm.common import shared_dir
+
+    far = MagicMock()
+    far.sparkContext.getConf().get.return_value = None
+    far.sparkContext.getCheckpointDir.return_value = None
+    far.sparkContext.master = "spark://somewhere:7077"
+    with pytest.raises(ValueError):
+        shared_dir(far)
+
+
+def test_forgotten_tables_are_gone(spark):
+    s = Scratch(spark)
+    a, b = s.keep(spark.range(3)), s.keep(spark.range(4))
+    s.forget(a, spark.range(2))
+    import os
+
+    assert len([x for x in os.listdir(s.root.removeprefix("file:"))]) == 1 and b.count() == 4
+
+
 def test_scratch_is_in_the_shared_folder(spark):
     s = Scratch(spark)
     kept = s.keep(spark.range(5).withColumn("x", F.lit(1)))

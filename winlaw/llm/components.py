@@ -1,8 +1,8 @@
 """Connected components of a table of links.
 
 Every partition first contracts its own links to a forest. Up to `one_task` links that are
-left (16 bytes each) are contracted in one task; more go through alternating large and
-small stars. There, each round is two joins of the links with each node's least neighbour; the links are
+left (about 200 bytes each as Python objects) are contracted in one task; more go through alternating large and
+small stars, with equal results. There, each round is two joins of the links with each node's least neighbour; the links are
 written to the shared folder between rounds, and only a count and a checksum come to
 the driver. A node with very many links is no group of its own in any task: least
 neighbours are pre-aggregated, and the join's hot side can be split.
@@ -69,7 +69,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.link(u, v)
-        if len(forest.up) > 4_000_000:  # what is held in a task is bounded
+        if len(forest.up) > 500_000:  # about 100 MB
             u, v = forest.edges()
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
             forest = Forest()
@@ -77,16 +77,18 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", one_task: int = 4_000_000) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", one_task: int = 500_000) -> DataFrame:
     """(node, comp) of every node that has a link with another; comp is the least node reachable."""
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     now = scratch.keep(pairs.mapInArrow(_contract, "u long, v long"))
     if now.count() <= one_task:
-        now = scratch.keep(now.coalesce(1).mapInArrow(_contract, "u long, v long"))
+        before, now = now, scratch.keep(now.coalesce(1).mapInArrow(_contract, "u long, v long"))
+        scratch.forget(before)
         return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
     mark = _mark(now)
     while mark[0]:
-        now = scratch.keep(_small(_large(now)))
+        older, now = now, scratch.keep(_small(_large(now)))
+        scratch.forget(older)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -39,6 +39,66 @@ TEMPLATES = [
     ("cc-by", "creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
     ("all-rights-reserved", "copyright all rights reserved", ["all rights reserved"]),
+    # whole notices
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ["permission is hereby granted", "without restriction"],
+    ),
+    (
+        "bsd-3-clause",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+        "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names "
+        "of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ["redistributions of source code must retain", "endorse or promote products"],
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ["with or without fee is hereby granted"],
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied",
+        ["apache license version 2", "in compliance with the license"],
+    ),
+    (
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+        "or at your option any later version this program is distributed in the hope that it will be useful but without any warranty",
+        ["gnu general public license as published", "version 3 of the license"],
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        ["gnu lesser general public license"],
+    ),
+    (
+        "agpl-3",
+        "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license",
+        ["gnu affero general public license"],
+    ),
+    (
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ["mozilla public license v 2"],
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+        ["free and unencumbered software", "public domain"],
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ["alter it and redistribute it freely"],
+    ),
 ]
 
 
@@ -97,8 +157,8 @@ def scan(docs: DataFrame, spec: LicenseSpec, scratch: Scratch, id_col: str = "do
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score: 1 with a base phrase, else the largest share of a found template's words, else 0.
-    Null or empty text: no words, empty labels, null places. Repeated rows get equal results;
-    an empty table gives none; other columns are not read.
+    Null or empty text: no words, empty labels, null places. A long text is one row, all of
+    it. Repeated rows get equal results; an empty table gives none; other columns are not read.
     """
     vocab = vocabulary(spec)
 

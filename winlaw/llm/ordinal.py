@@ -29,13 +29,15 @@ from .wordhash import hash_words, mix
 
 @dataclass(frozen=True)
 class OrdinalSpec:
-    """grades: how many, from 0. rows_per_grade bounds the sample that is fitted; a feature
+    """grades: how many, from 0. rows_per_grade bounds the sample that is fitted, and row_features what a row of it counts with:
+    of more features those of least number, 4 bytes each (so the driver gets at most grades * rows_per_grade * row_features of them); a feature
     in fewer than min_rows of its rows, of a smaller value than min_value, or whose difference is below min_sure standard errors, has weight 0; grades count by their rows to the power 1 - balance. The sample is gone through `epochs` times, and until there were `updates`. keep_grade, keep_prob: a row is kept if
     P(grade >= keep_grade) >= keep_prob."""
 
     grades: int = 3
     bits: int = 20
     rows_per_grade: int = 12000
+    row_features: int = 1000
     min_rows: int = 5
     min_value: float = 0.7
     min_sure: float = 3.0
@@ -85,6 +87,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def gradient(z: np.ndarray, t: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the weighted negative log-likelihood of grades y at scores z and thresholds t: its terms, and its slopes by z and by t."""
+    edge = np.concatenate([[-np.inf], t, [np.inf]])
+    up, down = _sigmoid(z - edge[y]), _sigmoid(z - edge[y + 1])  # P(>= y), P(>= y + 1)
+    p = np.maximum(up - down, 1e-9)
+    gu, gd = up * (1 - up) / p * weight, down * (1 - down) / p * weight
+    return -weight * np.log(p), gd - gu, np.bincount(y, gu, minlength=len(t) + 1)[1:] - np.bincount(y, gd, minlength=len(t) + 1)[:-1]
+
+
 def fit_arrays(grade: np.ndarray, first: np.ndarray, idx: np.ndarray, spec: OrdinalSpec) -> OrdinalModel:
     """Texts' features are idx[first[i]:first[i + 1]]. AdaGrad on the weighted likelihood."""
     rng = np.random.default_rng(spec.seed)
@@ -93,7 +104,7 @@ def fit_arrays(grade: np.ndarray, first: np.ndarray, idx: np.ndarray, spec: Ordi
     t, t_acc = np.linspace(-0.5, 0.5, g - 1), np.full(g - 1, 1e-3)
     count = np.maximum(np.bincount(grade, minlength=g), 1)
     weight = ((len(grade) / (g * count)) ** spec.balance)[grade]
-    owner = np.repeat(np.arange(len(grade)), np.diff(first))
+    owner = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(first))
     rows_with = np.stack([np.bincount(idx[grade[owner] == k], minlength=size) for k in range(g)])
     total = rows_with.sum(0)
     value, sure = np.zeros(size), np.zeros(size)
@@ -117,16 +128,12 @@ def fit_arrays(grade: np.ndarray, first: np.ndarray, idx: np.ndarray, spec: Ordi
             x = value[f]
             z = np.bincount(row, w[f] * x, minlength=len(rows))
             y = grade[rows]
-            edge = np.concatenate([[-np.inf], t, [np.inf]])
-            up, down = _sigmoid(z - edge[y]), _sigmoid(z - edge[y + 1])  # P(>= y), P(>= y + 1)
-            p = np.maximum(up - down, 1e-9)
-            gu, gd = up * (1 - up) / p * weight[rows], down * (1 - down) / p * weight[rows]
-            gz = gd - gu
+            _, gz, gt = gradient(z, t, y, weight[rows])
             u, inv = np.unique(f, return_inverse=True)
             gw = np.bincount(inv, gz[row] * x, minlength=len(u)) / len(rows) + spec.l2 * w[u]
             acc[u] += gw * gw
             w[u] -= spec.rate * gw / np.sqrt(acc[u])
-            gt = (np.bincount(y, gu, minlength=g)[1:] - np.bincount(y, gd, minlength=g)[:-1]) / len(rows)
+            gt = gt / len(rows)
             t_acc += gt * gt
             t = np.maximum.accumulate(t - spec.rate * gt / np.sqrt(t_acc))
     return OrdinalModel((w * value).astype(np.float32), t)
@@ -141,7 +148,7 @@ def fit(docs: DataFrame, grades: DataFrame, spec: OrdinalSpec, id_col: str = "do
         some = own if some is None else some.unionByName(own)
     text = docs.select(docs[id_col].cast("long").alias("_d"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_t"))
     joined = text.join(F.broadcast(some), "_d").select("_d", "_g", "_t")  # at most grades * rows_per_grade rows of 12 bytes
-    bits = spec.bits
+    bits, most = spec.bits, spec.row_features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,15 +156,17 @@ def fit(docs: DataFrame, grades: DataFrame, spec: OrdinalSpec, id_col: str = "do
             for lo, hi, t, f in features(data, off, bits):
                 first = np.searchsorted(t, np.arange(hi - lo + 1))
                 raw = f.astype("<i4")
-                parts = [raw[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+                parts = [raw[a : min(b, a + most)].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(parts, pa.binary())], names=["_d", "_g", "f"])
 
-    got = sorted(joined.mapInArrow(run, "_d long, _g int, f binary").collect(), key=lambda r: (r["_d"], r["_g"], bytes(r["f"])))
-    idx = [np.frombuffer(r["f"], "<i4") for r in got]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in idx])]).astype(np.int64)
-    if not got:
+    got = joined.mapInArrow(run, "_d long, _g int, f binary").toArrow().combine_chunks()
+    if not got.num_rows:
         return OrdinalModel(np.zeros(1 << bits, np.float32), np.zeros(spec.grades - 1))
-    return fit_arrays(np.array([r["_g"] for r in got]), first, np.concatenate(idx), spec)
+    raw = got.column("f").to_pylist()
+    order = sorted(range(got.num_rows), key=list(zip(got.column("_d").to_pylist(), got.column("_g").to_pylist(), raw, strict=True)).__getitem__)
+    idx = np.frombuffer(b"".join(raw[i] for i in order), "<i4")
+    first = np.concatenate([[0], np.cumsum([len(raw[i]) // 4 for i in order])]).astype(np.int64)
+    return fit_arrays(np.asarray(got.column("_g")).astype(np.int64)[order], first, idx, spec)
 
 
 def score(docs: DataFrame, model: OrdinalModel, spec: OrdinalSpec, text_col: str = "text") -> DataFrame:

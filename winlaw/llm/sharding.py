@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -123,7 +123,21 @@ def shard(docs: DataFrame, shards: int, scratch: Scratch, seed: int = 9, id_col:
     return numbered.mapInArrow(run, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, row_number long")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes docs as one folder per shard, sorted by slot; ids must be unique."""
-    joined = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, rows_per_file: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes docs as one folder for each shard, in files of rows_per_file slots, sorted by slot; placed is what shard() gave for docs.
+
+    A row of docs takes a place of its id, size and checksum; rows that repeat these take one each. Null ids and texts and empty
+    texts are rows as others; an empty table writes no folder. Columns of docs named shard or slot are replaced.
+    """
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    key = ["_doc", "_size", "_crc"]
+    rows = docs.withColumns({"_doc": docs[id_col].cast("long"), "_size": (F.octet_length(text) + 8).cast("long"), "_crc": F.crc32(F.encode(text, "UTF-8"))}).drop("shard", "slot")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.monotonically_increasing_id())))
+    places = placed.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "size", "text_crc32"), key, strict=True)], F.col("shard"), F.col("slot"))
+    places = places.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")))
+    met = places.select(*[F.col(c).alias(f"_of{c}") for c in (*key, "_nth")], "shard", "slot")
+    same = F.lit(True)
+    for c in (*key, "_nth"):
+        same = same & rows[c].eqNullSafe(met[f"_of{c}"])
+    joined = rows.join(met, same).drop(*key, "_nth", *met.columns[:4]).withColumn("_part", F.floor(F.col("slot") / rows_per_file))
+    joined.repartition("shard", "_part").sortWithinPartitions("shard", "slot").drop("_part").write.partitionBy("shard").parquet(path)
