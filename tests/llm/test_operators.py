@@ -101,7 +101,7 @@ def test_components_match_brute_force(docs, rows, spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
-@pytest.mark.parametrize("kw", [{"salt_rows": 2, "frequent": 20, "partition_rows": 50, "tile": 3}, {"frequent": 0}, {"star_grams": 1, "bloom_bits": 4}])
+@pytest.mark.parametrize("kw", [{"salt_rows": 2, "frequent": 20, "partition_rows": 50, "tile": 3}, {"frequent": 0}, {"star_grams": 1, "bloom_bits": 4, "steps": (2, 3), "leaders": 0}])
 def test_join_with_other_orders_and_small_parts(docs, rows, spark, kw):
     got = ngram_join.component_ids(docs, ngram_join.JoinSpec(**kw), Scratch(spark)).collect()
     want = collections.Counter((d, *v) for (d, _), v in zip(rows, brute.components(rows), strict=True))
@@ -125,9 +125,7 @@ def test_a_group_holds_the_classes_of_one_prefix(spark):
     """Sets of one size and prefix are one group, are posted once, and are compared within it."""
     spec = ngram_join.JoinSpec()
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 4, 60 + i % 4))) for i in range(8)], "doc_id long, text string").repartition(3)
-    none = np.zeros((2, 1 << 17), np.uint8)
-    bloom = sketch.SketchSpec(rows=2, bits=20)
-    posted = ngram_join._postings(docs.select("doc_id", "text"), none, bloom, 4, spec)
+    posted = ngram_join._postings(docs.select("doc_id", "text"), [], 4, spec)
     members = [r for r in posted.collect() if r["kind"] == ngram_join.MEMBER]
     assert len(members) == 4 and all(r["n"] == 56 for r in members)
     rows = [r for r in posted.collect() if r["kind"] == ngram_join.RARE]

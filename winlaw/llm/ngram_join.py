@@ -3,12 +3,12 @@
 1. One pass hashes each document's n-grams and gives its set size, a 128-bit digest of the
    set, and the hashes that met themselves in its partition. Documents with equal sets form a
    class, which is one unit from here on.
-2. In an order by (frequent, hash), two sets that are similar enough share one of their
+2. In an order by (how frequent, hash), two sets that are similar enough share one of their
    first n - ceil(t n) + 1 n-grams, t = similarity. Classes with the same such prefix and
    size are one group; its name is a digest of both, so that groups form without a shuffle.
    Each group's prefix is posted once. Postings meet by n-gram.
-3. Stars: of the groups that share an n-gram and are of about one size, each is paired with the
-   one of least name. Copies share most of their n-grams, so they are paired with the same one,
+3. Stars: of the groups that share an n-gram and are of about one size, each is paired with a few
+   leaders. Copies share most of their n-grams, so they are paired with the same ones,
    and a group has few such pairs, however many groups share its n-grams. Pairs whose sizes, or
    whose n-grams from the shared one on, are too far apart drop out. Members of the
    others are expanded and verified. Their links join most copies into clusters.
@@ -16,8 +16,8 @@
    filters, and their members are verified until the clusters are linked. So a link is found
    between any two clusters that have one. All links give the components.
 
-n-grams are held as 64-bit hashes. The set of frequent hashes is a Bloom filter; whatever it
-holds, the order is the same everywhere, so no pair is lost.
+n-grams are held as 64-bit hashes. The sets of frequent hashes are Bloom filters; whatever they
+hold, the order is the same everywhere, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .wordhash import grams, hash_words, mix
 @dataclass(frozen=True)
 class JoinSpec:
     """n: words of a gram. num / den: least similarity. frequent: how many grams at most are ordered last, those in most
-    documents. star_grams: n-grams of a group, about so many, by which it looks for stars. salt_rows: rows of a hot
+    documents; steps: numbers of documents from which on they come later still. star_grams: n-grams of a group, about so many, by which it looks for stars. leaders: of a star, besides the least edited. salt_rows: rows of a hot
     group, star or n-gram that stay together. tile: sets of one side that members are compared with at once. bloom_bits:
     at most 2^so many bits in each of a Bloom filter's rows."""
 
@@ -47,7 +47,9 @@ class JoinSpec:
     num: int = 75
     den: int = 100
     frequent: int = 2_000_000
+    steps: tuple = (8, 32, 128, 512)
     star_grams: int = 16
+    leaders: int = 1
     salt_rows: int = 256
     tile: int = 64
     partition_rows: int = 400_000
@@ -262,15 +264,15 @@ def _possible(roles: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame
     return met.repartition("g", "salt").sortWithinPartitions("g", "salt", "member").mapInArrow(run, "cid long, g long, salt int, member int, side long")
 
 
-POSTED = "token long, gid long, kind int, n int, rest int"
+POSTED = "token long, gid long, kind int, n int, rest int, odd int"
 RARE, FREQUENT, MEMBER = 0, 1, 2  # kinds of rows: postings of n-grams, and a class (token) as a member of its group
 
 
-def _postings(docs: DataFrame, heavy: np.ndarray, bloom: SketchSpec, partitions: int, spec: JoinSpec) -> DataFrame:
+def _postings(docs: DataFrame, heavy: list[tuple[np.ndarray, SketchSpec]], partitions: int, spec: JoinSpec) -> DataFrame:
     """POSTED: of each group its prefix grams that another group has too, and all frequent ones; and the classes of each group.
 
-    n: the group's set size, rest: its grams from this one on."""
-    bits = docs.sparkSession.sparkContext.broadcast(heavy)
+    n: the group's set size, rest: its grams from this one on, odd: thousandths of its set that aren't frequent."""
+    bits, blooms = docs.sparkSession.sparkContext.broadcast([b for b, _ in heavy]), [x for _, x in heavy]
     names = [c.split()[0] for c in POSTED.split(", ")]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +283,13 @@ def _postings(docs: DataFrame, heavy: np.ndarray, bloom: SketchSpec, partitions:
             for _, _, s, at in gram_sets(data, off, spec):
                 size = np.diff(at).tolist()
                 cid = _digest(s, at, 1).view(np.int64)
-                late = passes(bits.value, s, bloom)
+                step = np.zeros(len(s), np.int8)
+                for bitmap, bloom in zip(bits.value, blooms, strict=True):
+                    step += passes(bitmap, s, bloom)
+                late = step > 0
                 before = np.concatenate([[0], np.cumsum(late)]).tolist()
                 cuts = at.tolist()
-                tokens, kinds, rest, owner, gids, found = [], [], [], [], [], []
+                tokens, kinds, rest, owner, gids, odd, found = [], [], [], [], [], [], []
                 for i, (n, c) in enumerate(zip(size, cid.tolist(), strict=True)):
                     if not n or c in classes:
                         continue
@@ -292,7 +297,8 @@ def _postings(docs: DataFrame, heavy: np.ndarray, bloom: SketchSpec, partitions:
                     own, flag = s[cuts[i] : cuts[i + 1]], late[cuts[i] : cuts[i + 1]]
                     p = n + (-spec.num * n // spec.den) + 1
                     if before[cuts[i + 1]] > before[cuts[i]]:
-                        own, flag = np.concatenate([own[~flag], own[flag]]), np.sort(flag)
+                        order = np.argsort(step[cuts[i] : cuts[i + 1]], kind="stable")
+                        own, flag = own[order], flag[order]
                     own = own[:p]
                     gid = int(mix(mix(own).sum(keepdims=True) + np.uint64(n)).view(np.int64)[0])
                     found.append((c, gid, n))
@@ -304,12 +310,13 @@ def _postings(docs: DataFrame, heavy: np.ndarray, bloom: SketchSpec, partitions:
                     rest.append(np.arange(n, n - p, -1, dtype=np.int32))
                     owner += [i] * p
                     gids += [gid] * p
+                    odd += [1000 - 1000 * (before[cuts[i + 1]] - before[cuts[i]]) // n] * p
                 if tokens:
                     o = np.array(owner)
-                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(gids, pa.int64()), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.array(size, np.int32)[o]), pa.array(np.concatenate(rest))], names=names)
+                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(gids, pa.int64()), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.array(size, np.int32)[o]), pa.array(np.concatenate(rest)), pa.array(odd, pa.int32())], names=names)
                 if found:
                     c, g, n = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g), pa.array(np.full(len(c), MEMBER, np.int32)), pa.array(n.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g), pa.array(np.full(len(c), MEMBER, np.int32)), pa.array(n.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(c), np.int32))], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -318,14 +325,14 @@ def _postings(docs: DataFrame, heavy: np.ndarray, bloom: SketchSpec, partitions:
         t = pa.Table.from_batches(got).combine_chunks()
         columns = [np.asarray(t.column(c)) for c in names]
         order = np.lexsort((columns[1], columns[0], columns[2]))
-        token, gid, kind, n, rest = (x[order] for x in columns)
+        token, gid, kind, n, rest, odd = (x[order] for x in columns)
         other = np.concatenate([[True], (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])])
         first = np.flatnonzero(other | np.concatenate([[True], gid[1:] != gid[:-1]]))
-        token, gid, kind, n, rest, other = token[first], gid[first], kind[first], n[first], rest[first], other[first]
+        token, gid, kind, n, rest, odd, other = (x[first] for x in (token, gid, kind, n, rest, odd, other))
         begin = np.flatnonzero(other)
         many = np.diff(np.append(begin, len(token)))
         keep = (kind != RARE) | np.repeat(many > 1, many)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, gid, kind, n, rest)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, gid, kind, n, rest, odd)], names=names)
 
     place = F.when(F.col("kind") == FREQUENT, F.xxhash64("token", "gid")).otherwise(F.col("token"))
     return docs.mapInArrow(post, POSTED).repartition(partitions, place).mapInArrow(meet, POSTED)
@@ -348,13 +355,18 @@ def _salted(pairs: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def _star_roles(posted: DataFrame, members: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
-    """Roles by which each group meets the group of least name among those of about its size that share an n-gram, and a group's classes its first one."""
+    """Roles by which each group meets a few of those of about its size that share an n-gram, and a group's classes its first one.
+
+    These few are, of the groups of an n-gram, the one with the least share of rare n-grams, since an unedited text
+    has fewest, and spec.leaders more by hashes of their names.
+    """
     prefix = F.col("n") - F.ceil(F.col("n") * spec.num / spec.den) + 1
     some = F.pmod(F.xxhash64("token"), F.greatest(F.lit(1), F.floor(prefix / spec.star_grams))) == 0
     rows = posted.filter(F.col("kind") != MEMBER).filter(some)
-    rows = rows.select("token", "gid", "n", "rest", F.floor(F.log("n") / math.log(spec.den / spec.num)).alias("about"))
-    lead = rows.groupBy("token", "about").agg(F.min(F.struct("gid", "n", "rest")).alias("l"), F.max("gid").alias("top")).filter(F.col("l.gid") < F.col("top"))
-    lead = lead.select("token", "about", F.col("l.gid").alias("lead"), F.col("l.n").alias("m"), F.col("l.rest").alias("left"))
+    rows = rows.select("token", "gid", "n", "rest", "odd", F.floor(F.log("n") / math.log(spec.den / spec.num)).alias("about"))
+    firsts = [F.min_by(F.struct(F.col("gid").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("left")), order) for order in (F.struct("odd", "gid"), *(F.xxhash64("gid", F.lit(j)) for j in range(spec.leaders)))]
+    lead = rows.groupBy("token", "about").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.array_distinct(F.array(*firsts)).alias("l")).filter("lo < hi")
+    lead = lead.select("token", "about", F.inline("l"))
     pairs = rows.join(lead, ["token", "about"]).filter((F.col("gid") != F.col("lead")) & _alike("n", "rest", "m", "left", spec)).select("lead", "gid").distinct()
     heads = members.groupBy("gid").agg(F.min("cid").alias("head"), F.max("cid").alias("last"))
     found = pairs.join(heads.select(F.col("gid").alias("lead"), "head"), "lead").select("gid", F.col("head").alias("lead")).join(members, "gid").select("lead", "cid")
@@ -362,19 +374,23 @@ def _star_roles(posted: DataFrame, members: DataFrame, spec: JoinSpec, scratch:
     return scratch.keep(_salted(scratch.keep(found.unionByName(inner).distinct()), spec))
 
 
-def _frequent(profile: DataFrame, spec: JoinSpec, scratch: Scratch) -> tuple[np.ndarray, SketchSpec]:
-    """The Bloom filter of the grams that are ordered last: of those that met themselves within a partition, the spec.frequent with most documents."""
+def _frequent(profile: DataFrame, spec: JoinSpec, scratch: Scratch) -> list[tuple[np.ndarray, SketchSpec]]:
+    """Bloom filters of the grams that are ordered last: of those that met themselves within a partition, the spec.frequent
+    with most documents, and of these those in ever more of them."""
     counts = scratch.keep(profile.filter("n = -1").groupBy("d1").agg(F.sum("d2").alias("c")))
-    least, n = 2, 0
+    kept = []
     for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():  # at most 100,000 rows
-        if n + r["k"] > spec.frequent:
-            least = r["c"] + 1
+        if sum(k for _, k in kept) + r["k"] > spec.frequent:
             break
-        n += r["k"]
-    bloom = bloom_for(n, spec)
-    bits = key_bitmap(counts.filter(F.col("c") >= least), "d1", bloom)
+        kept.append((r["c"], r["k"]))
+    out = []
+    for least in [kept[-1][0], *(c for c in spec.steps if c > kept[-1][0])] if kept else []:
+        n = sum(k for c, k in kept if c >= least)
+        if n:
+            bloom = bloom_for(n, spec)
+            out.append((key_bitmap(counts.filter(F.col("c") >= least), "d1", bloom), bloom))
     scratch.forget(counts)
-    return bits, bloom
+    return out
 
 
 def _cluster_roles(posted: DataFrame, members: DataFrame, spec: JoinSpec, scratch: Scratch) -> DataFrame:
@@ -431,10 +447,10 @@ def link(docs: DataFrame, spec: JoinSpec, scratch: Scratch, id_col: str = "doc_i
     own = profile.filter("n > 0")
     classes = scratch.keep(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("slots").alias("slots")).withColumnRenamed("d1", "cid"))
 
-    heavy, bloom = _frequent(profile, spec, scratch)
+    heavy = _frequent(profile, spec, scratch)
     grams_ = own.agg(F.sum("n")).first()[0] or 0
     partitions = max(8, -(-grams_ * (spec.den - spec.num) // spec.den // spec.partition_rows))
-    posted = scratch.keep(_postings(plain, heavy, bloom, partitions, spec))
+    posted = scratch.keep(_postings(plain, heavy, partitions, spec))
     members = scratch.keep(posted.filter(F.col("kind") == MEMBER).select(F.col("token").alias("cid"), "gid", "n"))
     near = verify(plain, classes, _star_roles(posted, members, spec, scratch), spec, scratch)
     clusters = scratch.keep(components(near, scratch))

@@ -86,7 +86,8 @@ def _counted(docs: DataFrame, spec: SubstringSpec) -> int:
 
 def _sketch(docs: DataFrame, spec: SubstringSpec, size: SketchSpec, first: tuple[np.ndarray, SketchSpec] | None = None) -> np.ndarray:
     """The bitmap of anchors that may occur twice; with that, `first`, the bitmap of windows that may."""
-    shared = docs.sparkSession.sparkContext.broadcast(first)
+    shared = docs.sparkSession.sparkContext.broadcast(first and first[0])
+    of = first and first[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = PartialSketch(size)
@@ -95,10 +96,10 @@ def _sketch(docs: DataFrame, spec: SubstringSpec, size: SketchSpec, first: tuple
             for lo, hi in slices(off):
                 h, begin, _, _ = hash_words(data, off[lo : hi + 1], lower=False)
                 anchor, _, at, n, win = anchor_runs(h, begin, spec)
-                if shared.value is None:
+                if of is None:
                     yield from part.add(anchor)
                 else:
-                    yield from part.add(win[_passing(shared.value, anchor, at, n)[1]])
+                    yield from part.add(win[_passing((shared.value, of), anchor, at, n)[1]])
         yield from part.flush()
 
     return merge(docs.select("text").mapInArrow(run, PARTIAL), size, 2)
@@ -117,10 +118,10 @@ PLACES = "h long, doc_id long, text_key long, start int, windows binary"
 
 
 def _places(docs: DataFrame, first: tuple[np.ndarray, SketchSpec], second: tuple[np.ndarray, SketchSpec], spec: SubstringSpec) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((first, second))
+    shared, sizes = docs.sparkSession.sparkContext.broadcast((first[0], second[0])), (first[1], second[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, windows_ = shared.value
+        anchors, windows_ = zip(shared.value, sizes, strict=True)
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             data, off = utf8(batch.column(2))
