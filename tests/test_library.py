@@ -198,10 +198,10 @@ def test_online_births_and_replay(spark):
     s = stats.window_stats(w, terms.library(["x1"], log=False), "y", ["window_id", "label"]).cache()
     known = stats.pooled(s.filter("label < 2 AND window_id < 60"), "label")
     got = online.replay(s.withColumn("stream_id", F.lit(1)), online.OnlineLaws().start(known)).toPandas()
-    assert got["n_clusters"].max() == 3 and (got["spawned"] >= 0).sum() == 1
+    assert got["regimes"].max() == 3 and got["born"].sum() == 1
     truth = s.select("window_id", "label").orderBy("window_id").toPandas()["label"].to_numpy()
-    after = got["t"].to_numpy() > int(got.loc[got["spawned"] >= 0, "t"].iloc[0])
-    assert (got["label"].to_numpy()[after] == truth[after]).mean() > 0.95
+    after = got["t"].to_numpy() > int(got.loc[got["born"], "t"].iloc[0])
+    assert (got["regime"].to_numpy()[after] == truth[after]).mean() > 0.95
 
 
 def test_online_streaming_matches_replay(spark, two_stats, tmp_path):
@@ -212,7 +212,7 @@ def test_online_streaming_matches_replay(spark, two_stats, tmp_path):
     q = online.stream_laws(spark.readStream.schema(s.schema).parquet(src), model).writeStream.format("memory").queryName("laws").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    key = lambda df: sorted((r["stream_id"], r["t"], r["label"]) for r in df.collect())
+    key = lambda df: sorted((r["stream_id"], r["t"], r["regime"]) for r in df.collect())
     assert key(spark.table("laws")) == key(online.replay(s, model))
 
 
@@ -231,11 +231,11 @@ def test_windows_close_by_watermark(spark, tmp_path):
 def test_cusum(spark):
     rows = spark.range(600).select(F.lit(0).alias("stream_id"), F.col("id").alias("t"), F.when(F.col("id") < 300, 0.0).otherwise(2.0).alias("m")).withColumn("y", F.col("m") + 0.8 * generators.normal(3, 1, "t"))
     got = online.cusum(rows, [F.lit(0.0), F.lit(2.0)], [1.0, 1.0], 6.0).toPandas().sort_values("t")
-    assert (got["state"].to_numpy() == (got["t"] >= 300)).mean() > 0.97 and got["alarm"].sum() == 1
+    assert (got["regime"].to_numpy() == (got["t"] >= 300)).mean() > 0.97 and got["switched"].sum() == 1
     first = online.first_alarm(rows, 2 * (F.col("y") - 1), 6.0, "stream_id", "t").first()
-    assert first["alarm_at"] == int(got.loc[got["alarm"], "t"].iloc[0])
-    trace = rows.withColumn("truth", (F.col("t") >= 300).cast("int")).join(spark.createDataFrame(got[["t", "state"]]), "t")
-    assert online.detection_delays(trace, "truth", "state", "stream_id", "t").first()["delay"] == int(got.loc[got["alarm"], "t"].iloc[0]) - 300
+    assert first["alarm_at"] == int(got.loc[got["switched"], "t"].iloc[0])
+    trace = rows.withColumn("truth", (F.col("t") >= 300).cast("int")).join(spark.createDataFrame(got[["t", "regime"]]), "t")
+    assert online.detection_delays(trace, "truth", "regime", "stream_id", "t").first()["delay"] == int(got.loc[got["switched"], "t"].iloc[0]) - 300
 
 
 def test_theory(spark):

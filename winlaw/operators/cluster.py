@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import golden
-from .stats import inliers, mechanism_features, solve
+from .stats import NATIVE_COLUMNS, inliers, mechanism_features, rss, solve
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,25 @@ def _sums(stats: DataFrame, weigh, k: int) -> list[dict]:
     return sorted((r.asDict() for r in rows), key=lambda r: r["k"])
 
 
+def _native_sums(stats: DataFrame, coef: np.ndarray, before: np.ndarray | None) -> list[dict]:
+    """As _sums() for windows given whole to the law of least rss, summed in the JVM; ll counts windows whose law changed."""
+    k, p = coef.shape
+    nearest = lambda laws: F.array_min(F.array(*[F.struct(rss(list(v)).alias("rss"), F.lit(j).alias("k")) for j, v in enumerate(laws)]))
+    rows = stats.select("n", "g", "a", "yy", nearest(coef).alias("_m"), (nearest(before)["k"] if before is not None else F.lit(-1)).alias("_was"))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    got = rows.groupBy(F.col("_m.k").alias("k")).agg(
+        F.count("*").alias("w"), F.sum("n").alias("n"), F.sum("yy").alias("yy"), F.sum("_m.rss").alias("rss"), F.sum((F.col("_was") != F.col("_m.k")).cast("double")).alias("ll"),
+        *[F.sum(F.col("g")[i * p + j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(F.col("a")[i]).alias(f"a{i}") for i in range(p)],
+    ).collect()
+    out = [{"k": j, "r": 0.0, "n": 0.0, "g": np.zeros((p, p)), "a": np.zeros(p), "yy": 0.0, "rss": 0.0} for j in range(k)]
+    for r in got:
+        g = np.zeros((p, p))
+        for i, j in pairs:
+            g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+        out[r["k"]] |= {"r": float(r["w"]), "n": float(r["n"]), "g": g.ravel(), "a": np.array([r[f"a{i}"] for i in range(p)]), "yy": r["yy"], "rss": r["rss"]}
+    return [o | {"w": sum(r["w"] for r in got), "ll": sum(r["ll"] for r in got)} for o in out]
+
+
 def _refit(sums: list[dict], ridge: float, floor: float) -> LawFit:
     coef, sigma, weights = [], [], []
     for s in sums:
@@ -116,14 +135,15 @@ def hard_loop(stats: DataFrame, start: LawFit, max_iter: int = 20, tol: float =
 
     for it in range(max_iter):
         def weigh(pdf: pd.DataFrame, now=fit, old=before):
-            rss = _rss(pdf, now.coef)
-            label = rss.argmin(1)
-            r = np.zeros_like(rss)
-            r[np.arange(len(rss)), label] = 1
-            changed = (_rss(pdf, old.coef).argmin(1) != label) if old is not None else np.ones(len(rss))
-            return r, rss, changed.astype(float)
-
-        sums = _sums(stats, weigh, k)
+            cost = _rss(pdf, now.coef)
+            label = cost.argmin(1)
+            r = np.zeros_like(cost)
+            r[np.arange(len(cost)), label] = 1
+            changed = (_rss(pdf, old.coef).argmin(1) != label) if old is not None else np.ones(len(cost))
+            return r, cost, changed.astype(float)
+
+        native = fit.coef.shape[1] <= NATIVE_COLUMNS
+        sums = _native_sums(stats, fit.coef, before.coef if before is not None else None) if native else _sums(stats, weigh, k)
         changed = sums[0]["ll"] / max(sums[0]["w"], 1)
         history.append({"iteration": it, "changed": changed, "cost": sum(s["rss"] for s in sums), "sizes": [int(s["r"]) for s in sums]})
         if before is not None and changed <= tol:

@@ -56,7 +56,7 @@ def profile_level(stats: DataFrame, p: int) -> DataFrame:
 
 def quadratic_form(g: Column, v: list[float]) -> Column:
     p = len(v)
-    return sum((g[i * p + j] * float(v[i] * v[j]) for i in range(p) for j in range(p)), F.lit(0.0))
+    return sum((g[i * p + j] * float(v[i] * v[j] * (1 if i == j else 2)) for i in range(p) for j in range(i, p)), F.lit(0.0))
 
 
 def rss(v: list[float]) -> Column:
