@@ -48,7 +48,7 @@ def robust_scale(df: DataFrame, value: str, by: list[str] | None = None, factor:
     """factor * MAD of each group; where that is none, IQR / 1.349, then the standard deviation; eps at least."""
     by = by or []
     centre = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.stddev_pop(value).alias("_sd"))
-    joined = df.join(F.broadcast(centre), by) if by else df.join(F.broadcast(centre))
+    joined = df.join(centre, by) if by else df.join(F.broadcast(centre))
     mad = joined.groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("_q")[1]), F.lit(0.5)).alias("_mad"), F.first("_q").alias("_q"), F.first("_sd").alias("_sd"))
     iqr = (F.col("_q")[2] - F.col("_q")[0]) / 1.349
     scale = F.when(F.col("_mad") > eps, F.col("_mad") * factor).when(iqr > eps, iqr).when(F.col("_sd") > eps, F.col("_sd")).otherwise(eps)
@@ -74,20 +74,26 @@ def fit_student_t(residuals: np.ndarray, bounds: tuple[float, float] = (0.8, 200
     return nu, scale, loglik
 
 
-def learn_loss(df: DataFrame, residual: str, max_samples: int = 20_000, key: list[str] | None = None) -> dict:
-    """The likeliest of Gaussian, Laplace and Student t on all rows. Its nu and scale are fitted on a bounded sample: by a hash
-    of a row's key, or without one at random, so that rows of equal residuals are drawn one by one."""
+def candidate_losses(df: DataFrame, residual: str, candidates: tuple = ("squared", "absolute", "student_t"), max_samples: int = 20_000, key: list[str] | None = None) -> list[dict]:
+    """Each candidate with its scale and mean log-likelihood over all rows: Gaussian, Laplace, Student t. The last one's nu and scale are
+    fitted on a bounded sample: by a hash of a row's key, or without one at random, so that rows of equal residuals are drawn one by one."""
     r = F.col(residual)
     m = df.agg(F.avg(r * r).alias("v"), F.avg(F.abs(r)).alias("b")).first()
-    sigma, b = max(math.sqrt(m["v"]), 1e-12), max(m["b"], 1e-12)
-    out = [
-        {"loss": "squared", "scale": sigma, "loglik": -math.log(sigma) - 0.5 * math.log(2 * math.pi) - 0.5},
-        {"loss": "absolute", "scale": b, "loglik": -math.log(2 * b) - 1},
-    ]
-    order = F.xxhash64(*key) if key else F.rand(0)
-    some = [x[0] for x in df.select(r.cast("double").alias("_r"), order.alias("_o")).orderBy("_o").limit(max_samples).collect()]
-    nu, scale, _ = fit_student_t(np.array(some))
-    tail = df.agg(F.avg(F.log1p(_sq(r / scale) / nu))).first()[0]
-    loglik = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(scale) - (nu + 1) / 2 * tail
-    out.append({"loss": "student_t", "scale": scale, "loglik": loglik, "nu": nu})
-    return max(out, key=lambda x: x["loglik"])
+    sigma, b, out = max(math.sqrt(m["v"]), 1e-12), max(m["b"], 1e-12), []
+    if "squared" in candidates:
+        out.append({"loss": "squared", "scale": sigma, "loglik": -math.log(sigma) - 0.5 * math.log(2 * math.pi) - 0.5})
+    if "absolute" in candidates:
+        out.append({"loss": "absolute", "scale": b, "loglik": -math.log(2 * b) - 1})
+    if "student_t" in candidates:
+        order = F.xxhash64(*key) if key else F.rand(0)
+        some = [x[0] for x in df.select(r.cast("double").alias("_r"), order.alias("_o")).orderBy("_o").limit(max_samples).collect()]
+        nu, scale, _ = fit_student_t(np.array(some))
+        tail = df.agg(F.avg(F.log1p(_sq(r / scale) / nu))).first()[0]
+        loglik = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(scale) - (nu + 1) / 2 * tail
+        out.append({"loss": "student_t", "scale": scale, "loglik": loglik, "nu": nu})
+    return out
+
+
+def learn_loss(df: DataFrame, residual: str, max_samples: int = 20_000, key: list[str] | None = None) -> dict:
+    """The likeliest of the candidates."""
+    return max(candidate_losses(df, residual, max_samples=max_samples, key=key), key=lambda x: x["loglik"])

@@ -85,11 +85,19 @@ def binary_metrics(df: DataFrame, truth: str, label: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> float:
-    """Correlation of ranks, ties at their mean. Ranks are by value counts, whose running sums are what is sorted."""
+    """Correlation of ranks, ties at their mean. Ranks are running sums of value counts: within ranges of values, and of the ranges."""
     ranked = df.select(x, y)
     for c in (x, y):
-        counts = ranked.groupBy(c).agg(F.count("*").alias("_n")).withColumn("_c", F.sum("_n").over(Window.orderBy(c)))
-        ranked = ranked.join(counts.select(c, (F.col("_c") - (F.col("_n") - 1) / 2).alias(f"_r_{c}")), c)
+        counts = ranked.groupBy(c).agg(F.count("*").alias("_n"))
+        parts = counts.repartitionByRange(c).withColumn("_p", F.spark_partition_id()).cache()  # one range partitioning, read twice
+        sizes = {r["_p"]: r["s"] for r in parts.groupBy("_p").agg(F.sum("_n").alias("s")).collect()}
+        before, total = [], 0
+        for p in sorted(sizes):
+            before.append((p, total))
+            total += sizes[p]
+        start = df.sparkSession.createDataFrame(before or [(0, 0)], "_p int, _s long")
+        running = parts.join(F.broadcast(start), "_p").withColumn("_c", F.col("_s") + F.sum("_n").over(Window.partitionBy("_p").orderBy(c)))
+        ranked = ranked.join(running.select(c, (F.col("_c") - (F.col("_n") - 1) / 2).alias(f"_r_{c}")), c)
     return float(ranked.agg(F.corr(f"_r_{x}", f"_r_{y}")).first()[0])
 
 
@@ -106,3 +114,63 @@ def bootstrap_ci(values: np.ndarray, stat=np.mean, reps: int = 2000, level: floa
     rng, v = np.random.default_rng(seed), np.asarray(values)
     got = [stat(v[rng.integers(0, len(v), len(v))]) for _ in range(reps)]
     return float(np.quantile(got, (1 - level) / 2)), float(np.quantile(got, (1 + level) / 2))
+
+
+def matched_error(df: DataFrame, truth: str, label: str) -> float:
+    """Share of rows whose label isn't the one matched with their truth; a label of -1 is always an error."""
+    known = df.filter(F.col(label) >= 0)
+    total = df.count()
+    if not total or not known.take(1):
+        return 1.0 if total else 0.0
+    t = _table(known, truth, label)
+    return 1 - float(sum(t[i, j] for i, j in enumerate(mapping(t)) if j < t.shape[1])) / total
+
+
+def law_errors(grid: DataFrame, found: list, true: list) -> list[dict]:
+    """For each pair of a found law and its truth (Columns of a grid of inputs): root mean square error, and as a share of the least gap
+    between truths."""
+    gaps = [F.sqrt(F.avg(F.pow(a - b, F.lit(2.0)))) for i, a in enumerate(true) for b in true[i + 1 :]]
+    errors = [F.sqrt(F.avg(F.pow(f - t, F.lit(2.0)))) for f, t in zip(found, true, strict=True)]
+    r = list(grid.agg(*errors, *gaps).first())
+    gap = min(r[len(errors) :], default=1.0) or 1.0
+    return [{"law": i, "rms": float(e), "relative": float(e / gap)} for i, e in enumerate(r[: len(errors)])]
+
+
+def rolling_accuracy(df: DataFrame, truth: str, label: str, order: str, rows: int = 30, least: int = 10, by: list[str] | None = None) -> DataFrame:
+    """df with `accuracy`: the share that agrees among the last rows, null while there are fewer than `least`. Without `by`, a
+    series is one task's."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(1 - rows, 0)
+    return df.withColumn("accuracy", F.when(F.count("*").over(w) >= least, F.avg((F.col(truth) == F.col(label)).cast("double")).over(w)))
+
+
+def ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """df with min_rank (ties take the first place) and share_rank, the mean place of equal values over the number of rows."""
+    w = Window.partitionBy(*by)
+    first = F.rank().over(w.orderBy(value))
+    ties = F.count("*").over(Window.partitionBy(*by, value))
+    return df.withColumn("min_rank", first).withColumn("share_rank", (first + (ties - 1) / 2) / F.count("*").over(w))
+
+
+def top_k(df: DataFrame, value: str, k: int, by: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """The k rows of greatest value, of each group if asked; the least key of equal ones."""
+    tie = [F.asc(key)] if key else []
+    if not by:
+        return df.orderBy(F.desc(value), *tie).limit(k)
+    w = Window.partitionBy(*by).orderBy(F.desc(value), *tie)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def quantile_buckets(df: DataFrame, value: str, buckets: int = 3) -> DataFrame:
+    """df with `bucket`: by exact quantiles of all rows, right-closed."""
+    probes = [i / buckets for i in range(1, buckets)]
+    edges = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in probes]))).first()[0]
+    b = F.lit(buckets - 1)
+    for i, e in reversed(list(enumerate(edges))):
+        b = F.when(F.col(value) <= float(e), i).otherwise(b)
+    return df.withColumn("bucket", b)
+
+
+def oriented(df: DataFrame, truth: str, label: str) -> DataFrame:
+    """df with 0/1 labels turned round where that agrees with the truth more often."""
+    r = df.agg(F.avg((F.col(truth) == F.col(label)).cast("double"))).first()[0]
+    return df if r is None or r >= 0.5 else df.withColumn(label, 1 - F.col(label))

@@ -3,36 +3,48 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import Basis
 from .cluster import LawFit, hard_loop, mechanism_start, soft_em
-from .stats import law_rss, pooled, solve
+from .stats import pooled, rss, solve, window_stats
 
 
 def loo_error(samples: DataFrame, basis: Basis, y: str = "y", key: str = "window_id") -> DataFrame:
-    """(key, n, loo): mean squared error of each sample under the fit of its window's others, by the diagonal of the hat matrix.
+    """(key, n, loo): mean squared error of each sample under the fit of its window's others.
 
-    Windows of no more samples than p + 1 are left out. A window's samples are its task's group.
+    Two shuffles at most: statistics by window give each window's law and the inverse of its Gram matrix; samples meet these, and a
+    residual divided by one less its leverage is that without the sample. Windows of no more samples than p + 1 are left out.
     """
     p = len(basis)
     rows = samples.select(key, F.col(y).cast("double").alias("_y"), F.array(*[c.cast("double") for _, c in basis]).alias("_b")).dropna()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, v = np.stack(pdf["_b"].to_numpy()), pdf["_y"].to_numpy()
-        if len(v) <= p + 1:
-            return pd.DataFrame({key: [], "n": [], "loo": []})
-        u, s, _ = np.linalg.svd(b, full_matrices=False)
-        u = u[:, s > 1e-4 * s[0]]
-        r = (v - u @ (u.T @ v)) / np.maximum(1 - (u * u).sum(1), 1e-6)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(v)], "loo": [float((r * r).mean())]})
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(samples.dtypes)[key]}, n long, loo double")
+    own = window_stats(rows, [(n, F.col("_b")[i]) for i, (n, _) in enumerate(basis)], "_y", [key]).filter(F.col("n") > p + 1)
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            inv, law = [], []
+            for g, a in zip(pdf["g"], pdf["a"], strict=True):
+                a = np.asarray(a)
+                g = np.asarray(g).reshape(len(a), -1)
+                d = np.sqrt(np.maximum(np.diag(g), 1e-300))
+                lam, vec = np.linalg.eigh(g / np.outer(d, d))
+                keep = lam > 1e-8 * lam.max()
+                m = (vec[:, keep] / lam[keep]) @ vec[:, keep].T / np.outer(d, d)
+                inv.append(m.ravel())
+                law.append(m @ a)
+            yield pd.DataFrame({key: pdf[key], "n": pdf["n"], "_i": inv, "_v": law})
+
+    laws = own.select(key, "n", "g", "a").mapInPandas(invert, f"{key} {dict(samples.dtypes)[key]}, n long, _i array<double>, _v array<double>")
+    b = [F.col("_b")[i] for i in range(p)]
+    residual = F.col("_y") - sum((b[i] * F.col("_v")[i] for i in range(p)), F.lit(0.0))
+    leverage = sum((b[i] * b[j] * F.col("_i")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
+    out = rows.join(laws, key).select(key, "n", (residual / F.greatest(1 - leverage, F.lit(1e-6))).alias("_r"))
+    return out.groupBy(key).agg(F.first("n").alias("n"), F.avg(F.col("_r") * F.col("_r")).alias("loo"))
 
 
 def select_rank(samples: DataFrame, make: Callable[[int], Basis], sizes: list[int], y: str = "y", rule: str = "1se") -> tuple[int, list[dict]]:
@@ -58,25 +70,44 @@ def select_count(stats: DataFrame, counts: list[int], **kw) -> tuple[int, list[d
     return min(rows, key=lambda r: r["bic"])["k"], rows
 
 
-def crossfit_rss(stats: DataFrame, labels: DataFrame, folds: int = 3, ridge: float = 1e-8) -> DataFrame:
-    """(window_id, k, rss): a window's own law is fitted without its fold, from the cluster's sums less the fold's; others as they are."""
-    fold = F.pmod(F.xxhash64("window_id"), F.lit(folds)).cast("int")
-    rows = stats.select("window_id", "n", "g", "a", "yy").join(labels.select("window_id", F.col("label").alias("own")), "window_id").withColumn("fold", fold).withColumn("cell", F.col("own") * folds + fold)
+def crossfit_rss(stats: DataFrame, labels: DataFrame, folds: int = 3, ridge: float = 1e-8, fold: Column | None = None) -> DataFrame:
+    """(window_id, k, rss): a window's own law is fitted without its fold, from the cluster's sums less the fold's; others as they are.
+
+    One pass: every law is a constant, and a window picks its own by cluster and fold."""
+    fold = F.pmod(F.xxhash64("window_id"), F.lit(folds)).cast("int") if fold is None else fold.cast("int")
+    rows = stats.select("window_id", "n", "g", "a", "yy").join(labels.select("window_id", F.col("label").alias("own")), "window_id").withColumn("fold", fold).withColumn("cell", F.col("own") * folds + F.col("fold"))
     sums = pooled(rows, "cell")
     ks = sorted({c // folds for c in sums})
-    whole = {k: (sum(sums[c][1] for c in sums if c // folds == k), sum(sums[c][2] for c in sums if c // folds == k)) for k in ks}
-    out = None
-    for f in range(folds):
-        for own in ks:
-            laws = []
-            for k in ks:
-                g, a = whole[k]
-                cell = sums.get(k * folds + f) if k == own else None
-                laws.append(list(solve(g - cell[1], a - cell[2], ridge) if cell is not None and len([c for c in sums if c // folds == k]) > 1 else solve(g, a, ridge)))
-            part = law_rss(rows.filter((F.col("fold") == f) & (F.col("own") == own)), laws)
-            part = part.withColumn("k", F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("k") + 1))
-            out = part if out is None else out.unionByName(part)
-    return out.drop("n")
+    each = []
+    for k in ks:
+        cells = {c % folds: sums[c] for c in sums if c // folds == k}
+        g, a = sum(c[1] for c in cells.values()), sum(c[2] for c in cells.values())
+        value = rss(list(solve(g, a, ridge)))
+        for f, c in cells.items():
+            if len(cells) > 1:
+                value = F.when((F.col("own") == k) & (F.col("fold") == f), rss(list(solve(g - c[1], a - c[2], ridge)))).otherwise(value)
+        each.append(F.struct(F.lit(k).alias("k"), value.alias("rss")))
+    return rows.select("window_id", F.inline(F.array(*each)))
+
+
+def snr_rank(errors: list[dict], rule: str = "snr", reps: int = 200, seed: int = 0) -> int:
+    """The size of best signal to noise. errors: for each size {size, signal, noise} with arrays by window of what its features
+    separate and of its noise. "snr": greatest ratio of means; "snr_1se": the least size within a bootstrap standard error of
+    it; "snr_smooth": greatest after a running mean of three."""
+    rows = sorted(errors, key=lambda r: r["size"])
+    ratio = np.array([np.mean(r["signal"]) / max(np.mean(r["noise"]), 1e-300) for r in rows])
+    best = int(ratio.argmax())
+    if rule == "snr":
+        return rows[best]["size"]
+    if rule == "snr_smooth":
+        wide = np.concatenate([ratio[:1], ratio, ratio[-1:]])
+        return rows[int(((wide[:-2] + wide[1:-1] + wide[2:]) / 3).argmax())]["size"]
+    if rule == "snr_1se":
+        rng = np.random.default_rng(seed)
+        s, n = np.asarray(rows[best]["signal"]), np.asarray(rows[best]["noise"])
+        draws = [(lambda i: s[i].mean() / max(n[i].mean(), 1e-300))(rng.integers(0, len(s), len(s))) for _ in range(reps)]
+        return next(r["size"] for r, v in zip(rows, ratio, strict=True) if v >= ratio[best] - np.std(draws))
+    raise ValueError(f"no rule {rule!r}")
 
 
 def corrupt_labels(labels: DataFrame, share: float, k: int, seed: int = 0) -> DataFrame:

@@ -163,3 +163,110 @@ def separation_matrix(features: DataFrame, labels: DataFrame, dims: int, sigma:
     x, y = moments.alias("x"), moments.alias("y")
     d2 = sum((F.pow(F.col(f"x.c{i}") - F.col(f"y.c{i}"), F.lit(2.0)) for i in range(dims)), F.lit(0.0)) - F.col("x.t") - F.col("y.t")
     return x.join(F.broadcast(y), F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("j"), F.col("y.label").alias("k"), (F.sqrt(F.greatest(d2, F.lit(0.0))) / sigma).alias("distance"))
+
+
+def profile(stats: DataFrame, p: int, nuisance: list[int]) -> DataFrame:
+    """Statistics with free coefficients of the `nuisance` columns of the basis taken out of each window, by the Schur complement.
+
+    Windows with too few samples for them, or whose nuisance columns are dependent, lose what these can explain."""
+    q = list(nuisance)
+    rest = [i for i in range(p) if i not in q]
+    if q == [0]:
+        return profile_level(stats, p)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf.copy()
+            gs, as_, ys, ns = [], [], [], []
+            for n, g, a, yy in zip(pdf["n"], pdf["g"], pdf["a"], pdf["yy"], strict=True):
+                g, a = np.asarray(g).reshape(p, p), np.asarray(a)
+                inv = np.linalg.pinv(g[np.ix_(q, q)], rcond=1e-10, hermitian=True)
+                cross = g[np.ix_(rest, q)]
+                gs.append((g[np.ix_(rest, rest)] - cross @ inv @ cross.T).ravel())
+                as_.append(a[rest] - cross @ inv @ a[q])
+                ys.append(max(yy - a[q] @ inv @ a[q], 0.0))
+                ns.append(max(int(n) - len(q), 0))
+            out["g"], out["a"], out["yy"], out["n"] = gs, as_, ys, ns
+            yield out
+
+    return stats.mapInPandas(run, ", ".join(kinds))
+
+
+class FeatureMap:
+    """Mechanism features learned on training windows and applied to others: "project" scales by sqrt(mean n / n), "solve" by the
+    window's own Gram matrix with a ridge of its trace; less the training mean."""
+
+    def __init__(self, mode: str = "project", tol: float = 1e-6, solve_ridge: float = 1e-3, subtract_pooled: bool = True):
+        if mode not in ("project", "solve"):
+            raise ValueError(f"the mode is project or solve, not {mode!r}")
+        self.mode, self.tol, self.solve_ridge, self.subtract_pooled = mode, tol, solve_ridge, subtract_pooled
+        self.mean = None
+
+    def fit(self, stats: DataFrame) -> FeatureMap:
+        n, g, a, _, w = pooled(stats)[0]
+        lam, vec = np.linalg.eigh(g / w)
+        keep = lam > self.tol * lam.max()
+        self.m, self.length = vec[:, keep] / np.sqrt(lam[keep]), n / w
+        self.law = solve(g, a) if self.subtract_pooled else np.zeros(len(a))
+        self.mean = np.zeros(self.m.shape[1])
+        rows = self.transform(stats)
+        self.mean = np.array(rows.agg(*[F.avg(F.col("s")[i]) for i in range(self.m.shape[1])]).first())
+        return self
+
+    def transform(self, stats: DataFrame) -> DataFrame:
+        """(window_id, s)"""
+        m, law, mean, length, mode, ridge = self.m, self.law, self.mean, self.length, self.mode, self.solve_ridge
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for n, g, a in zip(pdf["n"], pdf["g"], pdf["a"], strict=True):
+                    a = np.asarray(a)
+                    g = np.asarray(g).reshape(len(a), -1)
+                    r = m.T @ (a - g @ law)
+                    if mode == "project":
+                        v = r * np.sqrt(length / max(n, 1))
+                    else:
+                        c = m.T @ g @ m
+                        v = np.linalg.solve(c + ridge * np.trace(c) / len(c) * np.eye(len(c)) + 1e-300, r) * np.sqrt(length)
+                    out.append(v - mean)
+                yield pd.DataFrame({"window_id": pdf["window_id"], "s": out})
+
+        return stats.select("window_id", "n", "g", "a").mapInPandas(run, f"window_id {dict(stats.dtypes)['window_id']}, s array<double>")
+
+
+def separation_unlabelled(features: DataFrame, dims: int, sigma: float, n: float, share: float | None = None, trim: float = 0.01) -> dict:
+    """rho without labels: max(trace of the covariance - dims sigma^2, 0) / (share (1 - share) n sigma^2), on the inner windows. A share
+    that isn't known is that of windows above the mean along the first principal direction."""
+    inner = inliers(features, dims, trim) if trim else features
+    x = [F.col("s")[i] for i in range(dims)]
+    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
+    r = inner.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(dims)] for i in range(dims)])
+    first = np.linalg.eigh(cov)[1][:, -1]
+    if share is None:
+        along = sum(((x[i] - float(r[f"m{i}"])) * float(first[i]) for i in range(dims)), F.lit(0.0))
+        share = min(max(inner.agg(F.avg((along > 0).cast("double"))).first()[0], 0.05), 0.95)
+    signal = max(float(np.trace(cov)) - dims * sigma**2, 0.0)
+    return {"rho": signal / (share * (1 - share) * n * sigma**2), "share": share, "trace": float(np.trace(cov)), "direction": first}
+
+
+def rho_of_partition(features: DataFrame, labels: DataFrame, dims: int, sigma: float, n: float) -> float:
+    """Least squared distance of the centres of a partition, in units of sigma, by window length."""
+    d = separation_matrix(features, labels, dims, sigma).agg(F.min("distance")).first()[0]
+    return float(d) ** 2 / n
+
+
+def window_kernel(features: DataFrame, kind: str = "linear", gamma: float | None = None, key: str = "window_id") -> DataFrame:
+    """(i, j, value) for i <= j: inner products of features, or exp(-gamma d^2); gamma is one over the median squared distance
+    unless given. All pairs: for a stated, small set of windows."""
+    a, b = features.select(F.col(key).alias("i"), F.col("s").alias("x")), features.select(F.col(key).alias("j"), F.col("s").alias("y"))
+    pairs = a.join(b, F.col("i") <= F.col("j"))
+    if kind == "linear":
+        return pairs.select("i", "j", F.aggregate(F.zip_with("x", "y", lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v).alias("value"))
+    d2 = F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, v: t + v)
+    far = pairs.select("i", "j", d2.alias("d2"))
+    if gamma is None:
+        gamma = 1 / max(far.filter("i < j").agg(F.percentile("d2", F.lit(0.5))).first()[0] or 1.0, 1e-300)
+    return far.select("i", "j", F.exp(-gamma * F.col("d2")).alias("value"))
