@@ -16,6 +16,10 @@ from .cluster import LawFit, _rss, hard_loop, mechanism_start
 from .stats import NATIVE_COLUMNS, pooled, rss, solve
 
 
+def _sum_exp(z: Column, top: Column) -> Column:
+    return F.aggregate(F.transform(z, lambda x: F.exp(x - top)), F.lit(0.0), lambda u, v: u + v)
+
+
 @dataclass(frozen=True)
 class LawClassifier:
     """For each class laws with weights; a noise and a prior for each class."""
@@ -74,7 +78,7 @@ class LawClassifier:
             s = float(s)
             z = F.array(*[math.log(w) - rss(list(v)) / (2 * s * s) for v, w in zip(fit.coef, fit.weights, strict=True)])
             top = F.array_max(z)
-            total = top + F.log(F.aggregate(F.transform(z, lambda x, t=top: F.exp(x - t)), F.lit(0.0), lambda u, v: u + v))
+            total = top + F.log(_sum_exp(z, top))
             out.append(total - F.col("n") * (math.log(s) + 0.5 * math.log(2 * math.pi)) + math.log(float(prior)))
         return F.array(*out)
 

@@ -171,3 +171,10 @@ def parametric_law(x: np.ndarray, y: np.ndarray, form: Callable[[np.ndarray, np.
             if lam > 1e12:
                 break
     return t
+
+
+def outside_share(samples: DataFrame, basis: Basis, y: str = "y") -> tuple[np.ndarray, float]:
+    """Least-squares coefficients of y over a basis, and the share of y'y that its span leaves."""
+    _, g, a, yy, _ = pooled(window_stats(samples.withColumn("_all", F.lit(0)), basis, y, ["_all"]))[0]
+    v = solve(g, a)
+    return v, float(max(yy - 2 * a @ v + v @ g @ v, 0.0) / max(yy, 1e-300))

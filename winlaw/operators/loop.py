@@ -121,7 +121,7 @@ def refit(windows: DataFrame, spec: LoopSpec, p: int, d: int, before: State | No
         coef.append(v)
         count.append(w)
         wrong, n = wrong + max(yy - 2 * a @ v + v @ g @ v, 0.0), n + m
-        apart = w >= 2 * spec.folds and spec.slot(k).kind != "known"  # too few windows, or nothing fitted: no folds
+        apart = spec.folds and w >= 2 * spec.folds and spec.slot(k).kind != "known"  # too few windows, or nothing fitted: no folds
         without.append([spec.slot(k).fit(g - x[2], a - x[3], spec.ridge) if apart and x[0] else v for x in own])
     scale = max((wrong / max(n, 1)) ** 0.5, 1e-9)
     if samples is not None:

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import queries as _  # noqa: F401  registers itself
+    from . import loops, queries  # noqa: F401  register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -83,36 +83,12 @@ LOSS_SQL = {
 }
 
 
-@query("window_loss_costs", f"WITH {PLANTED.format(sigma=3)}, q AS (SELECT window_id, k, (y - x*x - CASE WHEN k = 0 THEN x ELSE -x END) / 0.8 AS r FROM w, (SELECT unnest([0, 1]) AS k)) SELECT window_id, k, " + ", ".join(f"round(avg({v}), 6) AS {n}" for n, v in LOSS_SQL.items()) + " FROM q GROUP BY window_id, k")
-def q_losses(spark, sf_dir):
-    s = planted(spark, sf_dir, 3.0)
-    laws_ = F.array(*[F.struct(F.lit(k).alias("k"), terms.predict(_quadratic(), v).alias("f")) for k, v in enumerate(LAWS)])
-    r = s.select("window_id", "y", F.inline(laws_)).withColumn("r", (F.col("y") - F.col("f")) / 0.8)
-    return r.groupBy("window_id", "k").agg(*[_r(F.avg(fn(F.col("r")))).alias(n) for n, fn in losses.LOSSES.items()])
-
-
 @query("loss_influence", "WITH r AS (SELECT DISTINCT round((l_quantity - 25.5) / 4, 3) AS r FROM lineitem) SELECT r, round(greatest(-1.345, least(1.345, r)), 6) AS huber, round(r / (1 + (r/2.3849)*(r/2.3849)), 6) AS cauchy, round(CASE WHEN abs(r) <= 4.685 THEN r*power(1 - (r/4.685)*(r/4.685), 2) ELSE 0 END, 6) AS tukey, round(5*r/(4 + r*r), 6) AS student_t FROM r")
 def q_influence(spark, sf_dir):
     r = table(spark, sf_dir, "lineitem").select(F.round((F.col("l_quantity") - 25.5) / 4, 3).alias("r")).distinct()
     return r.select("r", *[_r(losses.PSI[n](F.col("r"))).alias(n) for n in ("huber", "cauchy", "tukey", "student_t")])
 
 
-@query("assignment_cost", f"WITH {PLANTED.format(sigma=3)}, c AS (SELECT window_id, k, avg(abs(y - x*x - CASE WHEN k = 0 THEN x ELSE -x END)) AS eq, abs(avg(y) - k) AS geo FROM w, (SELECT unnest([0, 1]) AS k) GROUP BY window_id, k), n AS (SELECT median(eq) AS me, median(geo) AS mg FROM c) SELECT window_id, k, round(0.25*geo/mg + 0.75*eq/me, 5) AS cost FROM c, n")
-def q_cost(spark, sf_dir):
-    s = planted(spark, sf_dir, 3.0)
-    each = F.array(*[F.struct(F.lit(k).alias("k"), terms.predict(_quadratic(), v).alias("f")) for k, v in enumerate(LAWS)])
-    c = s.select("window_id", "y", F.inline(each)).groupBy("window_id", "k").agg(F.avg(F.abs(F.col("y") - F.col("f"))).alias("eq"), F.abs(F.avg("y") - F.col("k")).alias("geo"))
-    m = c.agg(F.percentile("eq", F.lit(0.5)).alias("me"), F.percentile("geo", F.lit(0.5)).alias("mg"))
-    return c.join(F.broadcast(m)).select("window_id", "k", _r(0.25 * F.col("geo") / F.col("mg") + 0.75 * F.col("eq") / F.col("me"), 5).alias("cost"))
-
-
-@query("learn_loss_moments", f"WITH {PLANTED.format(sigma=1)}, r AS (SELECT y - x*x - CASE WHEN label = 0 THEN x ELSE -x END AS r FROM w) SELECT round(sqrt(avg(r*r)), 6) AS sigma, round(avg(abs(r)), 6) AS b, round(-ln(sqrt(avg(r*r))) - 0.5*ln(2*pi()) - 0.5, 5) AS gauss, round(-ln(2*avg(abs(r))) - 1, 5) AS laplace FROM r")
-def q_learn(spark, sf_dir):
-    r = planted(spark, sf_dir).select((F.col("y") - F.col("x") * F.col("x") - F.when(F.col("label") == 0, F.col("x")).otherwise(-F.col("x"))).alias("r"))
-    s, b = F.sqrt(F.avg(F.col("r") * F.col("r"))), F.avg(F.abs("r"))
-    return r.agg(_r(s).alias("sigma"), _r(b).alias("b"), _r(-F.log(s) - 0.5 * math.log(2 * math.pi) - 0.5, 5).alias("gauss"), _r(-F.log(2 * b) - 1, 5).alias("laplace"))
-
-
 @query("learned_loss")
 def q_learned(spark, sf_dir):
     r = planted(spark, sf_dir).select("window_id", "t", (F.col("y") - F.col("x") * F.col("x") - F.when(F.col("label") == 0, F.col("x")).otherwise(-F.col("x"))).alias("r"))
@@ -150,19 +126,6 @@ def q_superposed(spark, sf_dir):
     return spark.createDataFrame([(law.expression if law else None,)], "expression string")
 
 
-@query("mechanism_features")
-def q_mechanism(spark, sf_dir):
-    f, _ = stats.mechanism_features(_stats(spark, sf_dir, 1.0, True).drop("label"))
-    return f.select("window_id", F.transform("s", lambda v: F.round(v, 4)).alias("s"))
-
-
-@query("mechanism_separation")
-def q_separation(spark, sf_dir):
-    s = _stats(spark, sf_dir, 1.0, True)
-    f, m = stats.mechanism_features(s)
-    return stats.separation_matrix(f, s.select("window_id", "label"), m.shape[1], stats.mechanism_noise(s))
-
-
 def _scored(spark, df: DataFrame) -> DataFrame:
     m = evaluate.clustering_metrics(df, "truth", "label")
     return spark.createDataFrame([(float(m["ari"]), float(m["nmi"]), float(m["aligned_accuracy"]))], "ari double, nmi double, aligned_accuracy double")
@@ -201,31 +164,12 @@ def q_em_step(spark, sf_dir):
     return cluster.assign(s, fit).select("window_id", _r(F.col("posterior")[0], 4).alias("p0"))
 
 
-@query("leave_one_out")
-def q_loo(spark, sf_dir):
-    s = planted(spark, sf_dir, 1.0, True)
-    return selection.loo_error(s, _quadratic()).select("window_id", "n", _r("loo", 5).alias("loo"))
-
-
-@query("rank_choice")
-def q_rank(spark, sf_dir):
-    s = planted(spark, sf_dir, 1.0, True)
-    size, log = selection.select_rank(s, lambda k: terms.legendre("x", k, -2.0, 2.0), [2, 3, 5])
-    return spark.createDataFrame([(r["size"], float(r["error"]), float(r["se"]), r["size"] == size) for r in log], "size int, error double, se double, chosen boolean")
-
-
 @query("law_count")
 def q_count(spark, sf_dir):
     k, log = selection.select_count(_stats(spark, sf_dir, 3.0, True).drop("label").cache(), [1, 2, 3])
     return spark.createDataFrame([(r["k"], float(r["loglik"]), float(r["bic"]), r["k"] == k) for r in log], "k int, loglik double, bic double, chosen boolean")
 
 
-@query("crossfit_scores")
-def q_crossfit(spark, sf_dir):
-    s = _stats(spark, sf_dir, 3.0, True)
-    return selection.crossfit_rss(s, s.select("window_id", "label")).withColumn("rss", _r("rss", 4))
-
-
 @query("loop_gain")
 def q_gain(spark, sf_dir):
     s = _stats(spark, sf_dir, 3.0, True).cache()
@@ -237,14 +181,6 @@ def q_gain(spark, sf_dir):
 # ---- classification
 
 
-@query("law_classifier")
-def q_classifier(spark, sf_dir):
-    s = _stats(spark, sf_dir, 3.0, True).cache()
-    model = classify.LawClassifier.fit(s.filter("window_id % 3 <> 0"), "label")
-    test = s.filter("window_id % 3 = 0")
-    return model.predict(test).join(test.select("window_id", "label"), "window_id").select("window_id", "label", "prediction")
-
-
 @query("nearest_centroid", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM e WHERE vec_id % 100 <> 0) GROUP BY label, i), q AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM e WHERE vec_id % 100 = 0), d AS (SELECT vec_id, label, sum((v - m)*(v - m)) AS d FROM q JOIN m USING (i) GROUP BY vec_id, label) SELECT vec_id, arg_min(label, d) AS prediction FROM d GROUP BY vec_id")
 def q_centroid(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -257,11 +193,6 @@ def q_one_nn(spark, sf_dir):
     return classify.one_nn(e.filter("vec_id % 100 <> 0"), e.filter("vec_id % 100 = 0"), "embedding", "label", "vec_id").withColumn("distance", _r("distance", 4))
 
 
-@query("few_shot_draw")
-def q_few(spark, sf_dir):
-    return classify.few_shot(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", 5)
-
-
 # ---- evaluation
 
 
@@ -409,25 +340,17 @@ def q_rolling(spark, sf_dir):
 # ---- sequences
 
 
-
-
 @query("cusum_first_alarm", f"WITH e AS (SELECT user_id, event_id, ts, ln(1 + value) - 3.6 AS z FROM events), c AS (SELECT *, sum(z) OVER o AS c, row_number() OVER o AS i FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), s AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS s FROM c) SELECT user_id, min(i) FILTER (s > 3) AS alarm_at, round(max(s), 5) AS top FROM s GROUP BY user_id")
 def q_alarm(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
     return online.first_alarm(e, F.log1p("value") - 3.6, 3.0, "user_id", "i").withColumn("top", _r("top", 5))
 
 
-@query("cusum_trace")
-def q_cusum(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("t", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).withColumn("y", F.log1p("value"))
-    return online.cusum(e, [F.lit(3.0), F.lit(4.5)], [1.0, 1.0], 5.0, "y", "user_id", "t")
-
-
 @query("online_timeline")
 def q_online(spark, sf_dir):
     s = _stats(spark, sf_dir, 1.0, True).cache()
     model = online.OnlineLaws(forgetting=0.98).start(stats.pooled(s.filter("window_id % 10 = 1"), "label"))
-    return online.replay(s.withColumn("stream_id", F.col("window_id") % 4), model)
+    return online.replay(s.withColumn("stream_id", F.floor(F.col("window_id") / 10)), model)
 
 
 @query("prefix_law", f"WITH {PLANTED.format(sigma=1)}, p AS (SELECT window_id, t, sum((y - x*x)*x) OVER o AS a, sum(x*x) OVER o AS g, row_number() OVER o AS i FROM w WINDOW o AS (PARTITION BY window_id ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT window_id, i, round(a / g, 5) AS slope FROM p WHERE i IN (8, 16, 32, 64)")
