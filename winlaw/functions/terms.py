@@ -80,13 +80,51 @@ def random_fourier(column: str, features: int, bandwidth: float, seed: int = 0)
     return [(f"rff{j}", F.cos(F.col(column) * float(w[j]) + float(b[j])) * math.sqrt(2 / features)) for j in range(features)]
 
 
+def cubic(column: str) -> Basis:
+    x = F.col(column)
+    return [("1", F.lit(1.0)), (column, x), (f"{column}^2", x * x), (f"{column}^3", x * x * x)]
+
+
+def shifted(samples: DataFrame, column: str, tau: float) -> DataFrame:
+    """samples with the first input moved by tau."""
+    return samples.withColumn(column, F.col(column) + float(tau))
+
+
+def nystrom_columns(df: DataFrame, columns: list[str], centers: int, scale: float = 2.0, tol: float = 1e-8, spacing: str = "kmeans", seed: int = 0, sample: int = 20_000) -> Basis:
+    """As nystrom() over several inputs, each divided by its spread: centres by K-means of a bounded sample of rows, or evenly spaced
+    (of one column)."""
+    r = df.agg(*[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)], *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
+    sd = [float(r[f"s{i}"] or 0.0) + 1e-12 for i in range(len(columns))]
+    if spacing == "uniform":
+        if len(columns) > 1:
+            raise ValueError("even spacing is for one column")
+        c = np.linspace(float(r["lo0"]), float(r["hi0"]), centers)[:, None] / sd[0]
+    else:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        some = df.select(*columns).orderBy(F.xxhash64(*columns, F.lit(seed))).limit(sample)
+        vec = some.select(array_to_vector(F.array(*[F.col(n).cast("double") / v for n, v in zip(columns, sd, strict=True)])).alias("features"))
+        c = np.array(KMeans(k=centers, seed=seed).fit(vec).clusterCenters())
+    d = np.sqrt(((c[:, None] - c) ** 2).sum(-1))
+    near = np.where(np.eye(len(c), dtype=bool), np.inf, d).min(1) if len(c) > 1 else np.ones(1)
+    width = max(scale * float(np.median(near)), 1e-9)
+    lam, u = np.linalg.eigh(np.exp(-(d**2) / (2 * width**2)))
+    keep = lam > tol * lam.max()
+    m = u[:, keep] / np.sqrt(lam[keep])
+    k = [F.exp(-sum((F.pow(F.col(n) / v - float(x), F.lit(2.0)) for n, v, x in zip(columns, sd, row, strict=True)), F.lit(0.0)) / (2 * width**2)) for row in c]
+    return intercept() + [(f"rbf{j}", sum((k[i] * float(m[i, j]) for i in range(1, len(c))), k[0] * float(m[0, j]))) for j in range(m.shape[1])]
+
+
 def make_basis(kind: str, column: str, size: int, df: DataFrame | None = None, **kw) -> Basis:
+    """A basis by name; an unknown one raises KeyError."""
     kinds: dict[str, Callable[[], Basis]] = {
         "fourier": lambda: fourier(column, size, **kw),
         "cosine": lambda: cosine(column, size, *fit_range(df, column)),
         "legendre": lambda: legendre(column, size, *fit_range(df, column)),
         "nystrom": lambda: nystrom(df, column, size, **kw),
         "rff": lambda: random_fourier(column, size, **kw),
+        "cubic": lambda: cubic(column),
     }
     return kinds[kind]()
 

@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def day_windows(hourly: DataFrame, date: str = "date", hour: str = "hour", value: str = "count", max_missing: int = 0) -> DataFrame:
+def one_per_hour(hourly: DataFrame, date: str, hour: str, value: str, order: str | None) -> DataFrame:
+    """A row for each date and hour: the first by `order` of those that repeat, or without it the least value."""
+    return hourly.groupBy(date, hour).agg((F.min_by(value, order) if order else F.min(value)).alias(value))
+
+
+def day_windows(hourly: DataFrame, date: str = "date", hour: str = "hour", value: str = "count", max_missing: int = 0, order: str | None = None) -> DataFrame:
     """(date, hour, x, y): days with at most max_missing hours missing, these as 0; y = log1p less the day's mean, x = 2 pi hour / 24."""
-    rows = hourly.groupBy(date, hour).agg(F.min(value).alias(value))
+    rows = one_per_hour(hourly, date, hour, value, order)
     days = rows.groupBy(date).agg(F.count("*").alias("_n")).filter(F.col("_n") >= 24 - max_missing)
     grid = days.select(date, F.explode(F.sequence(F.lit(0), F.lit(23))).alias(hour))
     full = grid.join(rows, [date, hour], "left").withColumn("y", F.log1p(F.coalesce(F.col(value), F.lit(0)).cast("double")))
@@ -37,9 +42,9 @@ def normalise_traffic(raw: DataFrame) -> DataFrame:
     return rows.select("date", "hour", F.col("traffic_volume").alias("count"), work.alias("working"), "holiday", (F.least("rain_1h", F.lit(100.0)) + F.col("snow_1h")).alias("precip"), "temp")
 
 
-def partial_days(hourly: DataFrame, least: int = 6, date: str = "date", hour: str = "hour", value: str = "count") -> DataFrame:
+def partial_days(hourly: DataFrame, least: int = 6, date: str = "date", hour: str = "hour", value: str = "count", order: str | None = None) -> DataFrame:
     """Ragged days of at least so many hours; the level is left in, to be profiled out."""
-    rows = hourly.groupBy(date, hour).agg(F.min(value).alias(value))
+    rows = one_per_hour(hourly, date, hour, value, order)
     n = F.count("*").over(Window.partitionBy(date))
     return rows.withColumn("_n", n).filter(F.col("_n") >= least).select(date, hour, (F.col(hour) * (2 * math.pi / 24)).alias("x"), F.log1p(F.col(value).cast("double")).alias("y"))
 
@@ -140,3 +145,83 @@ def residual_acf(df: DataFrame, key: str, order: str, value: str, lags: int) ->
     rows = df.select(key, value, *[F.lag(value, k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
     agg = rows.groupBy(key).agg(*[(F.sum(F.col(value) * F.col(f"_l{k}")) / F.sum(F.col(value) * F.col(value))).alias(f"l{k}") for k in range(1, lags + 1)])
     return agg.select(key, F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("acf")) for k in range(1, lags + 1)])))
+
+
+def normalise_bike(raw: DataFrame) -> DataFrame:
+    """Hourly rows of a table with dteday, hr, cnt, workingday, weathersit, temp and holiday 0 or 1."""
+    name = F.when(F.col("holiday") == 1, "holiday").otherwise("")
+    return raw.select(F.to_date("dteday").alias("date"), F.col("hr").cast("int").alias("hour"), F.col("cnt").cast("double").alias("count"), (F.col("workingday") == 1).alias("working"), name.alias("holiday"), F.col("weathersit").cast("int").alias("weather"), F.col("temp").cast("double").alias("temp"))
+
+
+def block_meta(blocks: DataFrame, by: list[str], middle: str = "temp", spread: str = "ws_sd", level: str = "ws", edges: tuple[float, float] = (1 / 3, 2 / 3)) -> DataFrame:
+    """Per block: rows, means, whether it is warmer than the median block, and its unsteadiness (spread over level) in three steps by exact quantiles of all blocks."""
+    out = blocks.groupBy(*by).agg(F.count("*").alias("n"), F.avg(level).alias(level), F.avg(middle).alias(middle), (F.avg(spread) / F.avg(level)).alias("unsteady"))
+    q = out.agg(F.percentile(middle, F.lit(0.5)).alias("m"), F.percentile("unsteady", F.array(*[F.lit(e) for e in edges])).alias("u")).first()
+    if q["m"] is None:
+        return out.withColumn("warm", F.lit(None).cast("boolean")).withColumn("step", F.lit(None).cast("int"))
+    return out.withColumn("warm", F.col(middle) > float(q["m"])).withColumn("step", F.when(F.col("unsteady") <= float(q["u"][0]), 0).when(F.col("unsteady") <= float(q["u"][1]), 1).otherwise(2))
+
+
+def bins_covered(df: DataFrame, x: str, by: list[str], lo: float = 3.0, hi: float = 15.0, width: float = 0.5) -> DataFrame:
+    """by, covered: how many bins have a row; those below lo and from hi on count as one each."""
+    bins = round((hi - lo) / width)
+    b = F.greatest(F.lit(0), F.least(F.lit(bins + 1), F.floor((F.col(x) - lo) / width).cast("int") + 1))
+    return df.groupBy(*by).agg(F.countDistinct(b).alias("covered"))
+
+
+def to_grid(series: DataFrame, length: int, key: str = "series_id") -> DataFrame:
+    """(key, i, value): each series on `length` even places between its first and last, on the line between the observed ones beside a
+    place, flat beyond them; a series with fewer than two observed takes its mean, or 0 without any."""
+    last = series.groupBy(key).agg(F.max("t").alias("_n"), F.avg(F.when(~F.isnan("value"), F.col("value"))).alias("_mean"))
+    seen = series.filter("value IS NOT NULL AND NOT isnan(value)").select(key, F.col("t").cast("double").alias("p"), F.col("value").alias("v"))
+    place = (F.col("_i") * F.col("_n") / max(length - 1, 1)).cast("double")
+    grid = last.select(key, "_mean", "_n", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("_i")).select(key, "_mean", "_i", place.alias("p"))
+    both = grid.select(key, "p", "_i", "_mean", F.lit(None).cast("double").alias("v")).unionByName(seen.select(key, "p", F.lit(None).cast("int").alias("_i"), F.lit(None).cast("double").alias("_mean"), "v"))
+    w = Window.partitionBy(key).orderBy("p", F.col("v").isNull())
+    at = F.when(F.col("v").isNotNull(), F.struct("p", "v"))
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    n = F.count("v").over(Window.partitionBy(key))
+    full = both.withColumn("_a", F.last(at, True).over(back)).withColumn("_b", F.first(at, True).over(ahead)).withColumn("_c", n).filter("_i IS NOT NULL")
+    span = F.col("_b.p") - F.col("_a.p")
+    line = F.coalesce(F.when(span > 0, F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("p") - F.col("_a.p")) / span), F.col("_a.v"), F.col("_b.v"))
+    return full.select(key, F.col("_i").alias("i"), F.when(F.col("_c") >= 2, line).otherwise(F.coalesce("_mean", F.lit(0.0))).alias("value"))
+
+
+def describe_series(series: DataFrame, key: str = "series_id") -> DataFrame:
+    """One row: series, classes, least and greatest length, share of values that are missing, and whether lengths differ."""
+    miss = F.col("value").isNull() | F.isnan("value")
+    each = series.groupBy(key).agg((F.max("t") + 1).alias("n"), F.count("*").alias("rows"), F.sum(miss.cast("int")).alias("gone"), F.first("label").alias("label"))
+    return each.agg(F.count("*").alias("series"), F.countDistinct("label").alias("classes"), F.min("n").alias("shortest"), F.max("n").alias("longest"), (F.sum("gone") / F.sum("rows")).alias("missing"), (F.min("n") < F.max("n")).alias("ragged"))
+
+
+def sorted_profile(samples: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, profile): y of each window in the order of x."""
+    own = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
+    return samples.groupBy(key).agg(F.transform(own, lambda s: s["y"]).alias("profile"))
+
+
+def block_masks(spark, sizes: tuple[int, ...] = (6, 12), hours: int = 24) -> DataFrame:
+    """(mask, hour): the hours that are seen when a run of so many, around the clock from each hour, is missing."""
+    rows = [(f"block{n}_{s}", h) for n in sizes for s in range(hours) for h in range(hours) if (h - s) % hours >= n]
+    return spark.createDataFrame(rows, "mask string, hour int")
+
+
+def prefix_masks(spark, lengths: tuple[int, ...], hours: int = 24) -> DataFrame:
+    """(mask, hour): the first hours of a day."""
+    return spark.createDataFrame([(f"prefix{n}", h) for n in lengths for h in range(min(n, hours))], "mask string, hour int")
+
+
+def masked(samples: DataFrame, masks: DataFrame, hour: str = "hour") -> DataFrame:
+    """samples under every mask, without the hours that it hides; masks are few."""
+    return samples.join(F.broadcast(masks.withColumnRenamed("hour", hour)), hour)
+
+
+def missing_shares(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Share of null values of each column."""
+    return df.groupBy(*(by or [])).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+
+
+def ratio_table(df: DataFrame, row: str, column: str, value: str, levels: tuple) -> DataFrame:
+    """Mean value by row, of the second of two levels of a column over that of the first."""
+    first, second = (F.avg(F.when(F.col(column) == v, F.col(value))) for v in levels)
+    return df.groupBy(row).agg((second / first).alias("ratio"))

@@ -62,6 +62,30 @@ PROBLEMS: dict[str, Problem] = {
 }
 
 
+#: Pairs of laws for the estimator battery, families beyond the library, and open laws.
+BATTERY: dict[str, Problem] = {
+    "sign": Problem(("-x1", "x1")),
+    "bend": Problem(("x1*x1 + x1", "x1*x1 - x1")),
+    "cubic": Problem(("0.5*x1*x1*x1 - x1", "0.25*x1*x1*x1")),
+    "wave": Problem(("sin(2*x1)", "sin(2*x1 + 0.8)")),
+}
+FAMILIES: dict[str, Problem] = {
+    "steps": Problem(("IF(x1 > 0, 1, 0)", "IF(x1 > 0.7, 1, 0)")),
+    "hinges": Problem(("greatest(x1, 0)", "greatest(x1 - 0.5, 0)")),
+    "decays": Problem(("exp(-x1)", "exp(-1.6*x1)"), lo=0.0, hi=3.0),
+    "saturations": Problem(("x1/(1 + x1)", "x1/(2 + x1)"), lo=0.0, hi=5.0),
+    "powers": Problem(("pow(x1, 1.5)", "pow(x1, 1.8)"), lo=0.0, hi=2.0),
+    "logistics": Problem(("1/(1 + exp(-2*x1))", "1/(1 + exp(-4*x1))")),
+}
+OPEN_LAWS: dict[str, Problem] = {
+    "chirp": PROBLEMS["chirp"],
+    "damped": PROBLEMS["damping"],
+    "am_sine": Problem(("(1 + 0.5*sin(x1))*sin(4*x1)", "(1 + 0.9*sin(x1))*sin(4*x1)"), lo=0.0, hi=6.0),
+    "lorentzian": PROBLEMS["lorentzian"],
+}
+MIXTURE = {"quadratic": "0.8*x1*x1", "sine": "2*sin(2*x1)", "cubic": "0.5*x1*x1*x1 - x1"}
+
+
 def windows(spark: SparkSession, problem: Problem, count: int, n: int, sigma: float, seed: int = 11, kind: str = "gaussian") -> DataFrame:
     """(window_id, t, x1[, x2], label, y). Inputs and labels do not depend on sigma or the noise."""
     rows = spark.range(count * n).select(F.floor(F.col("id") / n).alias("window_id"), (F.col("id") % n).cast("int").alias("t"))
@@ -111,8 +135,107 @@ def ar1(rows: DataFrame, key: str, order: str, phi: float, seed: int) -> DataFra
 
 
 def markov_states(spark: SparkSession, length: int, mean: float, seed: int = 3) -> DataFrame:
-    """(t, state): two states that switch with chance 1 / mean."""
+    """(t, state): two states that switch with chance 1 / mean. Switches are counted within stretches, and stretches before them by their sums."""
     from pyspark.sql import Window
 
-    rows = spark.range(length).withColumnRenamed("id", "t").withColumn("_s", (uniform(seed, 9, "t") < 1 / mean).cast("int"))
-    return rows.select("t", (F.sum("_s").over(Window.orderBy("t")) % 2).cast("int").alias("state"))
+    stretch = 1 << 16
+    rows = spark.range(length).withColumnRenamed("id", "t").withColumn("_s", (uniform(seed, 9, "t") < 1 / mean).cast("int")).withColumn("_p", F.floor(F.col("t") / stretch))
+    sums = rows.groupBy("_p").agg(F.sum("_s").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each stretch
+    own = F.sum("_s").over(Window.partitionBy("_p").orderBy("t"))
+    return rows.join(F.broadcast(sums.select("_p", "_b")), "_p").select("t", ((own + F.col("_b")) % 2).cast("int").alias("state"))
+
+
+def realised_rho(spark: SparkSession, problem: Problem, sigma: float) -> float:
+    """The separation of the closest pair at a noise."""
+    return closest_gap(spark, problem) / sigma**2
+
+
+def with_geometry(rows: DataFrame, error: float = 0.41, seed: int = 13) -> DataFrame:
+    """rows with z1, z2: a point for each window that says little of its label: two normals so far apart that guessing by them errs by `error`."""
+    from ..functions.special import q_inverse
+
+    far = q_inverse(error)
+    z1 = normal(seed, 400, "window_id") + (2 * F.col("label") - 1) * far
+    return rows.withColumn("z1", z1).withColumn("z2", normal(seed, 410, "window_id"))
+
+
+def mixture(spark: SparkSession, regimes: list[str], rows: int, per_window: int = 1, sigma: float = 0.6, shares: list[float] | None = None, extra: int = 0, seed: int = 11) -> DataFrame:
+    """(window_id, t, x1.., z1, z2, label, y): a mixture of laws written as "0.5*quadratic + 2*sine". shares: of regimes, even if
+    not given; extra: inputs that no law uses; z: a point near the regime's centre."""
+    laws = [parse_mixture(r, MIXTURE) for r in regimes]
+    shares = shares or [1 / len(laws)] * len(laws)
+    out = spark.range(rows * per_window).select(F.floor(F.col("id") / per_window).alias("window_id"), (F.col("id") % per_window).cast("int").alias("t"))
+    u, label, edge = uniform(seed, 7, "window_id"), F.lit(len(laws) - 1), sum(shares[:-1])
+    for k in range(len(laws) - 2, -1, -1):
+        label = F.when(u < edge, k).otherwise(label)
+        edge -= shares[k]
+    out = out.withColumn("label", label.cast("int"))
+    for d in range(1 + extra):
+        out = out.withColumn(f"x{d + 1}", uniform(seed, 100 + d, "window_id", "t") * 4.4 - 2.2)
+    out = out.withColumn("z1", F.cos(F.col("label") * (2 * math.pi / len(laws))) * 1.2 + 0.6 * normal(seed, 420, "window_id"))
+    out = out.withColumn("z2", F.sin(F.col("label") * (2 * math.pi / len(laws))) * 1.2 + 0.6 * normal(seed, 430, "window_id"))
+    mean = F.element_at(F.array(*[F.expr(e).cast("double") for e in laws]), F.col("label") + 1)
+    return out.withColumn("y", mean + sigma * normal(seed, 200, "window_id", "t"))
+
+
+def nested_families(spark: SparkSession, count: int, n: int, sigma: float, by: str = "per_window", groups: int = 8, seed: int = 11) -> DataFrame:
+    """x1, or x1 and a bend s * x1^2; the covariate s is uniform for each window, or each group of windows."""
+    p = Problem(("x1", "x1"))
+    rows = windows(spark, p, count, n, 0.0, seed).withColumn("group_id", F.col("window_id") % groups)
+    s = uniform(seed, 21, "window_id") if by == "per_window" else uniform(seed, 21, "group_id")
+    rows = rows.withColumn("s", s)
+    return rows.withColumn("y", F.col("x1") + F.when(F.col("label") == 1, F.col("s") * F.col("x1") * F.col("x1")).otherwise(0.0) + sigma * normal(seed, 200, "window_id", "t"))
+
+
+def null_or_signal(spark: SparkSession, count: int, n: int, sigma: float, disturbance: str = "none", seed: int = 11) -> DataFrame:
+    """Noise alone (label 0) or a law 2 sin 2x (label 1), under a disturbance of both: none, offset, slope or wave."""
+    extra = {"none": F.lit(0.0), "offset": F.lit(1.5), "slope": F.col("x1"), "wave": F.sin(5 * F.col("x1"))}[disturbance]
+    rows = windows(spark, Problem(("0", "2*sin(2*x1)")), count, n, sigma, seed)
+    return rows.withColumn("y", F.col("y") + extra * (uniform(seed, 23, "window_id") - 0.5))
+
+
+def rescaled(spark: SparkSession, count: int, n: int, sigma: float, scale: float = 1.5, memory: float = 0.6, seed: int = 11) -> DataFrame:
+    """A base law, the same scaled, another law, and the base with memory: an exponential mean of it over the window's order."""
+    rows = windows(spark, Problem(("x1*x1", f"{scale}*x1*x1", "2*sin(x1)", "x1*x1")), count, n, 0.0, seed).withColumnRenamed("y", "_m")
+    lists = rows.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("t", "_m"))).alias("_s"))
+    start = F.array(F.struct(F.col("_s")[0]["t"].alias("t"), F.col("_s")[0]["_m"].alias("e"))).cast("array<struct<t:int,e:double>>")
+    step = lambda acc, s: F.concat(acc, F.array(F.struct(s["t"].alias("t"), (memory * F.element_at(acc, -1)["e"] + (1 - memory) * s["_m"]).alias("e"))))
+    slow = lists.select("window_id", F.inline(F.aggregate(F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))), start, step)))
+    out = rows.join(slow, ["window_id", "t"])
+    return out.withColumn("y", F.when(F.col("label") == 3, F.col("e")).otherwise(F.col("_m")) + sigma * normal(seed, 200, "window_id", "t")).drop("_m", "e")
+
+
+def stream(spark: SparkSession, count: int, n: int, sigma: float, newcomer_at: int | None = None, drift: float = 0.0, seed: int = 11) -> DataFrame:
+    """Windows of x^2 + x and x^2 - x in the order of window_id; from newcomer_at on also of x^2 + 6 sin 2x, and both slopes turn by `drift` a window."""
+    laws = ("x1*x1 + x1", "x1*x1 - x1", "x1*x1 + 6*sin(2*x1)")
+    rows = windows(spark, Problem(laws), count, n, 0.0, seed)
+    u = uniform(seed, 31, "window_id")
+    late = F.lit(False) if newcomer_at is None else F.col("window_id") >= newcomer_at
+    rows = rows.withColumn("label", F.when(late & (u < 1 / 3), 2).otherwise((uniform(seed, 32, "window_id") < 0.5).cast("int")))
+    slope = F.when(F.col("label") == 0, 1.0).otherwise(-1.0) * (1 + drift * F.col("window_id"))
+    mean = F.col("x1") * F.col("x1") + F.when(F.col("label") == 2, 6 * F.sin(2 * F.col("x1"))).otherwise(slope * F.col("x1"))
+    return rows.withColumn("y", mean + sigma * normal(seed, 200, "window_id", "t"))
+
+
+def high_frequency_stream(spark: SparkSession, count: int, n: int, sigma: float, onset: int, seed: int = 11) -> DataFrame:
+    """Windows of sin 5x until the onset, of sin 6x for half of those after it."""
+    rows = windows(spark, PROBLEMS["high_frequency"], count, n, 0.0, seed)
+    rows = rows.withColumn("label", F.when(F.col("window_id") < onset, 0).otherwise(F.col("label")))
+    return rows.withColumn("y", F.sin(F.when(F.col("label") == 0, 5).otherwise(6) * F.col("x1")) + sigma * normal(seed, 200, "window_id", "t"))
+
+
+def shared_component(spark: SparkSession, count: int, n: int, sigma: float, strength: float, shared: str = "x1*x1", gap: str = "2*x1", seed: int = 11) -> DataFrame:
+    """y = strength * shared + (label - 1/2) * gap + noise."""
+    rows = windows(spark, Problem(("0", "0")), count, n, 0.0, seed)
+    return rows.withColumn("y", strength * F.expr(shared) + (F.col("label") - 0.5) * F.expr(gap) + sigma * normal(seed, 200, "window_id", "t"))
+
+
+def training_and_test(spark: SparkSession, m: int, test: int, n: int, sigma: float, p: int = 3, design: str = "random", seed: int = 11) -> DataFrame:
+    """m training windows a class and `test` others (column training), of laws that differ in the first of p powers of x; inputs are
+    drawn anew for each window ("random"), or the same in all ("fixed")."""
+    rows = windows(spark, Problem(("0", "0")), 2 * m + test, n, 0.0, seed)
+    if design == "fixed":
+        rows = rows.withColumn("x1", uniform(seed, 100, "t") * 4 - 2)
+    rows = rows.withColumn("training", F.col("window_id") < 2 * m).withColumn("label", F.when(F.col("training"), (F.col("window_id") % 2).cast("int")).otherwise(F.col("label")))
+    shared = sum((F.pow(F.col("x1"), F.lit(float(k))) for k in range(2, p + 1)), F.lit(0.0))
+    return rows.withColumn("y", shared + (F.col("label") * 2 - 1) * F.col("x1") + sigma * normal(seed, 200, "window_id", "t"))
