@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import golden
@@ -249,8 +249,9 @@ def fuzzy_cmeans(features: DataFrame, k: int, m: float = 2.0, max_iter: int = 10
                     u = memberships(x, now) ** m
                     yield pd.DataFrame({"k": range(k), "w": u.sum(0), "x": list(u.T @ x)})
 
-        got = rows.mapInPandas(run, "k int, w double, x array<double>").collect()  # k rows for each batch of windows
-        new = np.array([sum(np.array(r["x"]) for r in got if r["k"] == j) / sum(r["w"] for r in got if r["k"] == j) for j in range(k)])
+        parts = rows.mapInPandas(run, "k int, w double, x array<double>")
+        got = parts.groupBy("k").agg(F.sum("w").alias("w"), *[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(some.shape[1])]).orderBy("k").collect()
+        new = np.array([[r[f"x{i}"] / r["w"] for i in range(some.shape[1])] for r in got])
         moved, c = float(np.abs(new - c).max()), new
         if moved < tol:
             break
@@ -267,6 +268,7 @@ def student_t_em(samples: DataFrame, columns: list, y: str, start: LawFit, max_i
     """Mixture of laws with Student-t noise; each round reads the samples once. columns: the basis. Windows are by window_id."""
     k, p = len(start.coef), len(columns)
     rows = samples.select("window_id", F.col(y).cast("double").alias("_y"), F.array(*[c.cast("double") for _, c in columns]).alias("_b"))
+    rows = rows.repartition("window_id").cache()  # partitioned once; a round's groups need no shuffle
     fit, nus, last, history = start, np.full(k, nu), None, []
     for it in range(max_iter):
         held = (fit, nus.copy())
@@ -312,3 +314,236 @@ def student_t_em(samples: DataFrame, columns: list, y: str, start: LawFit, max_i
         last = ll
     assert fit.coef.shape[1] == p
     return LawFit(fit.coef, fit.sigma, fit.weights, history), nus
+
+
+def standardise(features: DataFrame, dims: int, column: str = "s") -> DataFrame:
+    """Features less their mean, over their population standard deviation (1 where there is none)."""
+    m = features.agg(*[F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(dims)], *[F.stddev_pop(F.col(column)[i]).alias(f"s{i}") for i in range(dims)]).first()
+    return features.withColumn(column, F.array(*[(F.col(column)[i] - float(m[f"m{i}"])) / (float(m[f"s{i}"]) or 1.0) for i in range(dims)]))
+
+
+def _summary(features: DataFrame, column: str, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of features in at most `most` cells: (weights, means). Cells are those of K-means centres, so all rows count."""
+    rows = features.select("window_id", array_to_vector(column).alias("features")).cache()
+    n = rows.count()
+    if n <= most:
+        x = np.array([r["features"].toArray() for r in rows.orderBy("window_id").collect()])  # at most `most` rows
+        return np.ones(len(x)), x
+    model = KMeans(k=most, seed=seed, maxIter=5).fit(rows)
+    size = {r["prediction"]: r["count"] for r in model.transform(rows).groupBy("prediction").count().collect()}
+    centres = np.array(model.clusterCenters())
+    return np.array([size.get(i, 0) for i in range(len(centres))], float), centres
+
+
+def _by_nearest(features: DataFrame, column: str, centres: np.ndarray, group: np.ndarray) -> DataFrame:
+    """(window_id, label): the group of the nearest of a bounded number of centres."""
+    kind = dict(features.dtypes)["window_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf[column].to_numpy()) if len(pdf) else np.zeros((0, centres.shape[1]))
+            near = ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
+            yield pd.DataFrame({"window_id": pdf["window_id"], "label": group[near].astype("int32")})
+
+    return features.select("window_id", column).mapInPandas(run, f"window_id {kind}, label int")
+
+
+def ward(features: DataFrame, k: int, column: str = "s", most: int = 1000, seed: int = 0) -> DataFrame:
+    """Agglomeration by least growth of the sum of squares. Up to `most` windows join one by one; of more, the cells of K-means centres,
+    with their weights, and a window follows its centre."""
+    w, x = _summary(features, column, most, seed)
+    alive, group = list(range(len(x))), np.arange(len(x))
+    w, mean = w.copy(), x.copy()
+    d = ((mean[:, None] - mean) ** 2).sum(-1) * (w[:, None] * w / np.maximum(w[:, None] + w, 1e-300))
+    np.fill_diagonal(d, np.inf)
+    for _ in range(len(x) - k):
+        i, j = np.unravel_index(int(d.argmin()), d.shape)
+        mean[i] = (w[i] * mean[i] + w[j] * mean[j]) / max(w[i] + w[j], 1e-300)
+        w[i] += w[j]
+        group[group == j] = i
+        alive.remove(j)
+        d[j], d[:, j] = np.inf, np.inf
+        row = ((mean - mean[i]) ** 2).sum(-1) * (w * w[i] / np.maximum(w + w[i], 1e-300))
+        row[[a for a in range(len(x)) if a not in set(alive)]] = np.inf
+        row[i] = np.inf
+        d[i], d[:, i] = row, row
+    order = {a: n for n, a in enumerate(sorted(alive))}
+    return _by_nearest(features, column, x, np.array([order[g] for g in group]))
+
+
+def spectral(features: DataFrame, k: int, gamma: float | None = None, column: str = "s", most: int = 1000, seed: int = 0) -> DataFrame:
+    """K-means of the leading eigenvectors of the normalised radial affinity, of up to `most` windows or weighted cells of all."""
+    w, x = _summary(features, column, most, seed)
+    d2 = ((x[:, None] - x) ** 2).sum(-1)
+    gamma = 1 / max(float(np.median(d2[d2 > 0])), 1e-300) if gamma is None and (d2 > 0).any() else gamma or 1.0
+    a = np.exp(-gamma * d2) * np.sqrt(w[:, None] * w)
+    deg = np.sqrt(np.maximum(a.sum(1), 1e-300))
+    vec = np.linalg.eigh(a / deg[:, None] / deg)[1][:, -k:]
+    rows = vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-300)
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(10):
+        c = rows[rng.choice(len(rows), k, replace=False)]
+        for _ in range(100):
+            near = ((rows[:, None] - c) ** 2).sum(-1).argmin(1)
+            new = np.array([np.average(rows[near == j], axis=0, weights=w[near == j] + 1e-300) if (near == j).any() else c[j] for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        cost = float((((rows - c[near]) ** 2).sum(-1) * w).sum())
+        if best is None or cost < best[0]:
+            best = (cost, near)
+    return _by_nearest(features, column, x, best[1])
+
+
+def birch(features: DataFrame, k: int, threshold: float = 0.5, branching: int = 200, column: str = "s") -> DataFrame:
+    """Clustering features: each batch gathers its windows in balls of a radius of at most `threshold` (doubled where there would be more
+    than `branching`), given by weight, sum and sum of squares; balls of all batches are gathered the same way and their means agglomerated."""
+    kind_sum = "w double, m array<double>, q double"
+
+    def gather(w: np.ndarray, m: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        radius = threshold
+        while True:
+            cw, cm, cq, full = [], [], [], False
+            for a, b, c in zip(w, m, q, strict=True):
+                if cw:
+                    tw, tm, tq = np.array(cw) + a, np.array(cm) + b, np.array(cq) + c
+                    r2 = np.maximum(tq / tw - ((tm / tw[:, None]) ** 2).sum(1), 0)
+                    i = int(((np.array(cm) / np.array(cw)[:, None] - b / a) ** 2).sum(1).argmin())
+                    if r2[i] <= radius**2:
+                        cw[i], cm[i], cq[i] = cw[i] + a, cm[i] + b, cq[i] + c
+                        continue
+                cw.append(a)
+                cm.append(b)
+                cq.append(c)
+                full = len(cw) > branching
+                if full:
+                    break
+            if not full:
+                return np.array(cw), np.array(cm), np.array(cq)
+            radius *= 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf[column].to_numpy())
+                w, m, q = gather(np.ones(len(x)), x, (x**2).sum(1))
+                yield pd.DataFrame({"w": w, "m": list(m), "q": q})
+
+    got = features.select(column).mapInPandas(run, kind_sum).orderBy("w", F.col("m").cast("string")).collect()  # at most `branching` for each batch
+    w, m, q = gather(np.array([r["w"] for r in got]), np.array([r["m"] for r in got]), np.array([r["q"] for r in got]))
+    x, group, weight = m / w[:, None], np.arange(len(w)), w.copy()
+    mean = x.copy()
+    while len(set(group.tolist())) > k:
+        live = sorted(set(group.tolist()))
+        d = ((mean[live][:, None] - mean[live]) ** 2).sum(-1) * (weight[live][:, None] * weight[live] / (weight[live][:, None] + weight[live]))
+        np.fill_diagonal(d, np.inf)
+        i, j = (live[z] for z in np.unravel_index(int(d.argmin()), d.shape))
+        mean[i] = (weight[i] * mean[i] + weight[j] * mean[j]) / (weight[i] + weight[j])
+        weight[i] += weight[j]
+        group[group == j] = i
+    order = {g: n for n, g in enumerate(sorted(set(group.tolist())))}
+    return _by_nearest(features, column, x, np.array([order[g] for g in group]))
+
+
+def bayesian_gmm(features: DataFrame, k: int, dims: int, column: str = "s", max_iter: int = 60, tol: float = 1e-4, prior: float | None = None, seed: int = 0) -> DataFrame:
+    """Variational mixture of normals of full covariance: a Dirichlet prior on weights and normal-Wishart ones on components, so that
+    needless components lose their weight. Each round is one pass that sums responsibilities, first and second moments."""
+    rows = features.select("window_id", F.col(column).alias("s")).cache()
+    x = [F.col("s")[i] for i in range(dims)]
+    r = rows.agg(F.count("*").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)]).first()
+    m0 = np.array([r[f"m{i}"] for i in range(dims)])
+    w0 = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(dims)] for i in range(dims)]) + 1e-6 * np.eye(dims)
+    a0, b0, nu0 = prior or 1 / k, 1.0, float(dims)
+    some = np.array([z["s"] for z in rows.orderBy(F.xxhash64("window_id", F.lit(seed))).limit(50 * k).collect()])
+    picked = [0]
+    while len(picked) < min(k, len(some)):
+        picked.append(int(((some[:, None] - some[picked]) ** 2).sum(-1).min(1).argmax()))
+    mean = some[picked]
+    alpha, beta, nu, scale = np.full(k, r["n"] / k), np.full(k, b0 + r["n"] / k), np.full(k, nu0 + r["n"] / k), np.array([w0 * (nu0 + r["n"] / k) for _ in range(k)])
+
+    def digamma(v: float) -> float:
+        out = 0.0
+        while v < 6:
+            out -= 1 / v
+            v += 1
+        return out + math.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4)
+
+    def log_resp(z: np.ndarray, state: tuple) -> np.ndarray:
+        alpha, beta, nu, mean, scale = state
+        out = np.empty((len(z), k))
+        for j in range(k):
+            inv = np.linalg.inv(scale[j])
+            det = sum(digamma((nu[j] - i) / 2) for i in range(dims)) + dims * math.log(2) - np.linalg.slogdet(scale[j])[1]
+            d = z - mean[j]
+            out[:, j] = digamma(alpha[j]) - digamma(alpha.sum()) + 0.5 * det - 0.5 * (dims / beta[j] + nu[j] * np.einsum("wi,ij,wj->w", d, inv, d))
+        return out
+
+    last = None
+    for _ in range(max_iter):
+        state = (alpha, beta, nu, mean, scale)
+
+        def run(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    z = np.stack(pdf["s"].to_numpy())
+                    p = _softmax(log_resp(z, state))
+                    yield pd.DataFrame({"k": range(k), "w": p.sum(0), "x": list(p.T @ z), "xx": [((z.T * p[:, j]) @ z).ravel() for j in range(k)]})
+
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(pdf["k"].iloc[0], pdf["w"].sum(), np.sum(list(pdf["x"]), 0), np.sum(list(pdf["xx"]), 0))], columns=["k", "w", "x", "xx"])
+
+        kinds = "k int, w double, x array<double>, xx array<double>"
+        got = sorted(rows.mapInPandas(run, kinds).groupBy("k").applyInPandas(total, kinds).collect(), key=lambda z: z["k"])
+        n = np.maximum(np.array([g["w"] for g in got]), 1e-10)
+        centre = np.array([g["x"] for g in got]) / n[:, None]
+        alpha, beta, nu = a0 + n, b0 + n, nu0 + n
+        mean = (b0 * m0 + n[:, None] * centre) / beta[:, None]
+        scale = np.array([w0 * nu0 + np.array(g["xx"]).reshape(dims, dims) - n[j] * np.outer(centre[j], centre[j]) + b0 * n[j] / (b0 + n[j]) * np.outer(centre[j] - m0, centre[j] - m0) for j, g in enumerate(got)])
+        if last is not None and np.abs(n - last).max() <= tol * r["n"]:
+            break
+        last = n
+    state = (alpha, beta, nu, mean, scale)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = np.stack(pdf["s"].to_numpy()) if len(pdf) else np.zeros((0, dims))
+            yield pd.DataFrame({"window_id": pdf["window_id"], "label": log_resp(z, state).argmax(1).astype("int32")})
+
+    return rows.mapInPandas(label, f"window_id {dict(features.dtypes)['window_id']}, label int")
+
+
+def geometry_baselines(features: DataFrame, k: int, dims: int, column: str = "s") -> dict[str, DataFrame]:
+    """(window_id, label) by each of seven ways on standardised features."""
+    z = standardise(features, dims, column).cache()
+    return {
+        "kmeans": kmeans(z, k, column=column), "fuzzy": fuzzy_cmeans(z, k, column=column)[1].select("window_id", "label"), "gmm": gmm(z, k, column=column),
+        "bayesian_gmm": bayesian_gmm(z, k, dims, column), "birch": birch(z, k, column=column), "spectral": spectral(z, k, column=column), "ward": ward(z, k, column),
+    }
+
+
+def periodogram(samples: DataFrame, frequencies: list[float], x: str = "x", y: str = "y", key: str = "window_id") -> DataFrame:
+    """(key, power): of each window at each frequency, the share of its centred sum of squares that a sine and cosine with a phase that
+    makes them orthogonal explain; sums of all frequencies in one pass."""
+    centred = samples.select(key, F.col(x).alias("_x"), (F.col(y) - F.avg(y).over(Window.partitionBy(key))).alias("_y"))
+    sums = [F.sum(F.col("_y") * F.col("_y")).alias("yy")]
+    for i, f in enumerate(frequencies):
+        c, s = F.cos(F.col("_x") * f), F.sin(F.col("_x") * f)
+        sums += [F.sum(F.col("_y") * c).alias(f"c{i}"), F.sum(F.col("_y") * s).alias(f"s{i}"), F.sum(c * c).alias(f"cc{i}"), F.sum(s * s).alias(f"ss{i}"), F.sum(c * s).alias(f"cs{i}")]
+    agg, each = centred.groupBy(key).agg(*sums), []
+    for i in range(len(frequencies)):
+        c, s, cc, ss, cs = (F.col(f"{n}{i}") for n in ("c", "s", "cc", "ss", "cs"))
+        tau = F.atan2(2 * cs, cc - ss) / 2
+        a, b = c * F.cos(tau) + s * F.sin(tau), s * F.cos(tau) - c * F.sin(tau)
+        aa = cc * F.pow(F.cos(tau), F.lit(2.0)) + 2 * cs * F.cos(tau) * F.sin(tau) + ss * F.pow(F.sin(tau), F.lit(2.0))
+        bb = cc + ss - aa
+        each.append((F.when(aa > 1e-12, a * a / aa).otherwise(0.0) + F.when(bb > 1e-12, b * b / bb).otherwise(0.0)) / F.greatest(F.col("yy"), F.lit(1e-300)))
+    return agg.select(key, F.array(*each).alias("power"))
+
+
+def periodogram_kmeans(samples: DataFrame, k: int, frequencies: list[float], peaks: bool = False, **kw) -> DataFrame:
+    """K-means of periodograms, or of the frequency of their highest peak."""
+    p = periodogram(samples, frequencies, **kw)
+    if peaks:
+        at = F.array_position("power", F.array_max("power")).cast("int")
+        p = p.select("window_id", F.array(F.element_at(F.array(*[F.lit(float(f)) for f in frequencies]), at)).alias("power"))
+    return kmeans(p, k, column="power")

@@ -113,6 +113,147 @@ def fitted_frequency(samples: DataFrame, column: str, y: str = "y", grid: np.nda
     return best[1] or plain
 
 
+def refined_frequency(samples: DataFrame, column: str, y: str = "y", grid: np.ndarray | None = None, most: float = 0.8, rounds: int = 3, **kw) -> Law:
+    """fitted_frequency() with its frequency narrowed down by ever finer grids around the best, each one pass, and its terms pruned one by
+    one while BIC falls. Where the plain library explains more than `most` of the centred sum of squares, no frequency is tried."""
+    base, one = library([column], **kw), samples.withColumn("_all", F.lit(0))
+    n, g, a, yy, _ = pooled(window_stats(one, base, y, ["_all"]))[0]
+    plain = greedy_law(n, g, a, yy, base)
+    left = yy - 2 * a @ plain.coef + plain.coef @ g @ plain.coef
+    if 1 - left / max(yy - a[0] ** 2 / n, 1e-300) > most:
+        return plain
+    law = fitted_frequency(samples, column, y, grid, **kw)
+    found = [i for i, (name, _) in enumerate(law.basis) if name.startswith("sin(") and "*" in name and name != f"sin(2*{column})"]
+    if not found or len(law.basis) == len(base):
+        return law
+    freq, step, x = float(law.basis[-2][0][4:].split("*")[0]), 0.05, F.col(column)
+    rest = law.basis[:-2]
+    for _ in range(rounds):
+        tries = [freq + step * (i - 5) / 5 for i in range(11) if freq + step * (i - 5) / 5 > 0]
+        wide = [*rest, *[w for f in tries for w in ((f"s{f}", F.sin(x * f)), (f"c{f}", F.cos(x * f)))]]
+        _, gw, aw, yw, _ = pooled(window_stats(one, wide, y, ["_all"]))[0]
+        costs = []
+        for i in range(len(tries)):
+            c = [*range(len(rest)), len(rest) + 2 * i, len(rest) + 2 * i + 1]
+            v = solve(gw[np.ix_(c, c)], aw[c])
+            costs.append(yw - 2 * aw[c] @ v + v @ gw[np.ix_(c, c)] @ v)
+        freq, step = tries[int(np.argmin(costs))], step / 5
+    basis = [*rest, (f"sin({freq:.6g}*{column})", F.sin(x * freq)), (f"cos({freq:.6g}*{column})", F.cos(x * freq))]
+    m, gw, aw, yw, _ = pooled(window_stats(one, basis, y, ["_all"]))[0]
+
+    def cost(c: list[int]) -> tuple[float, np.ndarray]:
+        v = solve(gw[np.ix_(c, c)], aw[c])
+        return bic(yw - 2 * aw[c] @ v + v @ gw[np.ix_(c, c)] @ v, m, len(c) + 1), v
+
+    keep = list(range(len(basis)))
+    while len(keep) > 1:
+        least, drop = min((cost([k for k in keep if k != d])[0], d) for d in keep if d)
+        if least >= cost(keep)[0]:
+            break
+        keep.remove(drop)
+    total, v = cost(keep)
+    if total >= greedy_path(n, g, a, yy)[-1][1]:
+        return plain
+    return Law([basis[k][0] for k in keep], v, len(keep) + 1, [basis[k] for k in keep])
+
+
+class External:
+    """Adapter to a searching package: it is imported when it is used, and fitted to a bounded sample on the driver.
+
+    fitted(model) -> (expression as SQL of the inputs, complexity)."""
+
+    def __init__(self, package: str, make, fitted, inputs: list[str], rows: int = 5000):
+        self.package, self.make, self.fitted, self.inputs, self.rows = package, make, fitted, inputs, rows
+
+    def fit(self, samples: DataFrame, y: str = "y") -> Law:
+        import importlib
+
+        module = importlib.import_module(self.package)
+        some = samples.select(*self.inputs, y).orderBy(F.xxhash64(*self.inputs, y)).limit(self.rows).toPandas()
+        model = self.make(module)
+        model.fit(some[self.inputs].to_numpy(), some[y].to_numpy())
+        text, size = self.fitted(model)
+        return known_law(text, F.expr(text), size)
+
+
+class Greedy:
+    """The built-in engine: greedy selection, with a fitted frequency if asked."""
+
+    def __init__(self, inputs: list[str], frequency: bool = False, max_terms: int = 5, **kw):
+        self.inputs, self.frequency, self.max_terms, self.kw = inputs, frequency, max_terms, kw
+
+    def fit(self, samples: DataFrame, y: str = "y") -> Law:
+        if self.frequency and len(self.inputs) == 1:
+            return refined_frequency(samples, self.inputs[0], y, **self.kw)
+        return fit_law(samples, self.inputs, y, self.max_terms, **self.kw)
+
+
+def make_engine(name: str, inputs: list[str], **kw):
+    """fast, fast_sin, or an adapter by the name of its package (pysr, dso); an unknown name raises ValueError."""
+    if name in ("fast", "fast_sin"):
+        return Greedy(inputs, name == "fast_sin", **kw)
+    if name == "pysr":
+        return External("pysr", lambda m: m.PySRRegressor(**({"niterations": 40, "deterministic": True, "parallelism": "serial", "random_state": 0} | kw)), lambda model: (str(model.sympy()), float(model.get_best()["complexity"])), inputs)
+    if name == "dso":
+        return External("dso", lambda m: m.DeepSymbolicRegressor(**kw), lambda model: (str(model.program_.sympy_expr), float(len(model.program_.traversal))), inputs)
+    raise ValueError(f"no engine {name!r}")
+
+
+def parametric_laws(samples: DataFrame, by: str, inputs: list[str], form: Callable, start: np.ndarray, bounds: tuple | None = None, y: str = "y", rows: int = 100_000) -> DataFrame:
+    """(by, coef, rss, n, fell_back): a known form fitted to each group by parametric_law(), from at most `rows` of its samples by a hash;
+    where it finds no finite cost the start is kept."""
+    from pyspark.sql import Window
+
+    kind, t0 = dict(samples.dtypes)[by], np.asarray(start, float)
+    few = samples.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(*inputs, y)))).filter(F.col("_r") <= rows).drop("_r")
+
+    def run(pdf):
+        import pandas as pd
+
+        x, v = pdf[inputs].to_numpy(float), pdf[y].to_numpy(float)
+        try:
+            t = parametric_law(x, v, form, t0, bounds)
+            rss_ = float(((v - form(x, t)) ** 2).sum())
+        except (np.linalg.LinAlgError, FloatingPointError, ValueError):
+            rss_ = float("nan")
+        back = not np.isfinite(rss_)
+        if back:
+            t, rss_ = t0, float(((v - form(x, t0)) ** 2).sum())
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "coef": [t], "rss": [rss_], "n": [len(v)], "fell_back": [back]})
+
+    return few.select(by, *inputs, y).groupBy(by).applyInPandas(run, f"{by} {kind}, coef array<double>, rss double, n long, fell_back boolean")
+
+
+def laws_by_window(stats: DataFrame, basis: Basis, max_terms: int = 5, key: str = "window_id") -> DataFrame:
+    """(key, coef, complexity, expression): greedy selection within each window, from its statistics."""
+    import pandas as pd
+
+    names = [n for n, _ in basis]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for n, g, a, yy in zip(pdf["n"], pdf["g"], pdf["a"], pdf["yy"], strict=True):
+                a = np.asarray(a)
+                cols = greedy_path(n, np.asarray(g).reshape(len(a), -1), a, yy, max_terms)[-1][0]
+                v = np.zeros(len(a))
+                g = np.asarray(g).reshape(len(a), -1)
+                v[cols] = solve(g[np.ix_(cols, cols)], a[cols])
+                out.append((v, float(len(cols)), expression(v, names)))
+            yield pd.DataFrame({key: pdf[key], "coef": [o[0] for o in out], "complexity": [o[1] for o in out], "expression": [o[2] for o in out]})
+
+    return stats.select(key, "n", "g", "a", "yy").mapInPandas(run, f"{key} {dict(stats.dtypes)[key]}, coef array<double>, complexity double, expression string")
+
+
+def cubic_mixture(samples: DataFrame, column: str, k: int, y: str = "y", max_iter: int = 30):
+    """The hard loop on cubic polynomials, from K-means of mechanism features."""
+    from ..functions.terms import cubic
+    from .cluster import hard_loop, mechanism_start
+
+    stats = window_stats(samples, cubic(column), y).cache()
+    return hard_loop(stats, mechanism_start(stats, k), max_iter), stats
+
+
 def known_law(name: str, column: Column, complexity: float = 1.0) -> Law:
     return Law([name], np.ones(1), complexity, [(name, column)])
 
