@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import blocks, loops, queries  # noqa: F401  register themselves
+    from . import blocks, loops, queries, series  # noqa: F401  register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
