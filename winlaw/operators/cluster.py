@@ -454,12 +454,9 @@ def bayesian_gmm(features: DataFrame, k: int, dims: int, column: str = "s", max_
     m0 = np.array([r[f"m{i}"] for i in range(dims)])
     w0 = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(dims)] for i in range(dims)]) + 1e-6 * np.eye(dims)
     a0, b0, nu0 = prior or 1 / k, 1.0, float(dims)
-    some = np.array([z["s"] for z in rows.orderBy(F.xxhash64("window_id", F.lit(seed))).limit(50 * k).collect()])
-    picked = [0]
-    while len(picked) < min(k, len(some)):
-        picked.append(int(((some[:, None] - some[picked]) ** 2).sum(-1).min(1).argmax()))
-    mean = some[picked]
-    alpha, beta, nu, scale = np.full(k, r["n"] / k), np.full(k, b0 + r["n"] / k), np.full(k, nu0 + r["n"] / k), np.array([w0 * (nu0 + r["n"] / k) for _ in range(k)])
+    start = np.array(KMeans(k=k, seed=seed).fit(rows.select(array_to_vector("s").alias("features"))).clusterCenters())
+    start = np.concatenate([start, np.tile(m0, (k - len(start), 1))]) if len(start) < k else start
+    state = None
 
     def digamma(v: float) -> float:
         out = 0.0
@@ -480,13 +477,12 @@ def bayesian_gmm(features: DataFrame, k: int, dims: int, column: str = "s", max_
 
     last = None
     for _ in range(max_iter):
-        state = (alpha, beta, nu, mean, scale)
-
         def run(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
                     z = np.stack(pdf["s"].to_numpy())
-                    p = _softmax(log_resp(z, state))
+                    near = ((z[:, None] - start) ** 2).sum(-1).argmin(1)
+                    p = _softmax(log_resp(z, state)) if state is not None else np.eye(k)[near]  # at first each to its nearest centre
                     yield pd.DataFrame({"k": range(k), "w": p.sum(0), "x": list(p.T @ z), "xx": [((z.T * p[:, j]) @ z).ravel() for j in range(k)]})
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -498,11 +494,11 @@ def bayesian_gmm(features: DataFrame, k: int, dims: int, column: str = "s", max_
         centre = np.array([g["x"] for g in got]) / n[:, None]
         alpha, beta, nu = a0 + n, b0 + n, nu0 + n
         mean = (b0 * m0 + n[:, None] * centre) / beta[:, None]
-        scale = np.array([w0 * nu0 + np.array(g["xx"]).reshape(dims, dims) - n[j] * np.outer(centre[j], centre[j]) + b0 * n[j] / (b0 + n[j]) * np.outer(centre[j] - m0, centre[j] - m0) for j, g in enumerate(got)])
+        scale = np.array([w0 + np.array(g["xx"]).reshape(dims, dims) - n[j] * np.outer(centre[j], centre[j]) + b0 * n[j] / (b0 + n[j]) * np.outer(centre[j] - m0, centre[j] - m0) for j, g in enumerate(got)])
+        state = (alpha, beta, nu, mean, scale)
         if last is not None and np.abs(n - last).max() <= tol * r["n"]:
             break
         last = n
-    state = (alpha, beta, nu, mean, scale)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

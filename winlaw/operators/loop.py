@@ -180,7 +180,8 @@ def repair(scored: DataFrame, spec: LoopSpec) -> dict:
         if not givers:
             break
         loss = F.col("cost")[k] - F.element_at("cost", F.col("best") + 1)
-        rows = scored.filter(F.col("best").isin(givers) & ~F.col("window_id").isin(list(moved) or [None])).orderBy(loss, "window_id").select("window_id", "best").limit(spec.min_windows * spec.k).collect()
+        free = ~F.col("window_id").isin(list(moved)) if moved else F.lit(True)
+        rows = scored.filter(F.col("best").isin(givers) & free).orderBy(loss, "window_id").select("window_id", "best").limit(spec.min_windows * spec.k).collect()
         for r in rows:  # a few windows
             if short > 0 and have[r["best"]] > spec.min_windows:
                 moved[r["window_id"]] = k
