@@ -337,3 +337,40 @@ def test_cusum_in_blocks_is_the_plain_recursion():
             break
         plain.append(s.max())
     assert np.allclose(plain, tops)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.25, 1 / 3, 0.5, 1.0])
+@pytest.mark.parametrize("kind", ["even", "odd", "ties", "wide", "infinite", "nan", "tiny"])
+def test_quantile_is_exact_when_narrowed(spark, monkeypatch, kind, p):
+    """Against percentile, with more rows than are looked up on the driver."""
+    monkeypatch.setattr(stats, "FEW_ROWS", 5)
+    monkeypatch.setattr(stats, "BINS", 7)
+    rng = np.random.default_rng(3)
+    v = {
+        "even": rng.normal(size=200),
+        "odd": rng.normal(size=201),
+        "ties": np.round(rng.normal(size=200), 1),
+        "wide": np.concatenate([rng.normal(size=99), [1e308, -1e308]]),
+        "infinite": np.concatenate([rng.normal(size=98), [np.inf, -np.inf]]),
+        "nan": np.concatenate([rng.normal(size=60), [np.nan] * 60]),
+        "tiny": rng.normal(size=50) * 1e-310,
+    }[kind]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(3)
+    want = df.agg(F.percentile("v", F.lit(p))).first()[0]
+    got = stats.quantile(df, F.col("v"), p)
+    assert got == want or math.isnan(got) and math.isnan(want)
+    assert stats.quantile(df.filter("v IS NULL"), F.col("v"), p) is None
+
+
+def test_residual_scale_holds_no_table_of_all_values(spark, monkeypatch):
+    """The residuals of a refit were merged value by value in one task."""
+    rows = [(i % 20, float(i % 7) - 3.0, 0.1 * ((i * 37) % 101)) for i in range(400)]
+    s = spark.createDataFrame(rows, "window_id long, x double, y double")
+    w = stats.window_stats(s, [("x", F.col("x"))]).withColumn("label", (F.col("window_id") % 2).cast("int"))
+    monkeypatch.setattr(stats, "FEW_ROWS", 10)
+    monkeypatch.setattr(F, "percentile", lambda *a: pytest.fail("percentile of all rows"))
+    before = w.storageLevel
+    st = loop.refit(w, loop.LoopSpec(2), 1, 0, None, s, [("x", F.col("x"))])
+    r = np.array([y - st.coef[k % 2][0] * x for k, x, y in rows])
+    assert st.scale == pytest.approx(1.4826 * np.median(np.abs(r - np.median(r))), rel=1e-12)
+    assert w.storageLevel == before

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import LOSSES
-from .stats import rss
+from .stats import quantile, rss
 
 
 def equation_cost(coef: np.ndarray, scale: float) -> Column:
@@ -32,9 +32,13 @@ def sample_costs(samples: DataFrame, predictions: list[Column], loss: str = "squ
 
 
 def residual_scale(samples: DataFrame, residual: Column) -> float:
-    """1.4826 times the median absolute deviation of all assigned residuals; 1e-9 at least."""
-    mid = samples.agg(F.percentile(residual, F.lit(0.5))).first()[0] or 0.0
-    mad = samples.agg(F.percentile(F.abs(residual - mid), F.lit(0.5))).first()[0] or 0.0
+    """1.4826 times the median absolute deviation of all assigned residuals; 1e-9 at least. Residuals are kept while they are read."""
+    r = samples.select(residual.cast("double").alias("_r")).persist()
+    try:
+        mid = quantile(r, F.col("_r"), 0.5) or 0.0
+        mad = quantile(r, F.abs(F.col("_r") - mid), 0.5) or 0.0
+    finally:
+        r.unpersist()
     return max(1.4826 * mad, 1e-9)
 
 

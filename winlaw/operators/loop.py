@@ -104,7 +104,17 @@ def refit(windows: DataFrame, spec: LoopSpec, p: int, d: int, before: State | No
     """State of windows with a column `label`: laws, their folds, centres and covariances, and the shared scale.
 
     A law without windows keeps what it was. The scale is the median absolute deviation of the assigned residuals where there are
-    samples, else their root mean square."""
+    samples, else their root mean square. With samples the windows are kept while they are read: their size is then known to the join."""
+    level = windows.storageLevel
+    if samples is None or level.useMemory or level.useDisk:
+        return _refit(windows, spec, p, d, before, samples, basis, y, fold)
+    try:
+        return _refit(windows.persist(), spec, p, d, before, samples, basis, y, fold)
+    finally:
+        windows.unpersist()
+
+
+def _refit(windows: DataFrame, spec: LoopSpec, p: int, d: int, before: State | None, samples: DataFrame | None, basis: Basis | None, y: str, fold: Column | None) -> State:
     folded = windows.withColumn("_f", (fold if fold is not None else _fold(spec)) if spec.folds else F.lit(0))
     parts = _sums(folded, ["label", "_f"], p)
     zero = (0, 0.0, np.zeros((p, p)), np.zeros(p), 0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from ..functions.terms import Basis
 
 #: Up to so many basis columns the sums are native; beyond, blocks of rows are multiplied in Arrow batches.
 NATIVE_COLUMNS = 10
+#: Among so many rows a quantile is looked up on the driver; more are narrowed down by histograms of so many bins.
+FEW_ROWS, BINS = 50_000, 4096
 
 
 def window_stats(samples: DataFrame, basis: Basis, y: str = "y", keys: list[str] | None = None) -> DataFrame:
@@ -44,6 +47,44 @@ def window_stats(samples: DataFrame, basis: Basis, y: str = "y", keys: list[str]
     return phi.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(total, schema)
 
 
+def _bin(x: Column, lo: float, hi: float) -> Column:
+    """0 to BINS from lo to hi, in the order of x; infinities and NaN have bins of their own."""
+    c = 1.0 if math.isfinite(hi - lo) else 0.25  # so that differences are finite
+    inside = F.floor((x * c - lo * c) / (hi * c - lo * c) * BINS).cast("int") if hi > lo else F.lit(0)
+    return F.when(F.isnan(x), BINS + 2).when(x == math.inf, BINS + 1).when(x == -math.inf, -1).otherwise(inside)
+
+
+def quantile(df: DataFrame, value: Column, p: float) -> float | None:
+    """The exact quantile of all rows, as `percentile` has it (nulls left out, NaN greatest), without a table of all distinct values
+    in one task: rows are counted by bins, and again in the bin of the wanted rank, until it has few. None without rows."""
+    x = F.col("_v")
+    part = df.select(value.cast("double").alias("_v")).filter("_v IS NOT NULL")
+    finite = F.when(F.abs(x) < math.inf, x)
+    n, lo, hi = part.agg(F.count("*"), F.min(finite), F.max(finite)).first()
+    if not n:
+        return None
+    at = (n - 1) * p
+    first, last, before = math.floor(at), math.ceil(at), 0
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    while True:
+        bins = part.groupBy(_bin(x, lo, hi).alias("k")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()  # BINS and a few
+        for b in sorted(bins, key=lambda b: b["k"]):
+            if first < before + b["n"]:
+                break
+            before += b["n"]
+        if last >= before + b["n"]:  # the ranks are side by side, in two bins
+            low, high = b["hi"], min((c for c in bins if c["k"] > b["k"]), key=lambda c: c["k"])["lo"]
+        elif b["lo"] == b["hi"] or math.isnan(b["lo"]):
+            low = high = b["lo"]
+        else:
+            part, lo, hi = part.filter((x >= b["lo"]) & (x <= b["hi"])), b["lo"], b["hi"]
+            if b["n"] > FEW_ROWS:
+                continue
+            own = sorted(r["_v"] for r in part.collect())
+            low, high = own[first - before], own[last - before]
+        return low if low == high or first == last else (last - at) * low + (at - first) * high
+
+
 def profile_level(stats: DataFrame, p: int) -> DataFrame:
     """Statistics with a free level of each window taken out; column 0 of the basis is the constant."""
     g = lambda i, j: F.col("g")[i * p + j]
