@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winlaw.functions import special, terms, theory
-from winlaw.operators import classify, cluster, costs, evaluate, laws, loop, selection, stats
+from winlaw.operators import classify, cluster, costs, evaluate, laws, loop, selection, stats, windowing
 from winlaw.sources import files, generators
 from winlaw.streaming import online
 
@@ -374,3 +374,32 @@ def test_residual_scale_holds_no_table_of_all_values(spark, monkeypatch):
     r = np.array([y - st.coef[k % 2][0] * x for k, x, y in rows])
     assert st.scale == pytest.approx(1.4826 * np.median(np.abs(r - np.median(r))), rel=1e-12)
     assert w.storageLevel == before
+
+
+def test_block_meta_does_not_depend_on_the_order_of_rows(spark):
+    """Blocks of the same rows, in other orders and partitions, are on the same side of every quantile."""
+    rng = np.random.default_rng(1)
+    base = [[(float(q), float(a), float(b)) for q, a, b in zip(rng.integers(1, 51, 80), rng.integers(0, 9, 80) / 100, rng.integers(0, 11, 80) / 100, strict=True)] for _ in range(7)]
+    rows = [(10 * k + copy, *base[k][i]) for copy in range(6) for k in range(7) for i in rng.permutation(80)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(b), *map(float, v)) for b, *v in rows], "block long, ws double, temp double, ws_sd double").repartition(5)
+    got = windowing.block_meta(df, ["block"]).withColumn("k", F.floor(F.col("block") / 10))
+    same = got.groupBy("k").agg(*[F.count_distinct(c).alias(c) for c in ("ws", "temp", "unsteady", "warm", "step")]).collect()
+    assert len(same) == 7 and all(v == 1 for r in same for v in list(r)[1:])
+
+
+def test_exact_means_of_odd_values(spark):
+    """Exact where sums of doubles are not; nulls, infinities, NaN, tiny values and other types as in avg."""
+    a = {1: [1e300, 1.0, -1e300], 2: [0.1] * 10, 3: [None, -5e-324, 5e-324], 4: [math.inf, 1.0], 5: [math.nan, 1.0], 6: [None], 7: [-0.1, 0.3, -1e-9, 1e17], 8: [math.inf, -math.inf], 9: [-1e-17, 0.0]}
+    rows = [(k, v, None if v is None else i) for k, own in a.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "k int, v double, i int").repartition(3)
+    got = {r["k"]: r for r in stats.exact_means(df, ["k"], ["v", "i"]).collect()}
+    for k, own in a.items():
+        seen = [v for v in own if v is not None]
+        want = None if not seen else math.fsum(seen) / len(seen) if all(map(math.isfinite, seen)) else sum(seen) / len(seen)
+        v = got[k]["v"]
+        assert got[k]["n"] == len(own)
+        assert v == want or math.isnan(v) and math.isnan(want) or v == pytest.approx(want, rel=1e-15), (k, v, want)
+    assert got[2]["i"] == 4.5 and got[6]["i"] is None
+    empty = stats.exact_means(df.filter("k = 6"), ["k"], ["v"]).first()
+    assert empty["v"] is None and empty["n"] == 1

@@ -16,6 +16,8 @@ from ..functions.terms import Basis
 NATIVE_COLUMNS = 10
 #: Among so many rows a quantile is looked up on the driver; more are narrowed down by histograms of so many bins.
 FEW_ROWS, BINS = 50_000, 4096
+#: Bits of a value that are summed as one integer; a group can have 2^33 rows.
+LIMB = 30
 
 
 def window_stats(samples: DataFrame, basis: Basis, y: str = "y", keys: list[str] | None = None) -> DataFrame:
@@ -47,6 +49,43 @@ def window_stats(samples: DataFrame, basis: Basis, y: str = "y", keys: list[str]
     return phi.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(total, schema)
 
 
+def exact_means(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, n and the mean of each column, which depends on the group's values alone, not on the order of rows or partitions: a
+    double is cut into integers of LIMB bits, as many as the column's range needs, and their sums are exact. Nulls, NaN and infinities as in avg."""
+    kinds = dict(df.dtypes)
+    floats = [c for c in columns if kinds[c] in ("double", "float")]
+    x = {c: F.col(c).cast("double") for c in floats}
+    finite = {c: F.abs(x[c]) < math.inf for c in floats}
+    ends = df.agg(*[v.alias(f"{name}{c}") for c in floats for name, v in (("lo", F.min(F.when(finite[c] & (x[c] != 0), F.abs(x[c])))), ("hi", F.max(F.when(finite[c], F.abs(x[c])))), ("odd", F.count_if(~finite[c])))]).first() if floats else None
+    rows = df.select(*by, *[F.col(c) for c in columns if c not in floats], *[x[c].alias(c) for c in floats])
+    aggs, means = [F.count("*").alias("n")], {c: F.col(f"_{c}") for c in columns}
+    for i, c in enumerate(columns):
+        if c not in floats:
+            aggs.append(F.avg(c).alias(f"_{c}"))
+            continue
+        lo, hi, odd = (ends[f"{name}{c}"] for name in ("lo", "hi", "odd"))
+        v = F.when(finite[c], F.col(c)) if odd else F.col(c)
+        low = 0 if lo is None else max(math.frexp(lo)[1] - 53, -1074)  # the place of the last bit
+        count = 0 if lo is None else -(-(math.frexp(hi)[1] - low) // LIMB)
+        for k in range(count):
+            rest, unit = v, low + LIMB * (k + 1)
+            if k < count - 1:  # what the higher limbs leave; a value of 53 bits above the unit is a multiple of it
+                rest = v - F.rint(v / math.ldexp(1.0, unit)) * math.ldexp(1.0, unit)
+                rest = F.when(F.abs(v) < math.ldexp(1.0, unit + 53), rest).otherwise(v * 0.0) if unit + 53 < math.frexp(hi)[1] else rest
+            aggs.append(F.coalesce(F.sum(F.rint(rest / math.ldexp(1.0, low + LIMB * k)).cast("long")), F.lit(0)).alias(f"_s{i}_{k}"))
+        aggs += [F.count(c).alias(f"_n{i}"), (F.sum(F.when(~finite[c], F.col(c))) if odd else F.lit(None).cast("double")).alias(f"_x{i}")]
+        total, carry = F.lit(0.0), F.lit(0)
+        parts = []
+        for k in range(count):  # every limb but the highest from 0 to 2^LIMB - 1
+            own = F.col(f"_s{i}_{k}") + carry
+            parts.append(own if k == count - 1 else own.bitwiseAND(F.lit(2**LIMB - 1)))
+            carry = F.shiftright(own, LIMB)
+        for k in reversed(range(count)):
+            total = total + parts[k].cast("double") * math.ldexp(1.0, low + LIMB * k)
+        means[c] = F.when(F.col(f"_n{i}") > 0, F.coalesce(F.col(f"_x{i}"), total) / F.col(f"_n{i}"))
+    return rows.groupBy(*by).agg(*aggs).select(*by, "n", *[means[c].alias(c) for c in columns])
+
+
 def _bin(x: Column, lo: float, hi: float) -> Column:
     """0 to BINS from lo to hi, in the order of x; infinities and NaN have bins of their own."""
     c = 1.0 if math.isfinite(hi - lo) else 0.25  # so that differences are finite
