@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import zlib
 
 import numpy as np
@@ -247,3 +248,79 @@ def test_every_kind_of_plan_occurs():
         kinds |= set(plan)
         assert (vp8l.decode(vp8l.encode(px, **plan)) == px).all()
     assert {"references", "palette", "cross", "cache_bits", "predictor"} <= kinds
+
+
+def _plain_lengths(counts, most=15):
+    """Huffman lengths by a heap; leaves come before joined nodes of the same weight, each kind as it came."""
+    own = [max(int(x), 0) for x in counts]
+    while True:
+        heap = [(w, 0, r, [s]) for r, (w, s) in enumerate(sorted((w, s) for s, w in enumerate(own)))]
+        heapq.heapify(heap)
+        depth, made = [0] * len(own), 0
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            for s in a[3] + b[3]:
+                depth[s] += 1
+            heapq.heappush(heap, (a[0] + b[0], 1, made, a[3] + b[3]))
+            made += 1
+        if max(depth) <= most:
+            return depth
+        top = max(own)
+        own = [(x >> 1) + 1 + (top >> most) for x in own]
+
+
+def test_codes_of_many_are_those_of_each():
+    """Trees joined together, some too deep, some of two symbols, are those that each has alone."""
+    rng = np.random.default_rng(5)
+    fib = [1, 1]
+    while len(fib) < 30:
+        fib.append(fib[-1] + fib[-2])
+    some = [np.array(fib), np.array([7, 7]), np.ones(256, np.int64), np.array(fib[::-1][:22]), np.array([0, 5]), *(rng.integers(1, 60, k) for k in (3, 40, 255, 300))]
+    n = np.array([len(x) for x in some])
+    got = np.split(vp8l.code_lengths(np.concatenate(some), n), n.cumsum()[:-1])
+    for own, counts in zip(got, some, strict=True):
+        assert own.tolist() == _plain_lengths(counts)
+        assert sum(2.0 ** -own) == 1 and own.max() <= 15
+
+
+def test_files_made_together_are_those_of_each():
+    """A group of images of every kind, of one pixel, of one colour, of a symbol beyond the short form and of a wide alphabet."""
+    images, how = [], []
+    for i in range(40):
+        payload = media.padded(np.frombuffer(f"{i} some text of a document ".encode() * (1 + 9 * (i % 7)), np.uint8))
+        images.append(media.to_image(payload))
+        how.append(media.plan(images[-1], payload))
+    run = np.zeros((3, 700, 4), np.uint8)
+    run[0, 1] = 9
+    images += [image(1, 1, 1), np.full((5, 5, 4), 7, np.uint8), run, image(60, 70, 4, 1500), image(9, 9, 2)]
+    how += [{}, {"cache_bits": 3}, {"references": True}, {"cache_bits": 11, "references": True}, {"group_step": 2, "predictor": np.zeros((3, 3), np.uint8)}]
+    files = vp8l.encode_all(images, how)
+    assert files == [vp8l.encode(x, **k) for x, k in zip(images, how, strict=True)]
+    for px, back in zip(images, vp8l.decode_all(files), strict=True):
+        assert (back == px).all()
+    with pytest.raises(vp8l.FormatError):
+        vp8l.decode_all([files[0], files[1][:30], files[2]])
+
+
+def test_code_making_does_not_grow_with_the_files(monkeypatch):
+    """Codes of a group are made, and their tables built, in a round for all: one by one they took most of a small file's time."""
+    rounds = {"made_codes": 0, "prefix_codes": 0, "packed": 0}
+    for name in rounds:
+        def counted(*a, name=name, own=getattr(vp8l, name)):
+            rounds[name] += 1
+            return own(*a)
+        monkeypatch.setattr(vp8l, name, counted)
+    images = [image(8, 16, i) for i in range(50)]
+    back = vp8l.decode_all(vp8l.encode_all(images, [{"references": True}] * 50))
+    assert all((a == b).all() for a, b in zip(images, back, strict=True))
+    assert rounds["made_codes"] == 1 and rounds["packed"] == 1 and rounds["prefix_codes"] <= 2
+
+
+def test_groups_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(media, "GROUP_BYTES", 100)
+    monkeypatch.setattr(media, "GROUP", 4)
+    off = np.array([7, 7, 7, 7, 7, 7, 60, 300, 300, 350, 390, 391])
+    got = list(media.groups(off))
+    assert [i for g in got for i in g] == list(range(11))
+    assert all(len(g) <= 4 and (len(g) == 1 or off[g.stop] - off[g.start] <= 100) for g in got)
+    assert list(media.groups(np.array([0]))) == [] and list(media.groups(np.array([3, 3]))) == [range(0, 1)]

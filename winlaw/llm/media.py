@@ -55,8 +55,12 @@ def _predictor(image: np.ndarray, step: int) -> np.ndarray:
 
 def _factors(image: np.ndarray, step: int) -> np.ndarray:
     """Cross-colour factors of each block by least squares, in 32nds: green to red, then green and red to blue."""
-    r, g, b = (vp8l._signed(image[..., c]).astype(np.int64) for c in range(3))
-    gg, rr, rg, gb, rb = np.moveaxis(_by_block(np.stack([g * g, r * r, r * g, g * b, r * b], -1), step), -1, 0)
+    if max(image.shape[:2]) <= 1 << step:  # one block: whole numbers far below 2^53
+        own = image.reshape(-1, 4)[:, :3].T.astype(np.int8, order="C").astype(np.float64)
+        ((rr, rg, rb), (_, gg, gb), _) = (own @ own.T).astype(np.int64).reshape(3, 3, 1, 1)
+    else:
+        r, g, b = (vp8l._signed(image[..., c]).astype(np.int64) for c in range(3))
+        gg, rr, rg, gb, rb = np.moveaxis(_by_block(np.stack([g * g, r * r, r * g, g * b, r * b], -1), step), -1, 0)
     slope = lambda x, y: np.clip(np.rint(32 * x / np.maximum(y, 1)), -128, 127).astype(np.int8).view(np.uint8)
     out = np.zeros((*gg.shape, 4), np.uint8)
     out[..., 2], out[..., 1], out[..., 0], out[..., 3] = slope(rg, gg), slope(gb, gg), slope(rb, 2 * rr), 255
@@ -95,6 +99,20 @@ def features(image: np.ndarray) -> str:
     return f"{w}x{h}:{bytes((sums.sum(0) // (h * w)).astype(np.uint8)).hex()}:{bytes((sums * BANDS // (h * w)).astype(np.uint8).ravel()).hex()}"
 
 
+#: Documents that are stored together, at most: so many, or of so many bytes (or a single one). Their prefix codes are made and read at once.
+GROUP, GROUP_BYTES = 512, 1 << 21
+
+
+def groups(off: np.ndarray) -> Iterator[range]:
+    """Rows of a batch, whose texts begin and end at `off`, in groups."""
+    at = 0
+    while at < len(off) - 1:
+        stop = int(np.searchsorted(off, off[at] + GROUP_BYTES, side="right")) - 1
+        stop = min(max(stop, at + 1), at + GROUP, len(off) - 1)
+        yield range(at, stop)
+        at = stop
+
+
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -102,7 +120,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     """SCHEMA of every row, and with `with_media` the files: text as UTF-8 -> payload -> file -> pixels read back from the file's bytes.
 
     Null or empty text: a payload of 64 zeros. Equal texts get equal values; repeated rows
-    stay; an empty table gives no rows; other columns are not read. One text at a time is in memory.
+    stay; an empty table gives no rows; other columns are not read. A group of texts at a time is in memory, its pixels as arrays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +128,15 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         for batch in batches:
             data, off = utf8(batch.column(1))
             rows, files = [], []
-            for i in range(batch.num_rows):
-                raw = data[off[i] : off[i + 1]]
-                payload = padded(raw)
-                pixels = to_image(payload)
-                file = vp8l.encode(pixels, **plan(pixels, payload))
-                image = vp8l.decode(file)
-                back = np.ascontiguousarray(image).ravel()[: len(payload)]
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), features(image)))
+            for group in groups(off):
+                payloads = [padded(data[off[i] : off[i + 1]]) for i in group]
+                images = [to_image(x) for x in payloads]
+                made = vp8l.encode_all(images, [plan(x, y) for x, y in zip(images, payloads, strict=True)])
+                for i, payload, file, image in zip(group, payloads, made, vp8l.decode_all(made), strict=True):
+                    back = np.ascontiguousarray(image).ravel()[: len(payload)]
+                    rows.append((int(off[i + 1] - off[i]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), features(image)))
                 if with_media:
-                    files.append(file)
+                    files += made
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))] if rows else [batch.column(0), *(pa.array([], k) for k in kinds)]
             if with_media:

@@ -13,10 +13,15 @@ references. Images of several groups, and very small ones, are read item by item
 
 encode() takes any of the transforms, references, the cache and groups of codes, and works on
 whole arrays too.
+
+Small files cost most by their prefix codes, so those of many files are made and read together:
+a file is written, and read, by a generator that asks for codes, and encode_all() and
+decode_all() answer all that ask at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Generator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -60,31 +65,67 @@ class Bits:
 
 
 class BitWriter:
+    """Collects values, lowest bit first, of up to 63 bits each; packed() makes bytes of them."""
+
     def __init__(self):
-        self.value = self.n = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.few: list[tuple[int, int]] = []  # behind the parts
 
     def put(self, v: int, n: int) -> None:
-        self.value |= v << self.n
-        self.n += n
+        self.few.append((v, n))
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Values of up to 63 bits each, one after another."""
-        if not len(values):
-            return
-        at = np.cumsum(sizes) - sizes + (self.n & 7)
-        end = int(at[-1] + sizes[-1])
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        out = np.zeros((end >> 6) + 2, np.uint64)
-        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
-        spill = np.where(shift > 0, values >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        out[word[first] + 1] |= np.bitwise_or.reduceat(spill, first)
-        raw = int.from_bytes(out.astype("<u8").tobytes()[: (end + 7) >> 3], "little")
-        self.value |= raw << (self.n & ~7)
-        self.n += end - (self.n & 7)
+        self.flush()
+        self.parts.append((values, sizes))
+
+    def flush(self) -> None:
+        if self.few:
+            few = np.array(self.few, np.int64)
+            self.parts.append((few[:, 0], few[:, 1]))
+            self.few = []
 
     def to_bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
+        return packed([self])[0]
+
+
+def packed(writers: list[BitWriter]) -> list[bytes]:
+    """The bytes of each of the writers, which hold something."""
+    for w in writers:
+        w.flush()
+    values = np.concatenate([v for w in writers for v, _ in w.parts]).view(np.uint64)
+    sizes = np.concatenate([n for w in writers for _, n in w.parts])
+    count = np.array([sum(len(v) for v, _ in w.parts) for w in writers])
+    end = sizes.cumsum()
+    stop = end[count.cumsum() - 1]
+    bits = np.diff(stop, prepend=0)
+    words = (bits + 63) >> 6
+    begin = words.cumsum() - words  # each begins with a word of its own
+    at = end - sizes + ((begin << 6) - (stop - bits)).repeat(count)
+    word, shift = at >> 6, (at & 63).view(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros(int(words.sum()) + 2, np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    spill = np.where(shift > 0, values >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+    out[word[first] + 1] |= np.bitwise_or.reduceat(spill, first)
+    raw = out.astype("<u8").tobytes()
+    return [raw[8 * b : 8 * b + ((n + 7) >> 3)] for b, n in zip(begin.tolist(), bits.tolist(), strict=True)]
+
+
+def together(steps: list[Generator], answer: Callable[[list], list]) -> list:
+    """The results of generators that yield lists of questions: all that are asked in a round are answered at once."""
+    out, live, say = [None] * len(steps), list(range(len(steps))), [None] * len(steps)
+    while live:
+        asked = {}
+        for i in live:
+            try:
+                asked[i] = steps[i].send(say[i])
+            except StopIteration as end:
+                out[i] = end.value
+        got = iter(answer([x for own in asked.values() for x in own]) if asked else ())
+        for i, own in asked.items():
+            say[i] = [next(got) for _ in own]
+        live = list(asked)
+    return out
 
 
 # ---- prefix codes
@@ -99,38 +140,13 @@ def _reversal(k: int) -> np.ndarray:
     return out
 
 
-def canonical(lengths: np.ndarray) -> np.ndarray:
-    """The code, its first bit lowest, of each symbol; 0 for those without one."""
-    lengths = np.asarray(lengths, np.int64)
-    most = int(lengths.max(initial=0))
-    if not most:
-        return np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    used = used[np.argsort(lengths[used], kind="stable")]
-    span = 1 << (most - lengths[used])
-    out = np.zeros(len(lengths), np.int64)
-    # reversed over `most` bits a code's first bit is lowest; those beyond its length are 0 at its range's begin
-    out[used] = _reversal(most)[np.cumsum(span) - span]
-    return out
-
-
 class PrefixCode:
-    """Of symbols and their code lengths; a code of a single symbol takes no bits. table: symbol << 4 | length, by the next `most` bits."""
+    """A code of a single symbol (`only`) takes no bits. table: symbol << 4 | length, by the next `most` bits."""
 
-    def __init__(self, symbols: list[int], lengths: list[int]):
-        if not symbols:
-            raise FormatError("a code without symbols")
-        if len(symbols) == 1:
-            self.only, self.most = symbols[0], 0
-            self.table = np.array([self.only << 4], np.int64)
-            return
-        self.only, self.most = None, max(lengths)
-        order = np.sort(np.array(lengths, np.int64) << 12 | np.array(symbols, np.int64))  # by length, then symbol
-        own = order >> 12
-        span = 1 << (self.most - own)
-        if int(span.sum()) != 1 << self.most:
-            raise FormatError("a code isn't complete")
-        self.table = ((order & 4095) << 4 | own).repeat(span)[_reversal(self.most)]
+    __slots__ = ("only", "most", "table")
+
+    def __init__(self, only: int | None, most: int, table: np.ndarray):
+        self.only, self.most, self.table = only, most, table
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -140,32 +156,91 @@ class PrefixCode:
         return entry >> 4
 
 
-@lru_cache(256)
-def _code_of_lengths(x: int) -> list[int]:
-    """The table of a code of code lengths, whose own lengths are 3 bits each."""
-    own = [(s, x >> 3 * i & 7) for i, s in enumerate(CODE_LENGTH_ORDER)]
-    return PrefixCode([s for s, v in own if v], [v for _, v in own if v]).table.tolist()
+@lru_cache(4096)
+def _single(symbol: int) -> PrefixCode:
+    return PrefixCode(symbol, 0, np.array([symbol << 4], np.int64))
+
+
+def prefix_codes(lengths: list[bytes]) -> list[PrefixCode]:
+    """The codes of such code lengths by symbol, two symbols or more each."""
+    if not lengths:
+        return []
+    flat = np.frombuffer(b"".join(lengths), np.uint8)
+    used = flat.nonzero()[0]
+    size = np.array([len(x) for x in lengths])
+    stop = size.cumsum()
+    code = stop.searchsorted(used, side="right")
+    first = code.searchsorted(np.arange(len(size)))
+    own = flat.take(used).astype(np.int64)
+    most = np.maximum.reduceat(own, first)
+    order = np.sort(code << 16 | own << 12 | (used - (stop - size).take(code)))  # by length, then symbol
+    own = order >> 12 & 15
+    span = 1 << (most.take(code) - own)
+    if (np.add.reduceat(span, first) != 1 << most).any():
+        raise FormatError("a code isn't complete")
+    table = ((order & 4095) << 4 | own).repeat(span)
+    out, at = [], 0
+    for k in most.tolist():
+        out.append(PrefixCode(None, k, table[at : at + (1 << k)].take(_reversal(k))))
+        at += 1 << k
+    return out
+
+
+#: Bits of code lengths that are looked up at once, and how many values of them are kept.
+AHEAD, KNOWN = 16, 1 << 15
 
 
-def _read_code(bits: Bits, size: int) -> PrefixCode:
+@lru_cache(8)
+def _code_of_lengths(x: int) -> tuple[list[int], dict[int, tuple[int, bytes, int]]]:
+    """The table of a code of code lengths, whose own lengths are 3 bits each; and what is known of _ahead()."""
+    own = bytearray(len(CODE_LENGTH_ORDER))
+    for i, s in enumerate(CODE_LENGTH_ORDER):
+        own[s] = x >> 3 * i & 7
+    used = [s for s, n in enumerate(own) if n]
+    if not used:
+        raise FormatError("a code without symbols")
+    return (_single(used[0]) if len(used) == 1 else prefix_codes([bytes(own)])[0]).table.tolist(), {}
+
+
+def _ahead(table: list[int], x: int) -> tuple[int, bytes, int]:
+    """What AHEAD bits of code lengths say: how many bits are taken, the lengths, and how many; up to a repeat, which depends on what was before."""
+    used, out, mask = 0, b"", len(table) - 1
+    while True:
+        entry = table[x >> used & mask]
+        s, n = entry >> 4, entry & 15
+        extra = (2, 3, 7)[s - 16] if s >= 16 else 0
+        if s == 16 or not n or used + n + extra > AHEAD:
+            return used, out, len(out)
+        used += n
+        out += bytes((s,)) if s < 16 else bytes((3 if s == 17 else 11) + (x >> used & ((1 << extra) - 1)))
+        used += extra
+
+
+def _read_lengths(bits: Bits, size: int) -> int | bytes:
+    """The code lengths by symbol that the data state; of a code of a single symbol that symbol."""
     a, begin = bits.at >> 3, bits.at & 7
-    x = int.from_bytes(bits.data[a : a + 14 * size // 8 + 16], "little") >> begin  # a length takes 14 bits at most
-    have, used = 8 * (len(bits.data) - a) - begin, 0
+    x = int.from_bytes(bits.data[a : a + 4], "little") >> begin
     if x & 1:
         wide = 8 if x & 4 else 1
-        symbols = [(x >> 3) & ((1 << wide) - 1)]
-        used = 3 + wide
+        symbol, used = (x >> 3) & ((1 << wide) - 1), 3 + wide
+        other = symbol
         if x & 2:
-            symbols.append((x >> used) & 255)
+            other = (x >> used) & 255
             used += 8
-        if max(symbols) >= size:
+        if max(symbol, other) >= size:
             raise FormatError("a symbol beyond the alphabet")
-        bits.read(used)
-        symbols = sorted(set(symbols))
-        return PrefixCode(symbols, [1] * len(symbols))
+        bits.at += used
+        if bits.at > 8 * len(bits.data):
+            raise FormatError("the data end too soon")
+        if symbol == other:
+            return symbol
+        out = bytearray(size)
+        out[symbol] = out[other] = 1
+        return bytes(out)
+    x = int.from_bytes(bits.data[a : a + 16], "little") >> begin
     n = 4 + (x >> 1 & 15)
     used = 5 + 3 * n
-    table = _code_of_lengths(x >> 5 & ((1 << 3 * n) - 1))
+    table, known = _code_of_lengths(x >> 5 & ((1 << 3 * n) - 1))
     x >>= used
     left = size
     if x & 1:
@@ -176,35 +251,56 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
     else:
         x >>= 1
         used += 1
-    mask = len(table) - 1
-    at, last, symbols, lengths = 0, 8, [], []
-    while at < size and left:
+    at, out, got = bits.at + used, bytearray(), 0
+    if left >= size:
+        low, ends = (1 << AHEAD) - 1, 8 * len(bits.data)
+        n = 1
+        while n and at < ends:
+            x = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 64], "little") >> (at & 7)
+            stop = at + 400
+            while at < stop:
+                piece = known.get(x & low)
+                if piece is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    piece = known[x & low] = _ahead(table, x & low)
+                n, some, more = piece
+                if not n or got + more > size:
+                    n = 0
+                    break
+                x >>= n
+                at += n
+                got += more
+                out += some
+    x = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 14 * size // 8 + 16], "little") >> (at & 7)  # a length takes 14 bits at most
+    mask, last = len(table) - 1, next((s for s in reversed(out) if s), 8)
+    while len(out) < size and left:
         left -= 1
         entry = table[x & mask]
         s, n = entry >> 4, entry & 15
         x >>= n
-        used += n
+        at += n
         if s < 16:
-            if s:
-                last = s
-                symbols.append(at)
-                lengths.append(s)
-            at += 1
+            last = s or last
+            out.append(s)
             continue
         extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
         run = least + (x & ((1 << extra) - 1))
         x >>= extra
-        used += extra
-        if at + run > size:
+        at += extra
+        if len(out) + run > size:
             raise FormatError("lengths beyond the alphabet")
-        if s == 16:
-            symbols += range(at, at + run)
-            lengths += [last] * run
-        at += run
-    if used > have:
+        out += bytes((last if s == 16 else 0,)) * run
+    if at > 8 * len(bits.data):
         raise FormatError("the data end too soon")
-    bits.at += used
-    return PrefixCode(symbols, lengths)
+    bits.at = at
+    out += bytes(size - len(out))
+    zeros = out.count(0)
+    if zeros >= size - 1:
+        if zeros == size:
+            raise FormatError("a code without symbols")
+        return size - len(out.lstrip(b"\0"))
+    return bytes(out)
 
 
 def _extra(symbol: int, bits: Bits) -> int:
@@ -258,26 +354,26 @@ def _unpack(argb: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(argb.astype("<u4")).view(np.uint8).reshape(*argb.shape, 4)[..., [2, 1, 0, 3]]
 
 
-def _read_group(bits: Bits, cache_bits: int) -> list[PrefixCode]:
-    sizes = [256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES]
-    return [_read_code(bits, n) for n in sizes]
-
-
-def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """(height, width, 4) of an entropy-coded image; only the main one can have several groups of codes."""
+def _read_image(bits: Bits, width: int, height: int, main: bool) -> Generator[list[bytes], list[PrefixCode], np.ndarray]:
+    """(height, width, 4) of an entropy-coded image; only the main one can have several groups of codes. Asks for prefix_codes()."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise FormatError("a colour cache too large")
     groups, which, step = 1, None, 0
     if main and bits.read(1):
         step = bits.read(3) + 2
-        meta = _read_image(bits, (width + (1 << step) - 1) >> step, (height + (1 << step) - 1) >> step, False)
+        meta = yield from _read_image(bits, (width + (1 << step) - 1) >> step, (height + (1 << step) - 1) >> step, False)
         which = (meta[..., 0].astype(np.int64) << 8) | meta[..., 1]
         groups = int(which.max()) + 1
-    codes = [_read_group(bits, cache_bits) for _ in range(groups)]
-    if all(c.only is not None for c in codes[0][:4]) and groups == 1 and codes[0][0].only < 256:
-        green, red, blue, alpha = (c.only for c in codes[0][:4])
+    sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
+    own = [_read_lengths(bits, n) for _ in range(groups) for n in sizes]
+    if groups == 1 and all(isinstance(x, int) for x in own[:4]) and own[0] < 256:
+        green, red, blue, alpha = own[:4]
         return np.broadcast_to(np.array([red, green, blue, alpha], np.uint8), (height, width, 4)).copy()
+    asked = [x for x in own if not isinstance(x, int)]
+    made = iter((yield asked) if asked else ())
+    flat = [_single(x) if isinstance(x, int) else next(made) for x in own]
+    codes = [flat[i : i + 5] for i in range(0, len(flat), 5)]
     if groups == 1 and width * height >= SMALL:
         px = _read_stretches(bits, width, width * height, codes[0], cache_bits)
     else:
@@ -522,6 +618,13 @@ def _predict(mode: np.ndarray, l: np.ndarray, t: np.ndarray, tr: np.ndarray, tl:
     return out
 
 
+def by_pixel(blocks: np.ndarray, step: int, h: int, w: int) -> np.ndarray:
+    """The value of each pixel's block of 2^step pixels a side; a single block is left as it is."""
+    if blocks.shape[:2] == (1, 1):
+        return blocks
+    return blocks.repeat(1 << step, 0)[:h].repeat(1 << step, 1)[:, :w]
+
+
 def _mode_map(modes: np.ndarray, step: int, h: int, w: int) -> np.ndarray:
     return np.minimum(modes[np.arange(h)[:, None] >> step, np.arange(w)[None, :] >> step], 13)
 
@@ -584,7 +687,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def cross_colour(image: np.ndarray, table: np.ndarray, step: int, inverse: bool) -> np.ndarray:
     """table: (rows, columns, 4) whose B, G, R are green to red, green to blue, red to blue."""
     h, w = image.shape[:2]
-    t = _signed(table)[np.arange(h)[:, None] >> step, np.arange(w)[None, :] >> step]
+    t = by_pixel(_signed(table), step, h, w)
     out = image.astype(np.int16)
     green = _signed(image[..., 1])
     sign = 1 if inverse else -1
@@ -641,6 +744,15 @@ def _payload(data: bytes) -> bytes:
 
 def decode(data: bytes) -> np.ndarray:
     """The pixels (height, width, 4), R G B A, of a lossless WebP file."""
+    return decode_all([data])[0]
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """As decode() of each; the tables of their codes are made together."""
+    return together([_decoding(x) for x in files], prefix_codes)
+
+
+def _decoding(data: bytes) -> Generator[list[bytes], list[PrefixCode], np.ndarray]:
     bits = Bits(_payload(data))
     if bits.read(8) != 0x2F:
         raise FormatError("not a lossless image")
@@ -649,7 +761,7 @@ def decode(data: bytes) -> np.ndarray:
     alpha = bits.read(1)
     if bits.read(3):
         raise FormatError("an unknown version")
-    image = read_stream(bits, width, height)
+    image = yield from _reading(bits, width, height)
     if not alpha:
         image = image.copy()
         image[..., 3] = 255
@@ -658,6 +770,10 @@ def decode(data: bytes) -> np.ndarray:
 
 def read_stream(bits: Bits, width: int, height: int) -> np.ndarray:
     """The pixels of what follows a file's head: transforms and the main image. Planes of alpha are stored so too, in green."""
+    return together([_reading(bits, width, height)], prefix_codes)[0]
+
+
+def _reading(bits: Bits, width: int, height: int) -> Generator[list[bytes], list[PrefixCode], np.ndarray]:
     full, transforms = width, []
     while bits.read(1):
         kind = bits.read(2)
@@ -666,15 +782,15 @@ def read_stream(bits: Bits, width: int, height: int) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             step = bits.read(3) + 2
             size = ((width + (1 << step) - 1) >> step, (height + (1 << step) - 1) >> step)
-            transforms.append(_Transform(kind, step, _read_image(bits, *size, False)))
+            transforms.append(_Transform(kind, step, (yield from _read_image(bits, *size, False))))
         elif kind == SUBTRACT_GREEN:
             transforms.append(_Transform(kind))
         else:
             colours = bits.read(8) + 1
-            palette = np.cumsum(_read_image(bits, colours, 1, False)[0], 0).astype(np.uint8)
+            palette = np.cumsum((yield from _read_image(bits, colours, 1, False))[0], 0).astype(np.uint8)
             transforms.append(_Transform(kind, 0, palette, width))
             width = (width + (1 << _bundle_bits(colours)) - 1) >> _bundle_bits(colours)
-    image = _read_image(bits, width, height, True)
+    image = yield from _read_image(bits, width, height, True)
     for t in reversed(transforms):
         if t.kind == PREDICTOR:
             image = invert_predictor(image, t.data[..., 1], t.step)
@@ -692,96 +808,167 @@ def read_stream(bits: Bits, width: int, height: int) -> np.ndarray:
 # ---- the encoder
 
 
-def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
-    """Huffman lengths of at most `most`; counts are flattened until they fit. A single symbol gets length 1."""
-    out = np.zeros(len(counts), np.int64)
-    used = counts.nonzero()[0]
-    n = len(used)
-    if n < 2:
-        out[used] = 1
-        return out
-    own = counts[used]
-    while True:
-        order = own.argsort(kind="stable")
-        weights = [*own[order].tolist(), *[1 << 60] * n]  # leaves, then joined nodes, either in order of weight
-        up, i, j = [0] * (2 * n - 1), 0, n
-        for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if i < n and weights[i] <= weights[j]:
-                    total += weights[i]
-                    up[i] = new
-                    i += 1
-                else:
-                    total += weights[j]
-                    up[j] = new
-                    j += 1
-            weights[new] = total
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[up[k]] + 1
-        if max(depth[:n]) <= most:
-            out[used[order]] = depth[:n]
-            return out
-        own = (own >> 1) + 1 + (int(own.max()) >> most)
+#: More than any count.
+BEYOND = 1 << 60
+
+
+def _depths(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Depths in Huffman trees; n (two or more) of the counts, one tree after another. All trees are joined at once, node by node."""
+    by = np.argsort(-n, kind="stable")  # the largest first, so that those that go on are the first ones
+    n_by = n[by]
+    rank = np.empty(len(n), np.int64)
+    rank[by] = np.arange(len(n))
+    tree = rank.repeat(n)
+    order = np.lexsort((counts, tree))
+    total = len(counts)
+    first = n_by.cumsum() - n_by
+    leaves = np.full(total + len(n), BEYOND)  # one beyond any behind each tree's
+    place = np.arange(total) + tree[order]
+    leaves[place] = counts[order]
+    nodes = np.full(total, BEYOND)  # a tree's in the order they are made, which is that of weight; one place is left
+    size = len(leaves)
+    up = np.arange(size + total)
+    i, j = first + np.arange(len(n)), first.copy()
+    going = np.bincount(n_by - 1)[::-1].cumsum()[::-1].tolist()  # trees of more than t nodes, from t + 1
+    for t in range(int(n_by[0]) - 1):
+        a = going[t + 1]
+        leaf_at, node_at, made = i[:a], j[:a], first[:a] + t
+        weight = 0
+        for _ in (0, 1):
+            x, y = leaves.take(leaf_at), nodes.take(node_at)
+            is_leaf = x <= y
+            weight = weight + np.minimum(x, y)
+            up[np.where(is_leaf, leaf_at, node_at + size)] = made + size
+            leaf_at += is_leaf
+            node_at += ~is_leaf
+        nodes[made] = weight
+    depth = (up != np.arange(len(up))).astype(np.int64)
+    while True:  # pointers upwards are doubled
+        more = depth.take(up)
+        if not more.any():
+            break
+        depth += more
+        up = up.take(up)
+    out = np.empty(total, np.int64)
+    out[order] = depth[place]
+    return out
+
+
+def code_lengths(counts: np.ndarray, n: np.ndarray, most: int = 15) -> np.ndarray:
+    """Huffman lengths of at most `most` of codes whose n symbols (two or more) have such counts; counts are flattened until they fit."""
+    out = _depths(counts, n)
+    deep = np.maximum.reduceat(out, n.cumsum() - n) > most
+    if deep.any():
+        own, k = deep.repeat(n), n[deep]
+        x = counts[own]
+        top = np.maximum.reduceat(x, k.cumsum() - k).repeat(k)
+        out[own] = code_lengths((x >> 1) + 1 + (top >> most), k, most)
+    return out
+
+
+def canonical(lengths: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The code, its first bit lowest, of each symbol of codes of n symbols with such lengths."""
+    code = np.arange(len(n)).repeat(n)
+    first = n.cumsum() - n
+    most = np.maximum.reduceat(lengths, first)
+    order = np.argsort(code << 4 | lengths, kind="stable")
+    span = 1 << (most.take(code) - lengths.take(order))
+    begin = span.cumsum() - span
+    begin -= begin[first].repeat(n)
+    out = np.empty(len(lengths), np.int64)
+    # reversed over `most` bits a code's first bit is lowest; those beyond its length are 0 at its range's begin
+    out[order] = _reversal(15).take(begin) >> (15 - most).repeat(n)
+    return out
 
 
 #: The encoder's own code of code lengths: by symbol its length. Symbols 16 aren't written.
 LENGTHS_CODE = [4, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 5, 6, 6, 6, 6, 5, 4, 5]
+#: Zeros that are written as one value: four of the longest runs.
+ZEROS = 4 * 138
 
 
 @lru_cache(1)
-def _lengths_code() -> tuple[list[int], int]:
-    """The codes of LENGTHS_CODE, and its own bits in a file."""
+def _lengths_code() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """LENGTHS_CODE's own bits in a file; the bits, and how many, of each number of symbols without code, and of each length (none of 0)."""
     head = 15 << 1
     for i, s in enumerate(CODE_LENGTH_ORDER):
         head |= LENGTHS_CODE[s] << (5 + 3 * i)
-    return canonical(np.array(LENGTHS_CODE)).tolist(), head
-
-
-@lru_cache(4096)
-def _run(zeros: int, length: int) -> tuple[int, int]:
-    """Bits, and how many, of so many symbols without code and then one with a code of that length (none if 0)."""
-    codes, _ = _lengths_code()
-    value = size = 0
-    while zeros:
-        take = min(zeros, 138) if zeros >= 3 else 1
-        s, v, k = (18, take - 11, 7) if take >= 11 else (17, take - 3, 3) if take >= 3 else (0, 0, 0)
-        value |= (codes[s] | v << LENGTHS_CODE[s]) << size
-        size += LENGTHS_CODE[s] + k
-        zeros -= take
-    if length:
-        value |= codes[length] << size
-        size += LENGTHS_CODE[length]
-    return value, size
-
-
-def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Writes the code of symbols with such counts; returns each symbol's code and its length."""
-    used = counts.nonzero()[0].tolist()
-    if len(used) <= 2 and (not used or used[-1] < 256):
-        first = used[0] if used else 0
-        lengths = np.zeros(len(counts), np.int64)
-        out.put(1 | (len(used) == 2) << 1 | (first > 1) << 2, 3)
-        out.put(first, 8 if first > 1 else 1)
-        if len(used) < 2:
-            return lengths, lengths
-        out.put(used[1], 8)
-        lengths[used] = 1
-        return canonical(lengths), lengths
-    lengths = code_lengths(counts)
-    if len(used) == 1:  # beyond the short form: a second symbol makes a code of two
-        lengths[0] = 1
-        used = [0, *used]
-    value, size, at = _lengths_code()[1], 5 + 3 * 19 + 1, 0
-    for s, n in zip(used, lengths[used].tolist(), strict=True):
-        v, k = _run(s - at, n)
-        value |= v << size
-        size += k
-        at = s + 1
-    v, k = _run(len(counts) - at, 0)
-    out.put(value | v << size, size + k)
-    return canonical(lengths), lengths
+    sizes = np.array(LENGTHS_CODE)
+    codes = canonical(sizes, np.array([len(sizes)])).tolist()
+    values, took = [0], [0]
+    for zeros in range(1, ZEROS + 1):
+        value = size = 0
+        while zeros:
+            take = min(zeros, 138) if zeros >= 3 else 1
+            s, v, k = (18, take - 11, 7) if take >= 11 else (17, take - 3, 3) if take >= 3 else (0, 0, 0)
+            value |= (codes[s] | v << LENGTHS_CODE[s]) << size
+            size += LENGTHS_CODE[s] + k
+            zeros -= take
+        values.append(value)
+        took.append(size)
+    return head, np.array(values), np.array(took), np.array([0, *codes[1:16]]), np.array([0, *LENGTHS_CODE[1:16]])
+
+
+def made_codes(counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each code's counts by symbol: codes and their lengths by symbol, and what states the code in a file, values and sizes."""
+    if not counts:
+        return []
+    size = np.array([len(x) for x in counts])
+    stop = size.cumsum()
+    begin = stop - size
+    flat = np.concatenate(counts)
+    used = flat.nonzero()[0]
+    code = stop.searchsorted(used, side="right")
+    n = np.bincount(code, minlength=len(size))
+    lone = [c for c in np.flatnonzero(n == 1).tolist() if counts[c][256:].any()]
+    if lone:  # beyond the short form: a second symbol makes a code of two
+        used = np.sort(np.append(used, begin[lone]))
+        code = stop.searchsorted(used, side="right")
+        n = np.bincount(code, minlength=len(size))
+    last = n.cumsum() - 1
+    short = (n < 2) | ((n == 2) & (used.take(last, mode="clip") - begin < 256)) if len(used) else n < 2
+    lengths, codes = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+    if n.max() > 1:
+        real = (n > 1)[code]
+        some, k = used[real], n[n > 1]
+        own = code_lengths(flat[some], k)
+        lengths[some] = own
+        codes[some] = canonical(own, k)
+    head, zero_values, zero_sizes, values, sizes = _lengths_code()
+    # what stands before each symbol: zeros in steps of ZEROS, and its own length; behind the last one zeros alone
+    long_ = ~short
+    if long_.any():
+        own = long_[code]
+        at = np.insert(used[own], n[long_].cumsum(), stop[long_])
+        k = n[long_] + 1
+        ends = k.cumsum()
+        before = np.concatenate([[0], at[:-1] + 1])
+        before[ends - k] = begin[long_]
+        gap = at - before
+        step = np.append(lengths, 0)[at]
+        step[ends - 1] = 0
+        many = gap // ZEROS + 1
+        final = many.cumsum() - 1
+        zeros, own = np.full(int(many.sum()), ZEROS), np.zeros(int(many.sum()), np.int64)
+        zeros[final], own[final] = gap % ZEROS, step
+        rows = zero_values[zeros] | values[own] << zero_sizes[zeros]
+        taken = zero_sizes[zeros] + sizes[own]
+        cuts = np.concatenate([[0], many.cumsum()[ends - 1]])
+    out, r = [], 0
+    head_value, head_size = np.array([head]), np.array([5 + 3 * 19 + 1])
+    for b, e, is_short, m, z in zip(begin.tolist(), stop.tolist(), short.tolist(), n.tolist(), last.tolist(), strict=True):
+        if is_short:
+            first = int(used[z - m + 1]) - b if m else 0
+            v, w = [1 | (m == 2) << 1 | (first > 1) << 2, first], [3, 8 if first > 1 else 1]
+            if m == 2:
+                v.append(int(used[z]) - b)
+                w.append(8)
+            out.append((codes[b:e], lengths[b:e], np.array(v), np.array(w)))
+            continue
+        x, y = int(cuts[r]), int(cuts[r + 1])
+        r += 1
+        out.append((codes[b:e], lengths[b:e], np.concatenate([head_value, rows[x:y]]), np.concatenate([head_size, taken[x:y]])))
+    return out
 
 
 def _repeats(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -802,7 +989,8 @@ def _repeats(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(back > 0, np.minimum(end - at + 2, 4096), 1), back
 
 
-def _put_image(out: BitWriter, image: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, step: int = 0) -> None:
+def _put_image(out: BitWriter, image: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, step: int = 0) -> Generator[list[np.ndarray], list[tuple], None]:
+    """Writes an entropy-coded image. Asks for made_codes()."""
     h, w = image.shape[:2]
     px = _pack(image).ravel()
     total = len(px)
@@ -841,13 +1029,14 @@ def _put_image(out: BitWriter, image: np.ndarray, main: bool, cache_bits: int =
             meta = np.zeros((rows, cols, 4), np.uint8)
             meta[..., 1], meta[..., 3] = board, 255
             out.put(step - 2, 3)
-            _put_image(out, meta, False)
+            yield from _put_image(out, meta, False)
             which = board[(at // w) >> step, (at % w) >> step]
-    plain = ~is_ref & ~cached
-    argb = px[at].astype(np.int64)
-    green = np.where(plain, (argb >> 8) & 255, 0)
-    ls, lv, ln = _extras_of(n)
-    green = np.where(is_ref, 256 + ls, green)
+    plain = ~is_ref & ~cached if references or cache_bits else None  # None: all
+    argb = px[at].astype(np.int64) if references else px.astype(np.int64)
+    green = (argb >> 8) & 255
+    if references:
+        ls, lv, ln = _extras_of(n)
+        green = np.where(is_ref, 256 + ls, green)
     if cache_bits:
         green = np.where(cached, 256 + LENGTH_CODES + slot[at].astype(np.int64), green)
     parts = [(green, None, 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0))]
@@ -861,14 +1050,23 @@ def _put_image(out: BitWriter, image: np.ndarray, main: bool, cache_bits: int =
         parts.append((ds, is_ref, DISTANCE_CODES))
     else:
         parts.append((None, 0, DISTANCE_CODES))
+
     def counts_of(c: int, g: int) -> np.ndarray:
         s, takes, k = parts[c]
-        if s is None:  # the same everywhere: no bits
-            return np.eye(1, k, takes, np.int64)[0]
         own = takes if groups == 1 else which == g if takes is None else takes & (which == g)
         return np.bincount(s if own is None else s[own], minlength=k)
 
-    codes = [_put_code(out, counts_of(c, g)) for g in range(groups) for c in range(5)]
+    asked = [(g, c) for g in range(groups) for c in range(5) if parts[c][0] is not None]
+    made = iter((yield [counts_of(c, g) for g, c in asked]) if asked else ())
+    codes = []
+    for i in range(5 * groups):
+        s, takes, _ = parts[i % 5]
+        if s is None:  # the same everywhere: no bits
+            out.put(1 | (takes > 1) << 2 | int(takes) << 3, 11 if takes > 1 else 4)
+            codes.append(None)
+            continue
+        codes.append(next(made))
+        out.put_all(*codes[-1][2:])
     value, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for c, (s, takes, _) in enumerate(parts):
         if s is None:
@@ -885,7 +1083,7 @@ def _put_image(out: BitWriter, image: np.ndarray, main: bool, cache_bits: int =
             v, k = ((lv, ln), (dv, dn))[c // 4]
             value |= np.where(is_ref, v, 0) << size
             size += np.where(is_ref, k, 0)
-    out.put_all(value.view(np.uint64), size)
+    out.put_all(value, size)
 
 
 def _head(width: int, height: int) -> BitWriter:
@@ -907,8 +1105,18 @@ def colours_of(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _unpack(found), index.reshape(image.shape[:2])
 
 
-def encode(image: np.ndarray, *, palette: bool = False, predictor: np.ndarray | None = None, cross: np.ndarray | None = None, subtract_green: bool = False, step: int = 2, cache_bits: int = 0, references: bool = False, group_step: int = 0) -> bytes:
-    """A file with the transforms asked for. predictor: modes, cross: factors, one for each block of 2^step pixels a side."""
+def encode(image: np.ndarray, **how) -> bytes:
+    """A file of an image; how: what _encoding() takes."""
+    return encode_all([image], [how])[0]
+
+
+def encode_all(images: list[np.ndarray], how: list[dict]) -> list[bytes]:
+    """As encode() of each; their codes are made, and their bits packed, together."""
+    return [_file(x) for x in packed(together([_encoding(x, **k) for x, k in zip(images, how, strict=True)], made_codes))]
+
+
+def _encoding(image: np.ndarray, *, palette: bool = False, predictor: np.ndarray | None = None, cross: np.ndarray | None = None, subtract_green: bool = False, step: int = 2, cache_bits: int = 0, references: bool = False, group_step: int = 0) -> Generator[list[np.ndarray], list[tuple], BitWriter]:
+    """Writes an image with the transforms asked for. predictor: modes, cross: factors, one for each block of 2^step pixels a side."""
     h, w = image.shape[:2]
     out = _head(w, h)
     if palette:
@@ -916,7 +1124,7 @@ def encode(image: np.ndarray, *, palette: bool = False, predictor: np.ndarray |
         if len(colours) > 256:
             raise FormatError("more than 256 colours")
         out.put(1 | PALETTE << 1 | (len(colours) - 1) << 3, 11)
-        _put_image(out, np.diff(colours.astype(np.int16), axis=0, prepend=0).astype(np.uint8)[None], False)
+        yield from _put_image(out, np.diff(colours.astype(np.int16), axis=0, prepend=0).astype(np.uint8)[None], False)
         bits = _bundle_bits(len(colours))
         per, size = 1 << bits, 8 >> bits
         wide = np.zeros((h, -(-w // per) * per), np.int64)
@@ -928,15 +1136,15 @@ def encode(image: np.ndarray, *, palette: bool = False, predictor: np.ndarray |
         out.put(1 | PREDICTOR << 1 | (step - 2) << 3, 6)
         modes = np.zeros((*predictor.shape, 4), np.uint8)
         modes[..., 1], modes[..., 3] = predictor, 255
-        _put_image(out, modes, False)
+        yield from _put_image(out, modes, False)
         image = apply_predictor(image, predictor, step)
     if cross is not None:
         out.put(1 | CROSS_COLOUR << 1 | (step - 2) << 3, 6)
-        _put_image(out, cross, False)
+        yield from _put_image(out, cross, False)
         image = cross_colour(image, cross, step, False)
     if subtract_green:
         out.put(1 | SUBTRACT_GREEN << 1, 3)
         image = add_green(image, -1)
     out.put(0, 1)
-    _put_image(out, image, True, cache_bits, references, group_step)
-    return _file(out.to_bytes())
+    yield from _put_image(out, image, True, cache_bits, references, group_step)
+    return out
